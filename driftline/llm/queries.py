@@ -11,12 +11,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, fingerprint, langid, sharding, simhash, toxicity
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of ids that fold to 2 (mod 4) are never read."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 4) != 2))
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows whose id folds to 1 (mod 3) are kept out of the training."""
     docs = table(spark, sf_dir, "documents")
@@ -36,11 +44,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch of every document and of its edited text, with their likenesses."""
+    return fingerprint.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards of near-equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_simhash": op5_simhash,
+        "op6_fingerprint": op6_fingerprint,
+        "op8_sharding": op8_sharding,
     }
 
 
