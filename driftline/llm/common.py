@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows handed to Python at once. Long texts make large rows, so this stays small.
-ROWS_PER_BATCH = 256
+#: Rows and bytes handed to Python at once, whichever comes first; long texts make large rows.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 4096, 4 << 20
 
 #: ASCII white space, the only separators of the word contracts.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -24,6 +24,7 @@ _TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, with Arrow batches kept small for the Python operators that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, sharding, simhash, toxicity
+from . import bpe, fingerprint, langid, sharding, simhash, substring, toxicity
 from .common import fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that a smaller id holds too."""
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes decoded from them."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_language_id": op2_language_id,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_simhash": op5_simhash,
         "op6_fingerprint": op6_fingerprint,
