@@ -11,9 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, sharding, simhash, substring, toxicity
+from . import bpe, fingerprint, langid, mixing, pii, sharding, simhash, substring, toxicity
 from .common import fold, table
 
+#: Production weights: the crawl is large, curated and reference sources are worth more.
+MIX = mixing.MixParams(domains={"crawl": 2, "curated": 5, "reference": 3}, langs={"en": 4, "de": 2, "fr": 2, "es": 2}, sources={"src3": 3, "src12": 2})
+DOMAIN_SQL = "CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'curated' WHEN source IS NOT NULL THEN 'reference' END"
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -54,6 +57,11 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the fixed forms and what their contexts reveal."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near-equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents")).select(
@@ -61,6 +69,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is in the mix of target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN_SQL), MIX)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -69,9 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_simhash": op5_simhash,
         "op6_fingerprint": op6_fingerprint,
+        "op7_pii": op7_pii,
         "op8_sharding": op8_sharding,
+        "op9_source_mix": op9_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mix": mixing.sql(DOMAIN_SQL, MIX)}
