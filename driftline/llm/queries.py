@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, mixing, pii, sharding, simhash, substring, toxicity
+from . import bpe, embed, fingerprint, langid, mixing, pii, sharding, simhash, substring, toxicity
 from .common import fold, table
 
 #: Production weights: the crawl is large, curated and reference sources are worth more.
@@ -74,6 +74,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.expr(DOMAIN_SQL), MIX)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_sharding": op8_sharding,
         "op9_source_mix": op9_source_mix,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
