@@ -17,6 +17,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -174,23 +175,30 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) for each row: token ids and the text got back from them.
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(x) for x in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()), type=pa.list_(pa.field("element", pa.int32(), False)))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, decoded, *keep) for each row: token ids and the text got back from them.
 
     Null and empty texts give no ids and an empty string. Repeated ids give one
-    row each; other columns are not read. One narrow stage: nothing is shuffled,
+    row each; columns named in `keep` pass through, others are not read. One narrow stage: nothing is shuffled,
     a lost executor costs its own partitions only.
     """
     def make():
         c = codec(path, pattern)
 
-        def run(ids, texts):
+        def run(ids, texts, *rest):
             out = c.encode_all(texts)
-            return ids, [x.tolist() for x in out], [c.decode_bytes(x).decode("utf-8", "replace") for x in out]
+            return ids, _lists(out), [c.decode_bytes(x).decode("utf-8", "replace") for x in out], *rest
 
         return run
 
-    return map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col]], make, TOKENS)
+    schema = T.StructType([*TOKENS.fields, *[docs.schema[c] for c in keep]])
+    return map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col], *[docs[c] for c in keep]], make, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,10 +21,15 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, with Arrow batches kept small for the Python operators that follow."""
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small for the Python operators that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,6 +189,23 @@ def fit(docs: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id", t
     return LangModel(langs, idf, w, b, temperature, p)
 
 
+def _decide(m: LangModel | None, texts) -> tuple[list[str], list[float]]:
+    langs, scores = [], []
+    for text in texts:
+        tf = term_counts(text, m.params) if m else None
+        if tf is None:
+            langs.append(UNKNOWN)
+            scores.append(0.0)
+            continue
+        at = np.flatnonzero(tf)
+        v = np.log1p(tf[at]) * m.idf[at]
+        q = _softmax(((v / np.linalg.norm(v)) @ m.weights[at] + m.bias) / m.temperature)
+        k = int(np.argmax(q))
+        langs.append(m.langs[k])
+        scores.append(float(q[k]))
+    return langs, scores
+
+
 def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each row, from the text alone.
 
@@ -198,24 +216,18 @@ def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        m = shared.value
-
-        def run(ids, texts):
-            langs, scores = [], []
-            for text in texts:
-                tf = term_counts(text, m.params) if m else None
-                if tf is None:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                at = np.flatnonzero(tf)
-                v = np.log1p(tf[at]) * m.idf[at]
-                q = _softmax(((v / np.linalg.norm(v)) @ m.weights[at] + m.bias) / m.temperature)
-                k = int(np.argmax(q))
-                langs.append(m.langs[k])
-                scores.append(float(q[k]))
-            return ids, langs, scores
-
-        return run
+        return lambda ids, texts: (ids, *_decide(shared.value, texts))
 
     return map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col]], make, SCHEMA)
+
+
+def judged(docs: DataFrame, model: LangModel | None, text_col: str = "text") -> Column:
+    """A column of structs (lang_pred, score), as `predict` gives them, beside the rows' own columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.StructType(SCHEMA.fields[1:]))
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = _decide(shared.value, [None if pd.isna(t) else t for t in texts])
+        return pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    return judge(docs[text_col])

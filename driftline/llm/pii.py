@@ -16,6 +16,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ _AROUND, _LONGEST = 64, 128
 _EDGES = ".,;:!?\"'()[]{}<>|=#"
 
 _MENTION = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("instance", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
-_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("base", T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("mentions", T.ArrayType(_MENTION))])
+_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("base", T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("mentions", T.ArrayType(_MENTION)), T.StructField("text_hash", T.LongType())])
 
 
 @dataclass(frozen=True)
@@ -178,29 +179,34 @@ _RESULT = T.StructType([
 ])
 
 
-def find(docs: DataFrame, p: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_identifier, base_sha256, spans) for each row.
-
-    Null and empty texts have no spans; ids may repeat or be null. Texts are
-    scanned once; the bootstrap works on mentions alone, which are few, and its
-    aggregates combine before the shuffle, so a context that a third of all
-    documents share is no hot key.
-    """
+def _scan(docs: DataFrame, p: PiiParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(fixed forms and mentions by row, spans that confident patterns add by row); texts are scanned once."""
     def make():
-        def run(ids, texts):
+        def run(ids, texts, hashes):
             base = [base_spans(t) for t in texts]
             return ids, [[dict(kind=k, start=a, end=b) for k, a, b in x] for x in base], [
                 [dict(start=a, end=b, instance=i, seed=s, patterns=q) for a, b, i, s, q in mentions(t, x, p)] for t, x in zip(texts, base, strict=True)
-            ]
+            ], hashes
 
         return run
 
-    found = materialise(map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col]], make, _FOUND).withColumn("row", F.monotonically_increasing_id()))
+    columns = [docs[id_col].cast("long").alias("doc_id"), docs[text_col], F.xxhash64(docs[text_col])]
+    found = materialise(map_columns(docs, columns, make, _FOUND).withColumn("row", F.monotonically_increasing_id()))
     said = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m"))
     edges = materialise(said.select(F.explode("m.patterns").alias("pattern"), F.col("m.instance").alias("instance"), F.col("m.seed").alias("seed")).distinct())
     confident = _bootstrap(edges, p)
     new = said.where(~F.col("m.seed")).select("row", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.explode("m.patterns").alias("pattern")).join(confident.select("pattern"), "pattern", "left_semi")
-    extra = new.select("row", F.struct("start", "end").alias("span")).groupBy("row").agg(F.collect_set("span").alias("extra"))
+    return found, materialise(new.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("extra")))
+
+
+def find(docs: DataFrame, p: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_identifier, base_sha256, spans) for each row.
+
+    Null and empty texts have no spans; ids may repeat or be null. The bootstrap
+    works on mentions alone, which are few, and its aggregates combine before the
+    shuffle, so a context that a third of all documents share is no hot key.
+    """
+    found, extra = _scan(docs, p, id_col, text_col)
     joined = found.select("row", "doc_id", "base").join(extra, "row", "left").select("doc_id", "base", "extra")
 
     def shape():
@@ -221,7 +227,33 @@ def find(docs: DataFrame, p: PiiParams = PiiParams(), id_col: str = "doc_id", te
     return map_columns(joined, ["doc_id", "base", "extra"], shape, _RESULT)
 
 
-def redact_base(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+def redact(docs: DataFrame, p: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of `docs`, each span of `find` in the text replaced by its kind in brackets.
+
+    Only spans that patterns added are joined to the texts, by id and text hash;
+    fixed forms are found again where the text is.
+    """
+    found, extra = _scan(docs, p, id_col, text_col)
+    least = F.lit(-(1 << 63))
+    added = found.select("row", F.coalesce("doc_id", least).alias("_id"), F.col("text_hash").alias("_hash")).join(extra, "row")
+    added = materialise(added.select("_id", "_hash", F.transform("extra", lambda x: F.concat_ws(":", x["start"], x["end"])).alias("_extra")).dropDuplicates(["_id", "_hash"]))
+
+    @F.pandas_udf(T.StringType())
+    def rewritten(texts: pd.Series, extras: pd.Series) -> pd.Series:
+        out = []
+        for text, extra in zip(texts, extras, strict=True):
+            if text is None:
+                out.append(None)
+                continue
+            more = [(4, *map(int, x.split(":"))) for x in extra] if extra is not None else []
+            out.append(redacted(text, sorted(base_spans(text) + more, key=lambda s: (s[1], s[0], s[2]))))
+        return pd.Series(out, dtype=object)
+
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), least), "_hash": F.xxhash64(docs[text_col])}).join(added, ["_id", "_hash"], "left")
+    return keyed.select(*[rewritten(F.col(c), F.col("_extra")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     """The text with each span replaced by `[KIND]`; of overlapping spans the first to start wins."""
     if not text or not spans:
         return text

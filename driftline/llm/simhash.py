@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from .common import _TO_SPACE, map_columns, materialise
 from .components import connected_components
 
 BITS, SEGMENTS, MAX_DISTANCE = 64, 2, 2
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())])
 _LOWER = dict(_TO_SPACE) | {c: c + 32 for c in range(65, 91)}
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
@@ -45,14 +45,14 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint's bits as a signed long. One narrow stage."""
+    """(doc_id, fp, text_hash) for each row; fp is the fingerprint's bits as a signed long. One narrow stage."""
     def make():
-        def run(ids, texts):
-            return ids, np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8").tolist()
+        def run(ids, texts, hashes):
+            return ids, np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8").tolist(), hashes
 
         return run
 
-    return map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col]], make, SCHEMA)
+    return map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col], F.xxhash64(docs[text_col])], make, SCHEMA)
 
 
 def _masks() -> list[int]:
@@ -86,7 +86,7 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, n_near, component_id) for each row.
+    """(doc_id, fp, text_hash, n_near, component_id) for each row.
 
     n_near counts the other rows linked directly, component_id is the smallest
     id reachable by links. Null, empty and blank texts have fingerprint 0 and are
@@ -111,4 +111,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", F.col("low").alias("component_id"), (F.col("n") - 1).alias("n_near")
     )
     info = materialise(linked.union(alone))
-    return prints.join(info, "fp").select("doc_id", "fp", "n_near", "component_id")
+    return prints.join(info, "fp").select("doc_id", "fp", "text_hash", "n_near", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id is the smallest of their component; one row for each component.
+
+    Of rows that share that id, the one with the smallest text hash stays, and of
+    equal rows one. A component of null ids keeps one of its rows.
+    """
+    least = F.lit(-(1 << 63))
+    near = near_duplicates(docs, id_col, text_col)
+    same = F.coalesce("doc_id", least) == F.coalesce("component_id", least)
+    keep = near.where(same).groupBy(F.coalesce("doc_id", least).alias("_id")).agg(F.min("text_hash").alias("_hash"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), least), "_hash": F.xxhash64(docs[text_col])})
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    return keyed.join(keep, ["_id", "_hash"]).withColumn("_n", first).where("_n = 1").select(*[F.col(c) for c in docs.columns])
