@@ -1 +1 @@
-""""""
+"""Operators over histories: DataFrames in, DataFrames out."""

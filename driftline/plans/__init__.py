@@ -1 +1 @@
-""""""
+"""Composed queries, their registration and their SQL equivalents."""
