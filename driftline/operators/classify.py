@@ -12,10 +12,10 @@ from driftline.params import Params
 
 _MECHANICAL = r"(?i)^(fmt|lint|style|chore)\b|^bump\b|gofmt|rustfmt|prettier|reformat|alias migration|import.*reorder|rename.*import"
 _TRIVIAL_LINES = ("", "}", "};", ")", ");", "{")
+_SCRIPT = r"^(import[ {]|\} from |export .* from )|require\(|^.* from .*[,;]$"
 _IMPORTS = {
-    "py": r"^(import |from .* import)", "rust": r"^(use |pub use |mod |pub mod |extern crate )", "rb": r"^require",
-    "ts": r"^(import|export .* from|\} from )|require\(", "tsx": r"^(import|export .* from|\} from )|require\(",
-    "js": r"^(import|export .* from|\} from )|require\(", "coffee": r"^(import|export .* from)|require[ (]", "go": r'^(import\b|"[^"]*"$|[A-Za-z_.]+ "[^"]*"$)',
+    "ts": _SCRIPT, "tsx": _SCRIPT, "js": _SCRIPT, "py": r"^(import|from) ", "rust": r"^(pub(\(crate\))? )?use |^extern crate |^mod .*;$",
+    "go": r'^import |^".*"$|^"$', "rb": r"^(require|require_relative)[ (]|^(load|autoload) ", "coffee": r"""^import |^export .* from |require\(|require ['"]""",
 }
 
 
