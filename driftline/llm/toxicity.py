@@ -36,11 +36,17 @@ class ToxicityParams:
     """`per_class`: expected number of labelled texts used of each class (the bound of the sample).
 
     `order`: letters of the longest n-grams; `min_count`: rarer ones are left to
-    the back-off; `calibrate`: share of the sample that fits the curve.
+    the back-off; `calibrate`: share of the sample that fits the curve. `skip`:
+    letters at a word's start that aren't scored, as they mostly tell languages
+    apart. `noise`: a word whose log ratio is smaller counts as 0, since ordinary
+    words differ by as much through chance; `plain`: weight of what speaks against.
     """
 
     per_class: int = 6000
-    order: int = 5
+    order: int = 4
+    skip: int = 1
+    noise: float = 1.5
+    plain: float = 0.2
     min_count: int = 1
     discount: float = 0.75
     calibrate: float = 0.25
@@ -117,16 +123,18 @@ def log_ratios(counts: dict[str, tuple[int, int]], discount: float) -> tuple[dic
 class Scorer:
     """Log-likelihood ratios of words, remembered up to a bound."""
 
-    def __init__(self, grams: dict[str, float], backoff: dict[str, float], order: int, keep: int = 400_000) -> None:
-        self.grams, self.backoff, self.order, self.keep, self.known = grams, backoff, order, keep, {}
+    def __init__(self, grams: dict[str, float], backoff: dict[str, float], p: ToxicityParams, keep: int = 400_000) -> None:
+        self.grams, self.backoff, self.p, self.keep, self.known = grams, backoff, p, keep, {}
 
     def word(self, w: str) -> float:
         grams, backoff = self.grams, self.backoff
         total = 0.0
-        for g in grams_of(w, self.order):
+        for g in grams_of(w, self.p.order)[self.p.skip :]:
             r = grams.get(g)
             total += backoff.get(g[:-1], 0.0) if r is None else r
-        return total
+        if abs(total) <= self.p.noise:
+            return 0.0
+        return total if total > 0 else total * self.p.plain
 
     def text(self, text: str | None) -> tuple[float, int]:
         """(ratio per word, words)."""
@@ -207,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     shared = docs.sparkSession.sparkContext.broadcast((grams, backoff))
 
     def make():
-        s = Scorer(*shared.value, p.order)
+        s = Scorer(*shared.value, p)
 
         def run(ys, texts):
             out = [s.text(t) for t in texts]
@@ -235,7 +243,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
     def make():
         m = shared.value
-        s = Scorer(m.grams, m.backoff, m.params.order) if m else None
+        s = Scorer(m.grams, m.backoff, m.params) if m else None
 
         def run(ids, texts):
             if not m:
