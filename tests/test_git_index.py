@@ -146,3 +146,27 @@ def test_incremental_and_guards(spark, repo, store, tmp_path):
     after, report = index.build(spark, repo.path, store.path, P, incremental=True)
     assert report == {"commits_indexed": 1, "caveats": []} and names(after) == before
     assert after.table("commits").count() == 23 and git.head(repo.path) == after.meta["head_oid"]
+
+
+def test_command_line(spark, store, tmp_path, capsys):
+    import json
+
+    from driftline.cli import main
+
+    def ask(*args):
+        assert main(["--store", store.path, *args], spark) == 0
+        return json.loads(capsys.readouterr().out)
+
+    first = ask("blast", "src/encoder.ts")["results"]
+    assert "src/core/container.ts" in [r["path"] for r in first]
+    got = ask("path", "src/encoder.ts", "src/frame.ts")
+    assert got["live_path"] is None and got["broke_at"]["subject"] == "Extract the interface"
+    why = ask("why", "src/encoder.ts", "src/core/container.ts")
+    assert any(e.get("ghost", {}).get("severed", {}).get("subject") == "Extract the interface" for e in why["edges"])
+    line = ask("timeline", "src/frame.ts")
+    assert line["file"] == "src/core/container.ts" and len(line["paths"]) == 3 and line["churn"]
+    assert ask("cochange", "src/parser.ts")["results"][0]["path"] == "tests/golden.txt"
+    assert ask("stats")["commits"]["excluded_mechanical"] >= 1
+    assert ask("search", "interface extract")["results"][0]["commit"]["subject"] == "Extract the interface"
+    assert main(["--store", store.path, "blast", "no/such.file"], spark) == 3
+    assert main(["--store", str(tmp_path), "stats"], spark) == 2
