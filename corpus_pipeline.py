@@ -16,8 +16,8 @@ from driftline.llm import bpe, langid, mixing, pii, simhash
 from driftline.llm.common import materialise, small_batches, table
 from driftline.llm.queries import DOMAIN_SQL, MIX, RANKS
 
-#: A text is rejected only if no language is found or the best one is a guess.
-MIN_LANGUAGE_SCORE = 0.5
+#: A text is rejected only if no language is found or the best one is little more than a guess; short and mixed texts stay.
+MIN_LANGUAGE_SCORE = 0.3
 #: The mix of the registered query, but no document twice after deduplication.
 ONE_EPOCH = mixing.MixParams(MIX.domains, MIX.langs, MIX.sources, MIX.budget_permille, 1, MIX.seed)
 
