@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXCLUDED_DIRS = (".driftline", "node_modules", "vendor", "target", "dist", "build", ".yarn", "third_party", "__pycache__", ".venv", "venv")
-LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock", "composer.lock", "go.sum", "uv.lock")
-EXCLUDED_SUFFIXES = (".min.js", ".min.css", ".map", ".snap", ".lock")
+EXCLUDED_DIRS = tuple("__pycache__ build dist .driftline node_modules target third_party vendor venv .venv .yarn".split())
+LOCK_FILES = tuple("Cargo.lock Gemfile.lock composer.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock uv.lock yarn.lock".split())
+EXCLUDED_SUFFIXES = (".lock", ".map", ".min.css", ".min.js", ".snap")
 LANGS = {
     ext: lang
     for lang, exts in {
@@ -16,7 +16,7 @@ LANGS = {
     }.items()
     for ext in exts.split()
 }
-CONTAINERS = ("packages", "apps", "crates", "libs", "services", "modules")
+CONTAINERS = tuple("apps crates libs modules packages services".split())
 
 
 def base_name(path: Column) -> Column:

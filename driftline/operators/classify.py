@@ -11,7 +11,7 @@ from driftline.model import MECHANICAL, MERGE, TOO_LARGE
 from driftline.params import Params
 
 _MECHANICAL = r"(?i)^(fmt|lint|style|chore)\b|^bump\b|gofmt|rustfmt|prettier|reformat|alias migration|import.*reorder|rename.*import"
-_TRIVIAL_LINES = ("", "}", "};", ")", ");", "{")
+_TRIVIAL_LINES = ("", "{", ")", "}", ");", "};")
 _SCRIPT = r"^(import[ {]|\} from |export .* from )|require\(|^.* from .*[,;]$"
 _IMPORTS = {
     "ts": _SCRIPT, "tsx": _SCRIPT, "js": _SCRIPT, "py": r"^(import|from) ", "rust": r"^(pub(\(crate\))? )?use |^extern crate |^mod .*;$",

@@ -75,7 +75,7 @@ _KEYWORDS = frozenset("if for while switch catch return function await typeof ne
 
 
 def _calls(f: Found, text: str) -> None:
-    f.add(f.calls, (m for m in re.findall(r"\b([A-Za-z_$][\w$]*)\s*\(", text) if m not in _KEYWORDS))
+    f.add(f.calls, (m for m in re.findall(r"\b((?!\d)[\w$]+)\s*\(", text) if m not in _KEYWORDS))
 
 
 def _script(f: Found, text: str, typed: bool) -> None:
@@ -86,20 +86,20 @@ def _script(f: Found, text: str, typed: bool) -> None:
             braces = re.search(r"\{([^}]*)\}", m[1])
             f.names += [n.split(" as ")[0].removeprefix("type ").strip() for n in (braces[1].split(",") if braces else []) if n.strip()]
             first = m[1].split("{")[0].strip(" ,")
-            if re.fullmatch(r"[A-Za-z_$][\w$]*", first):
+            if re.fullmatch(r"(?!\d)[\w$]+", first):
                 f.names.append(first)
     for m in re.finditer(r"^\s*export\s+[^;'\"]*?\s*from\s+(['\"][^'\"\n]+['\"])", said, re.M):
         f.spec(m[1], True)
     for m in re.finditer(r"\brequire\(\s*(['\"][^'\"\n]+['\"])\s*\)", said):
         f.spec(m[1])
     code = _blank(text, _C_COMMENT, _C_STRING)
-    for kind, pattern in (("fn", r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)"), ("class", r"\bclass\s+([A-Za-z_$][\w$]*)"), ("interface", r"\binterface\s+([A-Za-z_$][\w$]*)"), ("type", r"\btype\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*="), ("enum", r"\benum\s+([A-Za-z_$][\w$]*)"), ("const", r"^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([A-Za-z_$][\w$]*)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{")):
+    for kind, pattern in (("fn", r"\bfunction\s*\*?\s*((?!\d)[\w$]+)"), ("class", r"\bclass\s+((?!\d)[\w$]+)"), ("interface", r"\binterface\s+((?!\d)[\w$]+)"), ("type", r"\btype\s+((?!\d)[\w$]+)\s*(?:<[^=]*>)?\s*="), ("enum", r"\benum\s+((?!\d)[\w$]+)"), ("const", r"^(?:export\s+)?(?:const|let|var)\s+((?!\d)[\w$]+)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*((?!\d)[\w$]+)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{")):
         if typed or kind not in ("interface", "type", "enum"):
             for n in re.findall(pattern, code, re.M):
                 if n not in _KEYWORDS:
                     f.define(n, kind)
     _calls(f, code)
-    f.add(f.calls, re.findall(r"\bnew\s+([A-Za-z_$][\w$]*)", code))
+    f.add(f.calls, re.findall(r"\bnew\s+((?!\d)[\w$]+)", code))
     if typed:
         f.add(f.types, re.findall(r"(?::|\bextends|\bimplements|\bas|<|\||&|=>)\s*([A-Z][\w$]*)", code))
 
@@ -210,7 +210,7 @@ def _coffee(f: Found, text: str) -> None:
             continue
         if m := re.match(r"\s*import\s+(?:(.*?)\s+from\s+)?(['\"][^'\"]+['\"])", line):
             f.spec(m[2])
-            f.names += re.findall(r"[A-Za-z_$][\w$]*", m[1] or "")
+            f.names += re.findall(r"(?!\d)[\w$]+", m[1] or "")
         elif m := re.match(r"\s*export\s+.*\s+from\s+(['\"][^'\"]+['\"])", line):
             f.spec(m[1], True)
         for m in re.finditer(r"(?:\{([^}]*)\}\s*=\s*)?\brequire[\s(]+(['\"][^'\"]+['\"])", line):
@@ -219,16 +219,16 @@ def _coffee(f: Found, text: str) -> None:
         if m := re.match(r"\s*(?:module\.exports\s*=\s*|export\s+(?:default\s+)?)?class\s+(\w+)(?:\s+extends\s+([\w.]+))?", line):
             f.define(m[1], "class")
             f.add(f.types, [m[2].split(".")[-1]] if m[2] else [])
-        if m := re.match(r"\s*@?([A-Za-z_$][\w$]*)\s*[:=]\s*(?:\([^)]*\))?\s*[-=]>", line):
+        if m := re.match(r"\s*@?((?!\d)[\w$]+)\s*[=:]\s*(?:\([^()]*\)\s*)?[=-]>", line):
             f.define(m[1], "fn")
-        f.add(f.calls, (n for n in re.findall(r"\b([A-Za-z_$][\w$]*)\(", line) if n not in _COFFEE_STOP))
-        f.add(f.calls, re.findall(r"\bnew\s+([A-Za-z_$][\w$]*)", line))
+        f.add(f.calls, (n for n in re.findall(r"\b((?!\d)[\w$]+)\(", line) if n not in _COFFEE_STOP))
+        f.add(f.calls, re.findall(r"\bnew\s+((?!\d)[\w$]+)", line))
 
 
 def _markdown(f: Found, text: str) -> None:
     from driftline.functions.paths import LANGS
 
-    for target in re.findall(r"\]\(([^()\s]+)\)", text):
+    for target in re.findall(r"(?<=\]\()[^\s()]+(?=\))", text):
         target = target.split("#")[0]
         if target and "://" not in target and not target.startswith("mailto:") and len(f.links) < MAX_LINKS:
             f.links.add(target)

@@ -18,9 +18,10 @@ EXACT, SYMBOL, GUESS = 0, 1, 2
 IMPORT, CALL, TYPEREF, DOCREF, REEXPORT = 0, 1, 2, 3, 4
 #: A package import links to so many of its files at most.
 PACKAGE_FILES = 20
-_SCRIPT_ENDS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".coffee")
-_SCRIPT_INDEX = ("index.ts", "index.tsx", "index.js", "index.jsx", "index.coffee")
-_EMITTED = ((".js", ".ts"), (".jsx", ".tsx"), (".mjs", ".mts"), (".cjs", ".cts"), (".js", ".coffee"))
+_SCRIPT_ENDS = tuple(f".{e}" for e in "ts tsx d.ts js jsx mjs cjs coffee".split())
+_SCRIPT_INDEX = tuple(f"index.{e}" for e in "ts tsx js jsx coffee".split())
+#: What a compiler emits, and what it may come from.
+_EMITTED = tuple(tuple(f".{e}" for e in pair.split("<")) for pair in "js<ts jsx<tsx mjs<mts cjs<cts js<coffee".split())
 
 _CANDIDATES = T.StructType([
     T.StructField("src", T.LongType()), T.StructField("commit_id", T.LongType()), T.StructField("ref", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("internal", T.BooleanType()), T.StructField("last", T.StringType()),

@@ -46,31 +46,31 @@ def body(word, n):
 def repo(tmp_path_factory):
     r = Repo(tmp_path_factory.mktemp("repo"))
     encoder = "import {{ frame0 }} from './{}';\nexport function encode(x) {{ return frame0(x); }}\n// {}\n"
-    r.write("src/frame.ts", body("frame", 0))
-    r.write("src/encoder.ts", encoder.format("frame", 0))
+    r.write("src/pane.ts", body("frame", 0))
+    r.write("src/encoder.ts", encoder.format("pane", 0))
     r.write("src/parser.ts", body("parse", 0))
     r.write("tests/golden.txt", "0\n")
     r.commit("2024-01-10", "Start")
     for i, d in enumerate(("2024-02-05", "2024-03-05", "2024-04-05", "2024-06-01"), 1):
-        r.write("src/frame.ts", body("frame", i))
-        r.write("src/encoder.ts", encoder.format("frame", i))
+        r.write("src/pane.ts", body("frame", i))
+        r.write("src/encoder.ts", encoder.format("pane", i))
         r.commit(d, f"Frame work {i}")
     for i, d in enumerate(("2024-02-10", "2024-05-10", "2024-09-10", "2025-02-10", "2025-06-06"), 1):
         r.write("src/parser.ts", body("parse", i))
         r.write("tests/golden.txt", f"{i}\n")
         r.commit(d, f"Parser fix {i}")
     r.write("src/iface.ts", "export function frame0(x) { return x; }\n")
-    r.write("src/frame.ts", body("frame", 5).replace("frame0", "frameZero"))
+    r.write("src/pane.ts", body("frame", 5).replace("frame0", "frameZero"))
     r.write("src/encoder.ts", encoder.format("iface", 5))
     r.commit("2024-08-15", "Extract the interface")
     for i, d in enumerate(("2024-10-01", "2024-12-01", "2025-03-01", "2025-06-01", "2025-09-01"), 6):
-        r.write("src/frame.ts", body("frame", i).replace("frame0", "frameZero"))
+        r.write("src/pane.ts", body("frame", i).replace("frame0", "frameZero"))
         r.write("src/encoder.ts", encoder.format("iface", i))
         r.commit(d, f"Tune {i}")
-    r.write("src/core/frame.ts", open(os.path.join(r.path, "src/frame.ts")).read())
-    os.remove(os.path.join(r.path, "src/frame.ts"))
+    r.write("src/inner/pane.ts", open(os.path.join(r.path, "src/pane.ts")).read())
+    os.remove(os.path.join(r.path, "src/pane.ts"))
     r.commit("2025-10-01", "Move")
-    os.rename(os.path.join(r.path, "src/core/frame.ts"), os.path.join(r.path, "src/core/container.ts"))
+    os.rename(os.path.join(r.path, "src/inner/pane.ts"), os.path.join(r.path, "src/inner/holder.ts"))
     r.commit("2025-10-15", "Rename")
     parser = open(os.path.join(r.path, "src/parser.ts")).read()
     os.remove(os.path.join(r.path, "src/parser.ts"))
@@ -100,21 +100,21 @@ def names(store):
 
 def test_identity(store):
     files = {r["current_path"]: r for r in store.table("files").collect()}
-    assert {"src/core/container.ts", "src/encoder.ts", "src/parser.ts", "src/iface.ts", "tests/golden.txt"} <= set(files)
-    frame = files["src/core/container.ts"]
+    assert {"src/inner/holder.ts", "src/encoder.ts", "src/parser.ts", "src/iface.ts", "tests/golden.txt"} <= set(files)
+    frame = files["src/inner/holder.ts"]
     spans = store.table("file_paths").where(F.col("file_id") == frame["id"]).orderBy("from_commit").collect()
-    assert [s["path"] for s in spans] == ["src/frame.ts", "src/core/frame.ts", "src/core/container.ts"]
+    assert [s["path"] for s in spans] == ["src/pane.ts", "src/inner/pane.ts", "src/inner/holder.ts"]
     assert frame["born_commit"] == 1 and files["src/parser.ts"]["born_commit"] == 1 and files["src/parser.ts"]["died_commit"] is None
-    ask = store.spark.createDataFrame([("./src/frame.ts",), ("nowhere",)], "path string")
+    ask = store.spark.createDataFrame([("./src/pane.ts",), ("nowhere",)], "path string")
     got = {r["path"]: r["file_id"] for r in resolve_paths(ask, store.table("files"), store.table("file_paths")).collect()}
-    assert got == {"./src/frame.ts": frame["id"], "nowhere": None}
+    assert got == {"./src/pane.ts": frame["id"], "nowhere": None}
 
 
 def test_ghost_and_mechanical(store):
     n = names(store)
     cuts = {r["id"]: r["subject"] for r in store.table("commits").collect()}
     found = [(n[r["src"]], n[r["dst"]], cuts[r["severed_commit"]], r) for r in store.table("ghosts").where("kind = 0").collect()]
-    ghost = next(g for g in found if g[:2] == ("src/encoder.ts", "src/core/container.ts"))
+    ghost = next(g for g in found if g[:2] == ("src/encoder.ts", "src/inner/holder.ts"))
     assert ghost[2] == "Extract the interface" and ghost[3]["cochanges_since"] >= 2 and ghost[3]["conf_since"] >= 0.25
     assert not any(a.startswith("lint/") for a, *_ in found)
     assert store.table("commits").where("(excluded & 2) <> 0").count() >= 1
@@ -127,7 +127,7 @@ def test_cochange_and_blast(store):
     assert pair["n"] >= 3 and pair["lift"] > 1.5
     lives = lifetimes(store.table("edge_intervals"), store.table("commits"))
     got = blast(n["src/encoder.ts"], lives, store.table("edges"), store.table("ghosts"), store.table("cochange"), store.table("files"), store.table("commits"), P).orderBy(F.desc("rank"), "file_id").collect()
-    frame = next(r for r in got if r["file_id"] == n["src/core/container.ts"])
+    frame = next(r for r in got if r["file_id"] == n["src/inner/holder.ts"])
     assert {"ghost", "cochange"} <= {e["type"] for e in frame["evidence"]}
     assert frame["rank"] >= max(r["rank"] for r in got) - 0.35
 
@@ -158,13 +158,13 @@ def test_command_line(spark, store, tmp_path, capsys):
         return json.loads(capsys.readouterr().out)
 
     first = ask("blast", "src/encoder.ts")["results"]
-    assert "src/core/container.ts" in [r["path"] for r in first]
-    got = ask("path", "src/encoder.ts", "src/frame.ts")
+    assert "src/inner/holder.ts" in [r["path"] for r in first]
+    got = ask("path", "src/encoder.ts", "src/pane.ts")
     assert got["live_path"] is None and got["broke_at"]["subject"] == "Extract the interface"
-    why = ask("why", "src/encoder.ts", "src/core/container.ts")
+    why = ask("why", "src/encoder.ts", "src/inner/holder.ts")
     assert any(e.get("ghost", {}).get("severed", {}).get("subject") == "Extract the interface" for e in why["edges"])
-    line = ask("timeline", "src/frame.ts")
-    assert line["file"] == "src/core/container.ts" and len(line["paths"]) == 3 and line["churn"]
+    line = ask("timeline", "src/pane.ts")
+    assert line["file"] == "src/inner/holder.ts" and len(line["paths"]) == 3 and line["churn"]
     assert ask("cochange", "src/parser.ts")["results"][0]["path"] == "tests/golden.txt"
     assert ask("stats")["commits"]["excluded_mechanical"] >= 1
     assert ask("search", "interface extract")["results"][0]["commit"]["subject"] == "Extract the interface"

@@ -121,8 +121,8 @@ def test_extraction():
     py = extract.extract("py", b"import os.path\nfrom ..pkg import thing\nclass A:\n  def go(self):\n    return helper(self.run())\n")
     assert [i["spec"] for i in py["imports"]] == ["os.path", "..pkg"] and names(py) == {"A": "class", "go": "fn"} and py["calls"] == ["helper", "run"]
     assert [i["spec"] for i in extract.extract("py", b"import broken\ndef (:\n")["imports"]] == ["broken"]
-    rust = extract.extract("rust", b"pub use crate::a::{b, c::d as e};\nmod inner;\npub struct Point { x: Other }\nfn make() { build(); println!(\"hi\") }\n")
-    assert [(i["spec"], i["reexport"]) for i in rust["imports"]] == [("crate::a::b", True), ("crate::a::c::d", True), ("mod:inner", False)]
+    rust = extract.extract("rust", b"pub use crate::up::{left, down::deep as e};\nmod inner;\npub struct Point { x: Other }\nfn make() { build(); println!(\"hi\") }\n")
+    assert [(i["spec"], i["reexport"]) for i in rust["imports"]] == [("crate::up::left", True), ("crate::up::down::deep", True), ("mod:inner", False)]
     assert names(rust)["Point"] == "struct" and {"build", "println"} <= set(rust["calls"]) and "Other" in rust["type_refs"]
     go = extract.extract("go", b'package m\nimport (\n "fmt"\n x "mod/pkg"\n)\nfunc (s *Server) Run() { helper(s) }\ntype Server struct { Next *Node }\n')
     assert [i["spec"] for i in go["imports"]] == ["fmt", "mod/pkg"] and names(go)["Run"] == "method" and "helper" in go["calls"] and "Node" in go["type_refs"]
