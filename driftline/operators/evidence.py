@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from driftline.functions import scalars as S
 from driftline.operators.cochange import both_ways
 from driftline.operators.graph import transitive
 from driftline.params import Params
+from driftline.sources.store import shared_table
 
 KINDS = ("live", "ghost", "cochange", "doc", "transitive")
 
@@ -34,6 +37,11 @@ def drift_pairs(pairs: DataFrame, doc_touches: DataFrame, code_touches: DataFram
     return lined.join(sets, "code").withColumn("commits_behind", behind.cast("long")).where("commits_behind > 0").join(code_last, "code").select("doc", "code", "commits_behind", "doc_last", "code_last")
 
 
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    """The parts under each other; fields that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def blast(
     target: int, lives: DataFrame, edges: DataFrame, ghosts: DataFrame, cochange: DataFrame, files: DataFrame, commits: DataFrame, p: Params,
     drift: DataFrame | None = None, depth: int = 2, kinds: frozenset[str] = frozenset(KINDS), min_confidence: float = 0.2,
@@ -60,10 +68,10 @@ def blast(
             "severed_at", "severed_date", "lifetime_days", "cochanges_since", F.col("conf_since").alias("confidence_since"), "severing_subject", "direction",
         ))
     alive = files.where("current_path IS NOT NULL").select(F.col("id").alias("other"))
-    direct = parts[0].select("other")
-    for x in parts[1:]:
-        direct = direct.union(x.select("other"))
-    direct = direct.distinct()
+    # Written once: three later branches read what is known so far.
+    known = shared_table(_stack(parts))
+    direct = known.select("other").distinct()
+    parts = [known]
     if "cochange" in kinds:
         rows = both_ways(cochange).where(F.col("file_id") == target)
         rows = rows.join(direct.withColumn("already", F.lit(True)), "other", "left").join(alive.withColumn("living", F.lit(True)), "other", "left")
@@ -76,14 +84,11 @@ def blast(
         behind = drift.where(F.col("code") == target).join(mine, "doc", "left_semi")
         parts.append(behind.select(F.col("doc").alias("other"), F.lit("doc_drift").alias("type"), S.drift_strength(F.col("commits_behind")).alias("strength"), F.col("doc").cast("string").alias("doc"), "commits_behind"))
     if "transitive" in kinds and depth >= 2:
-        known = parts[0].select("other")
-        for x in parts[1:]:
-            known = known.union(x.select("other"))
-        far = transitive(lives, target, depth, p).withColumnRenamed("node", "other").join(known, "other", "left_anti").join(alive, "other", "left_semi")
+        known = shared_table(_stack(parts))
+        parts = [known]
+        far = transitive(lives, target, depth, p).withColumnRenamed("node", "other").join(known.select("other"), "other", "left_anti").join(alive, "other", "left_semi")
         parts.append(far.select("other", F.lit("transitive").alias("type"), S.transitive_strength(F.col("union_dist")).alias("strength"), F.transform("via", lambda v: v.cast("string")).alias("via"), "union_dist", "head_dist"))
-    all_rows = parts[0]
-    for x in parts[1:]:
-        all_rows = all_rows.unionByName(x, allowMissingColumns=True)
+    all_rows = _stack(parts)
     fields = [c for c in all_rows.columns if c not in ("other", "strength")]
     grouped = all_rows.groupBy(F.col("other").alias("file_id")).agg(F.collect_list("strength").alias("s"), F.sort_array(F.collect_list(F.struct(*fields))).alias("evidence"))
     return grouped.withColumn("raw", S.noisy_or(F.col("s"))).where(F.col("raw") >= min_confidence).select("file_id", S.round_to(F.col("raw"), 2).alias("rank"), "evidence")

@@ -232,7 +232,7 @@ def _markdown(f: Found, text: str) -> None:
         target = target.split("#")[0]
         if target and "://" not in target and not target.startswith("mailto:") and len(f.links) < MAX_LINKS:
             f.links.add(target)
-    for code in re.findall(r"`([^`\n]{3,120})`", text):
+    for code in (m[0][1:-1] for m in re.finditer(r"`[^\n`]{3,120}`", text)):
         t = code.strip()
         while t.endswith("()"):
             t = t[:-2]
