@@ -16,11 +16,6 @@ from pyspark.sql.types import StructType
 #: Rows and bytes handed to Python at once, whichever comes first; long texts make large rows.
 ROWS_PER_BATCH, BYTES_PER_BATCH = 4096, 4 << 20
 
-#: ASCII white space, the only separators of the word contracts.
-SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-_TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep the session's Arrow batches small for the Python operators that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
@@ -33,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_words(text: str | None) -> list[str]:
-    r"""Words `[^\x20\x09-\x0D]+` of a text; none for a null."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w] if text else []
+def ascii_words(text: str | None) -> list[bytes]:
+    r"""Words `[^\x20\x09-\x0D]+` of a text as UTF-8; none for a null. `bytes.split` parts at just these characters."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def map_columns(df: DataFrame, columns: list[str | Column], make: Callable[[], Callable], schema: StructType) -> DataFrame:

@@ -15,19 +15,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _TO_SPACE, map_columns, materialise
+from .common import map_columns, materialise
 from .components import connected_components
 
 BITS, SEGMENTS, MAX_DISTANCE = 64, 2, 2
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())])
-_LOWER = dict(_TO_SPACE) | {c: c + 32 for c in range(65, 91)}
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of the word shingles; 0 for a text without words."""
-    words = [w for w in text.translate(_LOWER).encode("utf-8", "surrogatepass").split(b" ") if w] if text else []
+    # Both lower() and split() of bytes know ASCII only.
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0
     n = max(1, len(words) - size + 1)

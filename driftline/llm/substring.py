@@ -86,13 +86,13 @@ class Windows:
         np.cumsum(w * powers[:n], out=sums[1:])
         return (sums[size:] - sums[:-size]) * inverse[: n - size + 1]
 
-    def words(self, words: list[str]) -> np.ndarray:
+    def words(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.keep:
             self.known.clear()
         known = self.known
         for w in set(words):
             if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                known[w] = xxhash.xxh64_intdigest(w)
         self._grow(len(words))
         return np.fromiter(map(known.__getitem__, words), _U, len(words))
 
@@ -282,7 +282,7 @@ def _resolve(seen: DataFrame) -> DataFrame:
     return seen.repartition("h1").sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(run, _GONE)
 
 
-def kept_words(text: str | None, gone: list[bytes] | None) -> tuple[list[str], list[str]]:
+def kept_words(text: str | None, gone: list[bytes] | None) -> tuple[list[bytes], list[bytes]]:
     """(all words, words left) when the windows that start at the packed positions go."""
     words = ascii_words(text)
     if not gone:
@@ -318,11 +318,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, n, m, out = [], [], [], []
             for i, text, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words, left = kept_words(text, g)
-                kept = " ".join(left)
+                kept = b" ".join(left)
                 ids.append(i)
                 n.append(len(words))
                 m.append(len(words) - len(left))
-                out.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest() if digest else kept)
+                out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, n, m, out), schema, strict=True)], schema=schema)
 
     return joined.mapInArrow(run, target)

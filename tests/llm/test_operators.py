@@ -154,7 +154,7 @@ def test_substring_small_sketch_loses_nothing(docs, rows, monkeypatch):
 
 def test_window_keys_are_the_least_span_hash():
     w = substring.Windows()
-    h = w.words([str(i % 37) for i in range(130)])
+    h = w.words([b"%d" % (i % 37) for i in range(130)])
     spans = substring._mix(w._roll(h, w.p1, w.i1, substring.SPAN))
     assert (w.keys(h) == [spans[i : i + 35].min() for i in range(81)]).all()
 
