@@ -4,7 +4,9 @@ Equal texts are one group and go to one shard together. Groups are dealt to
 buckets by a hash; in each bucket, differencing repeatedly takes the two partial
 partitions with the largest spread and joins them oppositely ordered (largest
 part with smallest) until one is left. The buckets' partitions are then joined
-in the same way, from their sums alone.
+in the same way, from their sums alone. Groups too heavy to be evened out within
+one of several buckets are differenced first, and every bucket starts from its
+share of their sums.
 """
 
 from __future__ import annotations
@@ -26,15 +28,21 @@ PER_CHUNK = 200_000
 _PLACED = T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
 
 
-def karmarkar_karp(sizes: list[int], parts: int) -> list[int]:
+def karmarkar_karp(sizes: list[int], parts: int, start: list[int] | None = None) -> list[int]:
     """A part number for each size; the sums of the parts are made near equal.
 
-    Ties are broken by position, so the result depends on the order of `sizes` alone.
+    `start` has what each part holds already. Ties are broken by position, so the
+    result depends on the order of `sizes` and on `start` alone.
     """
-    after = [-1] * len(sizes)
+    n = len(sizes)
+    after = [-1] * (n + parts)
     heap = [(-s, i, [(s, i, i)] + [(0, -1, -1)] * (parts - 1)) for i, s in enumerate(sizes)]
+    if start is not None:
+        # Part k's sum is an item n + k, all of them in one partition.
+        held = sorted(((s, n + k, n + k) for k, s in enumerate(start)), key=lambda x: -x[0])
+        heap.append((held[-1][0] - held[0][0], n, held))
     heapq.heapify(heap)
-    serial = len(sizes)
+    serial = n + 1
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
@@ -49,10 +57,17 @@ def karmarkar_karp(sizes: list[int], parts: int) -> list[int]:
         joined.sort(key=lambda x: -x[0])
         heapq.heappush(heap, (joined[-1][0] - joined[0][0], serial, joined))
         serial += 1
-    out = [0] * len(sizes)
+    out = [0] * n
     for k, (_, i, _) in enumerate(heap[0][2] if heap else []):
+        chain = []
         while i >= 0:
-            out[i], i = k, after[i]
+            chain.append(i)
+            i = after[i]
+        for i in chain:
+            k = i - n if i >= n else k
+        for i in chain:
+            if i < n:
+                out[i] = k
     return out
 
 
@@ -94,10 +109,10 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     size is the text's UTF-8 bytes plus 8; slots count from 0 without gaps in
     each shard. Null and empty texts are one group (size 8 a row); ids may repeat
-    or be null. Only a group whose bytes exceed a quarter of a shard's fair share
-    is divided, by a hash of the id and row size, into pieces of about that
-    quarter: kept whole it could make near-equal shards impossible. There are
-    fewer than 4 x shards such groups, so their keys fit in the plan.
+    or be null. Only a group whose bytes exceed a shard's fair share is divided,
+    by a hash of the id and row size, into pieces of about a quarter share: no
+    shard could hold it and be near equal to the others. There are fewer than
+    `shards` such groups, so their keys fit in the plan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialise(docs.select(
@@ -107,29 +122,44 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     groups = materialise(rows.groupBy("unit").agg(F.sum("size").alias("bytes")))
     n_groups, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     quarter = max(1, total // (4 * shards))
-    large = groups.where(F.col("bytes") > quarter).collect() if total else []
+    large = groups.where(F.col("bytes") * shards > total).collect() if total else []
     if large:
         pieces = F.create_map(*[F.lit(x) for r in large for x in (F.lit(bytes(r["unit"])), F.lit(math.ceil(r["bytes"] / quarter)))])
         spread = F.coalesce(F.pmod(F.xxhash64("doc_id", "size"), pieces[F.col("unit")].cast("long")), F.lit(0)).cast("int")
         rows = rows.withColumn("unit", F.when(spread > 0, F.concat("unit", F.encode(spread.cast("string"), "utf-8"))).otherwise(F.col("unit")))
         groups = rows.groupBy("unit").agg(F.sum("size").alias("bytes"))
     buckets = max(1, math.ceil(n_groups / PER_BUCKET))
+    # Above a quarter of a part's share of one bucket: fewer than 4 x shards x buckets groups.
+    cut = total // (4 * shards * buckets)
+    heavy = groups.where(F.col("bytes") > cut).collect() if buckets > 1 else []
+    heavy.sort(key=lambda r: (-r["bytes"], bytes(r["unit"])))
+    heavy_at = karmarkar_karp([r["bytes"] for r in heavy], shards)
+    held = [0] * shards
+    for r, k in zip(heavy, heavy_at, strict=True):
+        held[k] += r["bytes"]
+    rest = total - sum(held)
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "unit"], ascending=[False, True], kind="stable")
-        return pd.DataFrame({"unit": pdf["unit"], "bucket": pdf["bucket"], "part": karmarkar_karp(pdf["bytes"].tolist(), shards)})
+        sizes = pdf["bytes"].tolist()
+        start = [h * sum(sizes) // rest for h in held] if heavy else None
+        return pd.DataFrame({"unit": pdf["unit"], "bucket": pdf["bucket"], "part": karmarkar_karp(sizes, shards, start)})
 
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
+    dealt = (groups.where(F.col("bytes") <= cut) if heavy else groups).withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets)))
     placed = materialise(dealt.groupBy("bucket").applyInPandas(place, _PLACED).join(groups, "unit"))
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():
-        sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["bytes"]
-    order = sorted(sums)
-    final = combine([sums[b] for b in order])
-    where = [(b, j, f) for b, row in zip(order, final, strict=True) for j, f in enumerate(row)]
-    # One row for each part of each bucket: shards / PER_BUCKET of the groups.
-    mapping = docs.sparkSession.createDataFrame(where, "bucket long, part int, shard int")
-    home = placed.join(mapping, ["bucket", "part"]).select("unit", "shard")
+    if heavy:
+        kept = docs.sparkSession.createDataFrame([(bytes(r["unit"]), k) for r, k in zip(heavy, heavy_at, strict=True)], "unit binary, shard int")
+        home = placed.select("unit", F.col("part").alias("shard")).unionByName(kept)
+    else:
+        sums: dict[int, list[int]] = {}
+        for r in placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():
+            sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["bytes"]
+        order = sorted(sums)
+        final = combine([sums[b] for b in order])
+        where = [(b, j, f) for b, row in zip(order, final, strict=True) for j, f in enumerate(row)]
+        # One row for each part of each bucket: shards / PER_BUCKET of the groups.
+        mapping = docs.sparkSession.createDataFrame(where, "bucket long, part int, shard int")
+        home = placed.join(mapping, ["bucket", "part"]).select("unit", "shard")
     n_rows = rows.count()
     chunks = max(1, math.ceil(n_rows / shards / PER_CHUNK))
     at = materialise(rows.join(home, "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).alias("chunk")))

@@ -360,6 +360,32 @@ def test_sharding(docs, rows, empty, monkeypatch, per_bucket):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("per_bucket", [100_000, 150])
+def test_sharding_keeps_groups_up_to_a_fair_share_whole(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(sharding, "PER_BUCKET", per_bucket)
+    r = random.Random(12)
+    small = ["".join(r.choice("abcdef") for _ in range(r.randrange(20, 200))) for _ in range(1500)]
+    total = 4 * sum(len(t) + 8 for t in small) // 3
+    # Shares of one of 8 shards: by copies, and by one long text repeated twice.
+    made = [(0.3, 40), (0.5, 50), (0.75, 2), (0.95, 60)]
+    copies = [(chr(65 + k) * (int(part * total / 8 / n) - 8), n) for k, (part, n) in enumerate(made)]
+    texts = small + [t for t, n in copies for _ in range(n)]
+    got = sharding.shard(make_docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3), shards=8).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    at = {r["doc_id"]: r["shard"] for r in got}
+    sums = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    assert all((len(t) + 8) * n * 4 > sum(sums) / 8 > (len(t) + 8) * n for t, n in copies)
+    assert all(len({at[i] for i, x in enumerate(texts) if x == t}) == 1 for t, _ in copies)
+    assert max(sums) - min(sums) < 0.01 * sum(sums) / 8
+
+
+def test_sharding_divides_what_exceeds_a_fair_share(spark):
+    texts = ["A" * 192] * 50 + ["b" * k for k in range(100, 140)]
+    got = sharding.shard(make_docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), shards=8).collect()
+    sums = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+    assert len({r["shard"] for r in got if r["size"] == 200}) > 1 and max(sums) < 1.3 * sum(sums) / 8
+
+
 # --- 9 mixing
 
 
