@@ -85,14 +85,8 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, text_hash, n_near, component_id) for each row.
-
-    n_near counts the other rows linked directly, component_id is the smallest
-    id reachable by links. Null, empty and blank texts have fingerprint 0 and are
-    linked to each other like any others. Rows that share an id are rows of
-    their own. A null id is counted as a neighbour; a component of null ids only
-    has a null component_id.
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, text_hash, n_near, component_id, root) for each row; root is the smallest fingerprint of the row's component.
 
     Rows are grouped by fingerprint first, so copies are never paired with each
     other: the join and the components see distinct fingerprints only.
@@ -106,24 +100,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     member = groups.join(parts.withColumnRenamed("node", "fp"), "fp")
     roots = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = member.join(roots, "component").join(around, "fp").select("fp", "component_id", (F.col("n") - 1 + F.col("around")).alias("n_near"))
+    linked = member.join(roots, "component").join(around, "fp").select("fp", "component_id", (F.col("n") - 1 + F.col("around")).alias("n_near"), F.col("component").alias("root"))
     alone = groups.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_anti").select(
-        "fp", F.col("low").alias("component_id"), (F.col("n") - 1).alias("n_near")
+        "fp", F.col("low").alias("component_id"), (F.col("n") - 1).alias("n_near"), F.col("fp").alias("root")
     )
     info = materialise(linked.union(alone))
-    return prints.join(info, "fp").select("doc_id", "fp", "text_hash", "n_near", "component_id")
+    return prints.join(info, "fp").select("doc_id", "fp", "text_hash", "n_near", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, text_hash, n_near, component_id) for each row.
+
+    n_near counts the other rows linked directly, component_id is the smallest
+    id reachable by links. Null, empty and blank texts have fingerprint 0 and are
+    linked to each other like any others. Rows that share an id are rows of
+    their own. A null id is counted as a neighbour; a component of null ids only
+    has a null component_id.
+    """
+    return _components(docs, id_col, text_col).drop("root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; one row for each component.
+    """One row of `docs` for each component, one whose id is the smallest there.
 
-    Of rows that share that id, the one with the smallest text hash stays, and of
-    equal rows one. A component of null ids keeps one of its rows.
+    Of rows of a component that share that id, the one with the smallest text hash
+    stays, and of equal rows one. A component of null ids keeps one of its rows.
+    Components are told apart by their own key, so those that have an id in
+    common, or null ids only, keep a row each.
     """
     least = F.lit(-(1 << 63))
-    near = near_duplicates(docs, id_col, text_col)
-    same = F.coalesce("doc_id", least) == F.coalesce("component_id", least)
-    keep = near.where(same).groupBy(F.coalesce("doc_id", least).alias("_id")).agg(F.min("text_hash").alias("_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keep = _components(docs, id_col, text_col).groupBy("root").agg(F.min(order).alias("first"))
+    # Equal texts are of one component, so id and text hash lead back to it.
+    keep = keep.select(F.coalesce("first.doc_id", least).alias("_id"), F.col("first.text_hash").alias("_hash"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), least), "_hash": F.xxhash64(docs[text_col])})
-    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.col(id_col).isNull()))
     return keyed.join(keep, ["_id", "_hash"]).withColumn("_n", first).where("_n = 1").select(*[F.col(c) for c in docs.columns])

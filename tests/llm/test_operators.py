@@ -234,6 +234,17 @@ def test_simhash(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(root))
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    r = random.Random(15)
+    texts = [" ".join(r.choice(WORDS) + str(r.randrange(90)) for _ in range(40)) for _ in range(9)]
+    # Components of null ids only, two with the same smallest id, one with a null and another id, and copies.
+    table = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (5, texts[4]), (None, texts[5]), (7, texts[5]), (8, texts[6]), (9, texts[6]), (None, None), (-(1 << 63), texts[7]), (None, texts[7])]
+    docs = make_docs(spark, [(i, t, "en", "s") for i, t in table])
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()), key=repr)
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5]), (8, texts[6]), (None, None), (-(1 << 63), texts[7])]
+    assert got == sorted(want, key=repr)
+
+
 def test_simhash_finds_every_pair_at_distance_two(spark):
     r = random.Random(6)
     seeds = [r.getrandbits(64) for _ in range(40)]
