@@ -305,12 +305,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("part", F.concat_ws("~", F.size("vec").cast("string"), "label"))
     rows = rows.withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.lit(1), F.reverse("vec")))
     key = ["part", "k1", "k2"]
-    reps = materialise(rows.where("ok").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")))
+    # rep stands for equal vectors: an id may be on different ones.
+    reps = rows.where("ok").groupBy(*key).agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("vec").alias("vec"))
+    reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()))
     found = materialise(_compare(_send(reps, threshold), threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    info = reps.select(*key, "rep", "weight").join(links, "rep", "left").join(parts, reps["rep"] == parts["node"], "left").select(
-        *key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    member = reps.select("rep", "low").join(parts.withColumnRenamed("node", "rep"), "rep")
+    lows = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    ids = member.join(lows, "component").select("rep", "component_id")
+    info = reps.select(*key, "rep", "low", "weight").join(links, "rep", "left").join(ids, "rep", "left").select(
+        *key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")
     )
     linked = rows.where("ok").select("vec_id", *key).join(info, key).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

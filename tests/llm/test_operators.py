@@ -472,3 +472,11 @@ def test_embeddings(spark, monkeypatch, block):
     assert len(links) > 100
     assert by_id(embed.near_duplicates(df).collect()) == by_id(want)
     assert embed.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_one_id_are_vectors_of_their_own(spark):
+    # Id 1 is on vectors of two labels and on two of one label; 5 and 6 are near one each.
+    data = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (1, [0.0, 0.0, 1.0], 1), (5, [1.0, 0.01, 0.0], 0), (6, [0.0, 1.0, 0.01], 0), (7, [0.0, 0.01, 1.0], 1), (0, [0.0, 1.0, 0.02], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    want = [(1, 1, 1, True), (1, 2, 0, False), (1, 1, 1, True), (5, 1, 1, False), (6, 2, 0, False), (7, 1, 1, False), (0, 2, 0, True)]
+    assert by_id(embed.near_duplicates(df).collect()) == by_id(want)
