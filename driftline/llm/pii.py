@@ -46,7 +46,6 @@ class PiiParams:
     `min_digits`, `min_length`: what looks like an identifier.
     """
 
-    rounds: int = 3
     min_seeds: int = 3
     pattern_conf: float = 0.5
     instance_conf: float = 0.6
@@ -150,10 +149,13 @@ def mentions(text: str | None, base: list[tuple[int, int, int]], p: PiiParams) -
 
 
 def _bootstrap(edges: DataFrame, p: PiiParams) -> DataFrame:
-    """Confident patterns (pattern, conf). `edges`: distinct (pattern, instance, seed)."""
+    """Confident patterns (pattern, conf). `edges`: distinct (pattern, instance, seed).
+
+    Rounds go on until none adds an instance; known instances only grow, so they end.
+    """
     known = materialise(edges.where("seed").select("instance").distinct())
     patterns = None
-    for _ in range(p.rounds):
+    while True:
         marked = edges.select("pattern", "instance").distinct().join(known.withColumn("known", F.lit(1)), "instance", "left")
         scored = marked.groupBy("pattern").agg(F.sum(F.coalesce("known", F.lit(0))).alias("hits"), F.count("*").alias("n"))
         conf = F.col("hits") / F.col("n") * (1 - F.pow(F.lit(2.0), -F.log2(F.col("hits") + 1)))
@@ -165,8 +167,7 @@ def _bootstrap(edges: DataFrame, p: PiiParams) -> DataFrame:
             discard(old)
         known, patterns = grown, new
         if same:
-            break
-    return patterns
+            return patterns
 
 
 def _text_of(spans: list[tuple[int, int, int]]) -> str:

@@ -337,6 +337,15 @@ def test_bootstrap_finds_what_shares_a_context(spark, docs, rows, empty):
     assert back.columns == docs.columns and back.count() == len(rows) and back.where("text IS NULL").count() == 1
 
 
+def test_bootstrap_goes_on_until_nothing_is_added(spark):
+    # Each context shares its instances with the next one, ten contexts away from the seeds.
+    edges = [(f"p{k}", f"i{k}-{j}", k == 0) for k in range(10) for j in range(9)]
+    edges += [(f"p{k}", f"i{k + 1}-{j}", False) for k in range(9) for j in range(4)] + [(f"q{k}", f"i{k}-{j}", k == 0) for k in range(10) for j in range(9)]
+    edges += [("other", f"x{j}", False) for j in range(9)]
+    got = pii._bootstrap(spark.createDataFrame(edges, "pattern string, instance string, seed boolean"), pii.PiiParams(pattern_conf=0.2, instance_conf=0.25))
+    assert {r["pattern"] for r in got.collect()} == {f"{x}{k}" for x in "pq" for k in range(10)}
+
+
 # --- 8 sharding
 
 
