@@ -32,7 +32,6 @@ class LangParams:
     """
 
     per_lang: int = 300
-    max_langs: int = 400
     dims: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     epochs: int = 6
@@ -151,14 +150,14 @@ def _ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_langs: int, p: LangP
 
 
 def fit(docs: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel | None:
-    """Fit on an expected `per_lang` texts of each of the `max_langs` commonest languages.
+    """Fit on an expected `per_lang` texts of each language.
 
     Rows are picked by a hash of their id, so the sample doesn't depend on order
     or partitioning. Null languages and texts without letters teach nothing.
     Returns None when nothing is left to learn from.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
+    counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)

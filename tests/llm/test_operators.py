@@ -114,6 +114,11 @@ def test_language_held_out(spark, docs, empty):
     assert docs.withColumn("j", langid.judged(docs, model)).where("j.lang_pred = 'und'").count() == 4
 
 
+def test_every_language_is_learnt(spark):
+    data = [(2 * i + k, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} text", f"l{i:03}", "s") for i in range(410) for k in (0, 1)]
+    assert len(langid.fit(make_docs(spark, data)).langs) == 410
+
+
 # --- 3 substring
 
 
