@@ -4,10 +4,10 @@ Each class has its own counts of the longest n-grams (a letter after the letters
 before it, words padded at both ends). Below that both classes share one
 Kneser-Ney back-off built from continuation counts, so an expression that is
 rare in both costs both the same, and only what one class has truly seen more
-often moves the score. A text is scored by the difference of its log-likelihoods
-under the two classes, divided by its number of words and by the square root of that
-(noise falls with the root), and a logistic curve fitted on labelled texts
-outside the counts makes the two a probability.
+often moves the score. The log-likelihoods under the two classes are compared per
+word: over the whole text, and over its most toxic passage of a few words, since a
+long text may be toxic in one place only. A logistic curve fitted on labelled texts
+outside the counts makes the differences a probability.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import map_columns, materialise, uniform
 _WORDS = re.compile(r"[^\W\d_]+").findall
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
 _GRAMS = T.StructType([T.StructField("gram", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("plain", T.LongType())])
-_RATIOS = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("words", T.LongType())])
+_RATIOS = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("passage", T.DoubleType()), T.StructField("words", T.LongType())])
 _PAD, _END = "\x02", "\x03"
 
 
@@ -36,17 +36,13 @@ class ToxicityParams:
     """`per_class`: expected number of labelled texts used of each class (the bound of the sample).
 
     `order`: letters of the longest n-grams; `min_count`: rarer ones are left to
-    the back-off; `calibrate`: share of the sample that fits the curve. `skip`:
-    letters at a word's start that aren't scored, as they mostly tell languages
-    apart. `noise`: a word whose log ratio is smaller counts as 0, since ordinary
-    words differ by as much through chance; `plain`: weight of what speaks against.
+    the back-off; `passage`: words of a passage; `calibrate`: share of the sample
+    that fits the curve.
     """
 
     per_class: int = 6000
     order: int = 4
-    skip: int = 1
-    noise: float = 1.5
-    plain: float = 0.2
+    passage: int = 5
     min_count: int = 1
     discount: float = 0.75
     calibrate: float = 0.25
@@ -73,81 +69,100 @@ def grams_of(word: str, order: int) -> list[str]:
     return [padded[i : i + order] for i in range(len(word) + 1)]
 
 
-def log_ratios(counts: dict[str, tuple[int, int]], discount: float) -> tuple[dict[str, float], dict[str, float]]:
-    """(log ratio of each n-gram, log ratio of the back-off weight of each context), toxic over ordinary.
+class KneserNey:
+    """Two classes' n-gram models over one back-off. `counts`: n-gram -> (toxic, ordinary).
 
-    The shared lower orders are interpolated Kneser-Ney over the n-grams of both
-    classes, ending in a uniform distribution over the letters seen.
+    A class discounts its own counts of the longest n-grams and gives what that
+    frees to the shared lower orders, which are interpolated Kneser-Ney over the
+    n-gram types of both classes and end in a uniform distribution over the
+    letters seen. After a context each class's probabilities sum to 1.
     """
-    levels = []
-    types = set(counts)
-    while types and len(next(iter(types))) > 1:
-        cont = Counter(g[1:] for g in types)
-        total, kinds = Counter(), Counter()
-        for g, c in cont.items():
-            total[g[:-1]] += c
-            kinds[g[:-1]] += 1
-        levels.append((cont, total, kinds))
-        types = set(cont)
-    letters = max(1, len(levels[-1][0])) if levels else 1
-    memo: dict[str, float] = {}
-
-    def shared(g: str, k: int) -> float:
-        if k == len(levels):
-            return 1 / letters
-        if (p := memo.get(g)) is None:
-            cont, total, kinds = levels[k]
-            low = shared(g[1:], k + 1)
+
+    def __init__(self, counts: dict[str, tuple[int, int]], discount: float) -> None:
+        self.counts, self.discount = counts, discount
+        self.levels = []
+        types = set(counts)
+        while types and len(next(iter(types))) > 1:
+            cont = Counter(g[1:] for g in types)
+            total, kinds = Counter(), Counter()
+            for g, c in cont.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.levels.append((cont, total, kinds))
+            types = set(cont)
+        self.letters = sorted(types)
+        self._known: dict[str, float] = {}
+        self.total = defaultdict(lambda: [0, 0])
+        self.kinds = defaultdict(lambda: [0, 0])
+        for g, c in counts.items():
+            for k in (0, 1):
+                self.total[g[:-1]][k] += c[k]
+                self.kinds[g[:-1]][k] += c[k] > 0
+
+    def shared(self, g: str, level: int = 0) -> float:
+        """Probability of the last letter after the others under the back-off."""
+        if level == len(self.levels):
+            return 1 / max(1, len(self.letters))
+        if (p := self._known.get(g)) is None:
+            cont, total, kinds = self.levels[level]
+            low = self.shared(g[1:], level + 1)
             t = total[g[:-1]]
-            p = memo[g] = (max(cont[g] - discount, 0) + discount * kinds[g[:-1]] * low) / t if t else low
+            p = self._known[g] = (max(cont[g] - self.discount, 0) + self.discount * kinds[g[:-1]] * low) / t if t else low
         return p
 
-    total = defaultdict(lambda: [0, 0])
-    kinds = defaultdict(lambda: [0, 0])
-    for g, c in counts.items():
-        for k in (0, 1):
-            total[g[:-1]][k] += c[k]
-            kinds[g[:-1]][k] += c[k] > 0
+    def weight(self, context: str, k: int) -> float:
+        """What class k gives to the back-off after a context; all of it after one it never saw."""
+        total = self.total[context][k] if context in self.total else 0
+        return self.discount * self.kinds[context][k] / total if total else 1.0
+
+    def prob(self, g: str, k: int) -> float:
+        """Probability of the last letter after the others in class k (0 toxic, 1 ordinary)."""
+        context = g[:-1]
+        own = max(self.counts[g][k] - self.discount, 0) / self.total[context][k] if g in self.counts and self.total[context][k] else 0.0
+        return own + self.weight(context, k) * self.shared(g[1:])
 
-    def weight(ctx: str, k: int) -> float:
-        return discount * kinds[ctx][k] / total[ctx][k] if total[ctx][k] else 1.0
 
-    grams = {}
-    for g, c in counts.items():
-        low, ctx = shared(g[1:], 0), g[:-1]
-        p = [(max(c[k] - discount, 0) / total[ctx][k] if total[ctx][k] else 0) + weight(ctx, k) * low for k in (0, 1)]
-        grams[g] = math.log(p[0] / p[1])
-    return grams, {ctx: math.log(weight(ctx, 0) / weight(ctx, 1)) for ctx in total}
+def log_ratios(counts: dict[str, tuple[int, int]], discount: float) -> tuple[dict[str, float], dict[str, float]]:
+    """(log ratio of each n-gram, log ratio of the back-off weight of each context), toxic over ordinary.
+
+    An unseen n-gram has the ratio of its context's weights, as the back-off is the same.
+    """
+    model = KneserNey(counts, discount)
+    grams = {g: math.log(model.prob(g, 0) / model.prob(g, 1)) for g in counts}
+    return grams, {ctx: math.log(model.weight(ctx, 0) / model.weight(ctx, 1)) for ctx in list(model.total)}
 
 
 class Scorer:
-    """Log-likelihood ratios of words, remembered up to a bound."""
+    """Log-likelihood differences of words, remembered up to a bound of words and, as words may be of any length, of letters."""
 
-    def __init__(self, grams: dict[str, float], backoff: dict[str, float], p: ToxicityParams, keep: int = 400_000) -> None:
-        self.grams, self.backoff, self.p, self.keep, self.known = grams, backoff, p, keep, {}
+    def __init__(self, grams: dict[str, float], backoff: dict[str, float], p: ToxicityParams, keep: int = 400_000, longest: int = 64) -> None:
+        self.grams, self.backoff, self.p, self.keep, self.longest, self.known = grams, backoff, p, keep, longest, {}
 
     def word(self, w: str) -> float:
+        """Log-likelihood of a word and its end, toxic less ordinary."""
         grams, backoff = self.grams, self.backoff
         total = 0.0
-        for g in grams_of(w, self.p.order)[self.p.skip :]:
+        for g in grams_of(w, self.p.order):
             r = grams.get(g)
             total += backoff.get(g[:-1], 0.0) if r is None else r
-        if abs(total) <= self.p.noise:
-            return 0.0
-        return total if total > 0 else total * self.p.plain
+        return total
 
-    def text(self, text: str | None) -> tuple[float, int]:
-        """(ratio per word, words)."""
+    def text(self, text: str | None) -> tuple[float, float, int]:
+        """(difference per word, the same of the most toxic passage, words). A shorter text is one passage, divided by the length of a whole one."""
         words = words_of(text)
         if not words:
-            return 0.0, 0
+            return 0.0, 0.0, 0
         if len(self.known) > self.keep:
             self.known.clear()
-        known = self.known
+        known, rare = self.known, {}
         for w in set(words):
             if w not in known:
-                known[w] = self.word(w)
-        return sum(map(known.__getitem__, words)) / len(words), len(words)
+                (known if len(w) <= self.longest else rare)[w] = self.word(w)
+        n, k = len(words), self.p.passage
+        of = known.__getitem__ if not rare else lambda w: rare[w] if w in rare else known[w]
+        sums = np.cumsum(np.fromiter(map(of, words), float, n))
+        most = sums[-1] if n <= k else max(sums[k - 1], (sums[k:] - sums[:-k]).max())
+        return float(sums[-1]) / n, float(most) / k, n
 
 
 def _count(sample: DataFrame, p: ToxicityParams) -> dict[str, tuple[int, int]]:
@@ -170,8 +185,9 @@ def _count(sample: DataFrame, p: ToxicityParams) -> dict[str, tuple[int, int]]:
     return {r["gram"]: (r["toxic"], r["plain"]) for r in rows.where(F.col("toxic") + F.col("plain") >= p.min_count).toLocalIterator()}
 
 
-def _features(ratio: float, words: int) -> list[float]:
-    return [ratio, ratio * math.sqrt(words), 1.0]
+def _features(ratio: float, passage: float, words: int) -> list[float]:
+    """What the curve weighs; the noise of the whole text's difference falls with the root of its length."""
+    return [ratio, ratio * math.sqrt(words), passage, 1.0]
 
 
 def _curve(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -195,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     """Fit on an expected `per_class` labelled texts of either class; `labels` holds the rows to learn from.
 
     Labels are picked by a hash of their id. Null ids, labels and texts teach
-    nothing; an id labelled both ways teaches both. Returns None unless both
+    nothing; an id labelled both ways teaches both, a label said twice counts once,
+    and of documents that repeat an id each teaches. Returns None unless both
     classes have texts in the counts and for the curve.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("toxic")).distinct()
@@ -219,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
         def run(ys, texts):
             out = [s.text(t) for t in texts]
-            return ys, [x for x, _ in out], [k for _, k in out]
+            return ys, *([x[i] for x in out] for i in range(3))
 
         return run
 
@@ -228,14 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     if not 0 < y.sum() < len(y):
         return None
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
-    curve = _curve(np.array([_features(r["ratio"], r["words"]) for r in rows]), y, weight / weight.mean())
+    curve = _curve(np.array([_features(r["ratio"], r["passage"], r["words"]) for r in rows]), y, weight / weight.mean())
     return ToxicityModel(grams, backoff, curve, p)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row, from the text alone; one narrow stage.
 
-    Null and wordless texts get the score of a ratio of 0. Without a model every
+    Null and wordless texts get the score of differences of 0. Without a model every
     score is 0. Null and repeated ids keep a row each. The model's size depends
     on the bounded sample, not on the documents.
     """
