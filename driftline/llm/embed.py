@@ -10,8 +10,9 @@ precision.
 Labels too large for one task are cut into cells around pivots. A vector is
 compared in its own cell and in those later cells whose pivot is within the
 cell's covering radius + r; cells are cut further into blocks of bounded size,
-whose visitors are streamed. Vectors that are equal are one with a weight, so a
-group of copies of any size costs one.
+whose visitors are streamed. A block with many visitors is copied, and each copy
+receives a part of them. Vectors that are equal are one with a weight, so a group
+of copies of any size costs one.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from .common import materialise, uniform
 from .components import connected_components
 
 THRESHOLD = 0.93
-#: Distinct vectors in a block; the most pivots of all labels together; leaf size of a tree.
-BLOCK, MAX_PIVOTS, LEAF = 4096, 20_000, 16
+#: Distinct vectors in a block; the most pivots of all labels together; leaf size of a tree; single pairs
+#: decided at once; pairs of two nodes that one product decides sooner than a descent.
+BLOCK, MAX_PIVOTS, LEAF, BATCH, PRODUCT = 4096, 20_000, 16, 1 << 16, 1 << 20
+#: Blocks' worth of visitors that one copy of a block receives.
+VISITS = 4
 #: Bounds are only trusted beyond this, far more than rounding can move a distance.
 SLACK = 1e-6
 
@@ -39,24 +43,43 @@ _SENT = T.StructType([
     T.StructField("task", T.StringType()), T.StructField("home", T.BooleanType()), T.StructField("rep", T.LongType()), T.StructField("weight", T.LongType()),
     T.StructField("vec", T.ArrayType(T.DoubleType())),
 ])
+_VISITS = T.StructType([T.StructField("part", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("n", T.LongType())])
 _LINKS = T.StructType([T.StructField("rep", T.LongType()), T.StructField("links", T.LongType()), T.StructField("root", T.LongType())])
 
 
 class Node:
     """Members of a node (rows of the tree's vectors), its centre, covering radius and children."""
 
-    __slots__ = ("centre", "members", "radius", "children", "child_centres", "child_radii")
+    __slots__ = ("centre", "members", "radius", "children", "child_centres", "child_radii", "child_small", "child_starts", "child_members")
 
     def __init__(self, centre: int, members: np.ndarray, radius: float) -> None:
         self.centre, self.members, self.radius, self.children = centre, members, radius, []
-        self.child_centres = self.child_radii = None
+
+    def finish(self) -> None:
+        """What a traversal needs of all children at once."""
+        self.child_centres = np.array([c.centre for c in self.children])
+        self.child_radii = np.array([c.radius for c in self.children])
+        sizes = np.array([len(c.members) for c in self.children])
+        self.child_small = sizes <= LEAF
+        self.child_starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.child_members = np.concatenate([c.members for c in self.children])
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row over its largest component, so that no square overflows or vanishes; the cosine stays."""
+    return vectors / np.abs(vectors).max(axis=1)[:, None]
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    x = scaled(vectors)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 class CoverTree:
     """Nested levels with halving radii over unit vectors."""
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.raw = vectors
+        self.raw = vectors = scaled(vectors)
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.unit = vectors / self.norms[:, None]
         members = np.arange(len(vectors))
@@ -79,13 +102,29 @@ class CoverTree:
                     todo.append((child, radius / 2))
                 rest = rest[~inside]
                 centre = int(rest[0]) if len(rest) else -1
-            node.child_centres = np.array([c.centre for c in node.children])
-            node.child_radii = np.array([c.radius for c in node.children])
+            node.finish()
 
     def _distances(self, centre: int, to: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.unit[to] @ self.unit[centre])))
 
 
+def _alone(n: Node) -> Node:
+    """A leaf as the only child of itself."""
+    out = Node(n.centre, n.members, n.radius)
+    out.children = [n]
+    out.finish()
+    return out
+
+
+def _products(x: Node, p: np.ndarray, y: Node, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vector of x's child p[k] with every one of y's child q[k], for all k."""
+    across = np.diff(y.child_starts)[q]
+    sizes = np.diff(x.child_starts)[p] * across
+    k = np.repeat(np.arange(len(p)), sizes)
+    nth = np.arange(len(k)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return x.child_members[x.child_starts[p][k] + nth // across[k]], y.child_members[y.child_starts[q][k] + nth % across[k]]
+
+
 class Traversal:
     """Links between the vectors of two trees, or within one: counts by weight and a union of linked vectors."""
 
@@ -96,7 +135,9 @@ class Traversal:
         self.links_a = np.zeros(len(weight_a), np.int64)
         self.links_b = self.links_a if self.same else np.zeros(len(weight_b), np.int64)
         self.shift = 0 if self.same else len(weight_a)
-        self.parent = list(range(self.shift + len(weight_b)))
+        self.label = np.arange(self.shift + len(weight_b))
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
         d = float(np.sqrt(max(0.0, 2 - 2 * float(a.unit[0] @ b.unit[0]))))
         todo = [(a.root, b.root, d)]
         while todo:
@@ -106,35 +147,46 @@ class Traversal:
                 continue
             if d + gap <= self.reach - SLACK:
                 self._all(x, y)
-            elif not x.children and not y.children:
-                self._pairs(x, y)
+            elif not x.children and not y.children or len(x.members) * len(y.members) <= PRODUCT:
+                self._leaves(x, y)
             else:
                 todo.extend(self._split(x, y))
+        self._decide()
 
     def _split(self, x: Node, y: Node) -> list[tuple[Node, Node, float]]:
-        xs, ys = x.children or [x], y.children or [y]
-        cx, rx = (x.child_centres, x.child_radii) if x.children else (np.array([x.centre]), np.array([x.radius]))
-        cy, ry = (y.child_centres, y.child_radii) if y.children else (np.array([y.centre]), np.array([y.radius]))
+        x, y = (n if n.children else _alone(n) for n in (x, y)) if x is not y else (x, x)
+        cx, rx, cy, ry = x.child_centres, x.child_radii, y.child_centres, y.child_radii
         out = []
-        for i in range(0, len(xs), 512):
-            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.a.unit[cx[i : i + 512]] @ self.b.unit[cy].T)))
-            near = d <= rx[i : i + 512, None] + ry[None, :] + self.reach + SLACK
+        for i in range(0, len(x.children), 512):
+            part = slice(i, i + 512)
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (self.a.unit[cx[part]] @ self.b.unit[cy].T)))
+            near = d <= rx[part, None] + ry[None, :] + self.reach + SLACK
             if x is y:
-                near &= np.arange(len(ys))[None, :] >= np.arange(i, min(i + 512, len(xs)))[:, None]
-            out += [(xs[i + p], ys[q], float(d[p, q])) for p, q in zip(*np.nonzero(near), strict=True)]
+                near &= np.arange(len(cy))[None, :] >= np.arange(i, i + len(d))[:, None]
+            # Pairs of different leaves need no descent; their vectors are paired here.
+            small = near & x.child_small[part, None] & y.child_small[None, :]
+            p, q = np.nonzero(small)
+            if x is y:
+                same = q == i + p
+                out += [(x.children[k], x.children[k], 0.0) for k in q[same].tolist() if len(x.children[k].members) > 1]
+                p, q = p[~same], q[~same]
+            for k in range(0, len(p), step := max(1, BATCH // LEAF)):
+                self._wait(*_products(x, i + p[k : k + step], y, q[k : k + step]))
+            out += [(x.children[i + p], y.children[q], float(d[p, q])) for p, q in zip(*np.nonzero(near & ~small), strict=True)]
         return out
 
-    def _find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def _join(self, i: int, j: int) -> None:
-        i, j = self._find(i), self._find(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Give linked vectors one label, the smallest of both; labels point to labels of their own."""
+        label = self.label
+        while True:
+            x, y = label[i], label[j]
+            apart = x != y
+            if not apart.any():
+                return
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (up := label[label]).tobytes() != label.tobytes():
+                label[:] = up
 
     def _all(self, x: Node, y: Node) -> None:
         if x is y:
@@ -143,30 +195,51 @@ class Traversal:
         else:
             self.links_a[x.members] += self.wb[y.members].sum()
             self.links_b[y.members] += self.wa[x.members].sum()
-        first = int(x.members[0])
-        for m in x.members.tolist():
-            self._join(first, m)
-        for m in y.members.tolist():
-            self._join(first, self.shift + m)
+        every = np.concatenate([x.members, self.shift + y.members])
+        self._join(every, np.full(len(every), every[0]))
 
-    def _pairs(self, x: Node, y: Node) -> None:
+    def _leaves(self, x: Node, y: Node) -> None:
+        """Decide the pairs of two nodes by one product, or put a few by to be decided with others in one go."""
         a, b = x.members, y.members
-        cos = (self.a.raw[a] @ self.b.raw[b].T) / (self.a.norms[a][:, None] * self.b.norms[b][None, :])
-        hit = cos >= self.threshold
-        if x is y:
-            hit = np.triu(hit | hit.T, 1)
-        for p, q in zip(*np.nonzero(hit), strict=True):
-            i, j = int(a[p]), int(b[q])
-            self.links_a[i] += self.wb[j]
-            self.links_b[j] += self.wa[i]
-            self._join(i, self.shift + j)
+        if len(a) * len(b) > 64:
+            cos = (self.a.raw[a] @ self.b.raw[b].T) / (self.a.norms[a][:, None] * self.b.norms[b][None, :])
+            hit = np.triu(cos >= self.threshold, 1) if x is y else cos >= self.threshold
+            p, q = np.nonzero(hit)
+            self._link(a[p], b[q])
+        elif x is y:
+            p, q = np.triu_indices(len(a), 1)
+            self._wait(a[p], a[q])
+        else:
+            self._wait(np.repeat(a, len(b)), np.tile(b, len(a)))
+
+    def _wait(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.waiting.append((i, j))
+        self.n_waiting += len(i)
+        if self.n_waiting >= BATCH:
+            self._decide()
+
+    def _decide(self) -> None:
+        waiting, self.waiting, self.n_waiting = self.waiting, [], 0
+        if not waiting:
+            return
+        i, j = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        for k in range(0, len(i), BATCH):
+            p, q = i[k : k + BATCH], j[k : k + BATCH]
+            cos = np.einsum("ij,ij->i", self.a.raw[p], self.b.raw[q]) / (self.a.norms[p] * self.b.norms[q])
+            hit = cos >= self.threshold
+            self._link(p[hit], q[hit])
+
+    def _link(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.links_a, i, self.wb[j])
+        np.add.at(self.links_b, j, self.wa[i])
+        self._join(i, self.shift + j)
 
     def rows(self, reps_a: np.ndarray, reps_b: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(rep, links, a linked rep that stands for the component) of every vector with a link."""
         reps = reps_a if self.same else np.concatenate([reps_a, reps_b])
         links = self.links_a if self.same else np.concatenate([self.links_a, self.links_b])
         for i in np.flatnonzero(links).tolist():
-            yield int(reps[i]), int(links[i]), int(reps[self._find(i)])
+            yield int(reps[i]), int(links[i]), int(reps[self.label[i]])
 
 
 def _send(reps: DataFrame, threshold: float) -> DataFrame:
@@ -176,7 +249,7 @@ def _send(reps: DataFrame, threshold: float) -> DataFrame:
     sizes = reps.groupBy("part").count()
     large = sizes.where(F.col("count") > BLOCK)
     n_large = large.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    small = reps.join(large.select("part"), "part", "left_anti").select(F.col("part").alias("task"), F.lit(True).alias("home"), "rep", "weight", "vec")
+    small = reps.join(large.select("part"), "part", "left_anti").select(F.concat("part", F.lit("/0")).alias("task"), F.lit(True).alias("home"), "rep", "weight", "vec")
     if not n_large:
         return small
     per = max(BLOCK, math.ceil(n_large / MAX_PIVOTS))
@@ -185,25 +258,24 @@ def _send(reps: DataFrame, threshold: float) -> DataFrame:
     pivots: dict[str, list] = {}
     for r in picked.select("part", "rep", "vec").orderBy("part", "rep").collect():
         pivots.setdefault(r["part"], []).append(r["vec"])
-    unit = {k: (m := np.array(v)) / np.sqrt((m * m).sum(axis=1))[:, None] for k, v in pivots.items()}
-    first = spark.sparkContext.broadcast(unit)
+    first = spark.sparkContext.broadcast({k: unit_rows(np.array(v)) for k, v in pivots.items()})
     placed_schema = T.StructType([*_SENT.fields[2:], T.StructField("part", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())])
     schema = to_arrow_schema(placed_schema)
 
+    def by_part(parts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        names = np.array(parts, dtype=object)
+        for p in set(parts):
+            yield p, np.flatnonzero(names == p)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             reps_, weights, vecs, parts = (c.to_pylist() for c in b.columns)
-            cells, away = [], []
-            for v, p in zip(vecs, parts, strict=True):
-                centres = first.value.get(p)
-                if centres is None:
-                    cells.append(0)
-                    away.append(2.0)
-                    continue
-                x = np.array(v)
-                cos = centres @ (x / math.sqrt(x @ x))
-                cells.append(int(np.argmax(cos)))
-                away.append(math.sqrt(max(0.0, 2 - 2 * cos.max())))
+            cells, away = np.zeros(len(parts), np.int32), np.full(len(parts), 2.0)
+            for p, at in by_part(parts):
+                if (centres := first.value.get(p)) is not None:
+                    cos = unit_rows(np.array([vecs[i] for i in at.tolist()], float)) @ centres.T
+                    cells[at] = cos.argmax(axis=1)
+                    away[at] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1)))
             yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip((reps_, weights, vecs, parts, cells, away), schema, strict=True)], schema=schema)
 
     placed = materialise(reps.join(large.select("part"), "part", "left_semi").select("rep", "weight", "vec", "part").mapInArrow(place, placed_schema))
@@ -212,30 +284,63 @@ def _send(reps: DataFrame, threshold: float) -> DataFrame:
     plan = {}
     for part in {p for p, _ in cells}:
         ids = sorted(c for p, c in cells if p == part)
-        plan[part] = (np.array(ids), np.array([cells[part, c][1] for c in ids]), [math.ceil(cells[part, c][0] / BLOCK) for c in ids])
+        plan[part] = (np.array(ids), np.array([cells[part, c][1] for c in ids]), np.array([math.ceil(cells[part, c][0] / BLOCK) for c in ids]))
     second = spark.sparkContext.broadcast(plan)
+
+    def near(part: str, vecs: list, cells: np.ndarray) -> np.ndarray:
+        """For each vector, which of the label's later cells may hold something linked to it."""
+        ids, radii, _ = second.value[part]
+        centres = first.value.get(part)
+        if centres is None:
+            return np.zeros((len(vecs), len(ids)), bool)
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (unit_rows(np.array(vecs, float)) @ centres[ids].T)))
+        return (ids[None, :] > cells[:, None]) & (d <= radii[None, :] + reach + SLACK)
+
+    visits_schema = to_arrow_schema(_VISITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vecs, parts = (b.column(c).to_pylist() for c in range(2))
+            cells = b.column(2).to_numpy()
+            out = []
+            for p, at in by_part(parts):
+                n = near(p, [vecs[i] for i in at.tolist()], cells[at]).sum(axis=0)
+                out += [(p, int(second.value[p][0][k]), int(n[k])) for k in np.flatnonzero(n).tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), visits_schema, strict=True)], schema=visits_schema)
+
+    # One row a cell again. A cell's blocks also visit each other; those are at most as many as its vectors.
+    visits = {(r["part"], r["cell"]): r["n"] for r in placed.select("vec", "part", "cell").mapInArrow(count, _VISITS).groupBy("part", "cell").agg(F.sum("n").alias("n")).collect()}
+    copies = {k: max(1, math.ceil((visits.get(k, 0) + n) / (VISITS * BLOCK))) for k, (n, _) in cells.items()}
+    third = spark.sparkContext.broadcast(copies)
     sent_schema = to_arrow_schema(_SENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), sent_schema, strict=True)], schema=sent_schema)
+
         for b in batches:
+            reps_, weights, vecs, parts, cells, spread = (c.to_pylist() for c in b.columns)
             out = []
-            for rep, weight, vec, part, cell, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, radii, blocks = second.value[part]
-                own = blocks[int(np.searchsorted(ids, cell))]
-                mine = block % own
-                out.append((f"{part}/{cell}/{mine}", True, rep, weight, vec))
-                out += [(f"{part}/{cell}/{k}", False, rep, weight, vec) for k in range(mine + 1, own)]
-                centres = first.value.get(part)
-                if centres is not None:
-                    x = np.array(vec)
-                    d = np.sqrt(np.maximum(0.0, 2 - 2 * (centres[ids] @ (x / math.sqrt(x @ x)))))
-                    for k in np.flatnonzero((ids > cell) & (d <= radii + reach + SLACK)).tolist():
-                        out += [(f"{part}/{ids[k]}/{j}", False, rep, weight, vec) for j in range(blocks[k])]
-                if len(out) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), sent_schema, strict=True)], schema=sent_schema)
-                    out = []
+            for p, at in by_part(parts):
+                ids, _, blocks = second.value[p]
+                here = [vecs[i] for i in at.tolist()]
+                later = near(p, here, np.array([cells[i] for i in at.tolist()]))
+                for i, vec, row in zip(at.tolist(), here, later, strict=True):
+                    body, cell, salt = (reps_[i], weights[i], vec), cells[i], spread[i] // 1024
+                    own = int(blocks[np.searchsorted(ids, cell)])
+                    mine = spread[i] % own
+                    n = third.value[p, cell]
+                    out += [(f"{p}/{cell}/{mine}/{s}", True, *body) for s in range(n)]
+                    out += [(f"{p}/{cell}/{k}/{salt % n}", False, *body) for k in range(mine + 1, own)]
+                    for k in np.flatnonzero(row).tolist():
+                        n = third.value[p, ids[k]]
+                        out += [(f"{p}/{ids[k]}/{j}/{salt % n}", False, *body) for j in range(blocks[k])]
+                    if len(out) >= 2000:
+                        yield flush(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), sent_schema, strict=True)], schema=sent_schema)
+                yield flush(out)
 
     block = F.pmod(F.xxhash64(F.lit(9), "rep"), F.lit(1 << 30)).cast("long")
     return small.unionByName(placed.select("rep", "weight", "vec", "part", "cell", block.alias("block")).mapInArrow(send, _SENT))
@@ -256,10 +361,12 @@ def _compare(sent: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], schema=schema)
 
         def settle() -> Iterator[pa.RecordBatch]:
-            """The home block against itself, once all of it is here."""
+            """The home block against itself, once all of it is here; of its copies one does that."""
             nonlocal tree
             if home and tree is None:
                 tree = tables(home)
+                if not task.endswith("/0"):
+                    return
                 yield from emit(Traversal(tree[2], tree[2], tree[1], tree[1], threshold).rows(tree[0], tree[0]))
 
         def visitors() -> Iterator[pa.RecordBatch]:
@@ -293,13 +400,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Only rows of one label and one length are compared. A null label, and a
     vector that is null, empty, all zero or holds a null or non-finite component
-    links with nothing: 0 links, its own component, kept. Rows that share an id
-    are vectors of their own.
+    links with nothing: 0 links, its own component, kept. Components of any finite
+    size count, as vectors are scaled first. Rows that share an id are vectors of
+    their own. A null id links like any other and counts in others' n_links; a
+    component of null ids only has a null component_id, and its rows are kept.
     """
     x = F.col("vec")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     usable = (
-        F.col("label").isNotNull() & F.col("vec_id").isNotNull() & x.isNotNull() & F.exists(x, lambda v: v != 0)
+        F.col("label").isNotNull() & x.isNotNull() & F.exists(x, lambda v: v != 0)
         & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     )
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("part", F.concat_ws("~", F.size("vec").cast("string"), "label"))
@@ -319,4 +428,4 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     )
     linked = rows.where("ok").select("vec_id", *key).join(info, key).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return linked.unionByName(alone).withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

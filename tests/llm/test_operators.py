@@ -67,11 +67,65 @@ def words_of(text):
 # --- 1 toxicity
 
 
-def test_log_ratios_sum_to_one_and_favour_what_a_class_has_seen():
-    counts = {"\x02ab": (8, 1), "\x02ac": (1, 8), "abc": (4, 4), "abd": (0, 2)}
+def brute_kneser_ney(counts, k, discount):
+    """P(letter | context) of class k from the definition, with nothing remembered."""
+    def types(size):
+        return {g[-size:] for g in counts}
+
+    def lower(context, letter):
+        low = lower(context[1:], letter) if context else 1 / len(types(1))
+        # How many letters precede each continuation of the context.
+        n = {x: sum(g[1:] == context + x for g in types(len(context) + 2)) for x in sorted({g[-1] for g in counts})}
+        total = sum(n.values())
+        return (max(n.get(letter, 0) - discount, 0) + discount * sum(c > 0 for c in n.values()) * low) / total if total else low
+
+    def prob(context, letter):
+        n = {g[-1]: c[k] for g, c in counts.items() if g[:-1] == context and c[k]}
+        total = sum(n.values())
+        low = lower(context[1:], letter)
+        return (max(n.get(letter, 0) - discount, 0) + discount * len(n) * low) / total if total else low
+
+    return prob
+
+
+def test_kneser_ney_sums_to_one_and_equals_its_definition():
+    r = random.Random(21)
+    text = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 7))) for _ in range(60)]
+    counts = {}
+    for k, words in enumerate((text[:25], text[25:])):
+        for w in words:
+            for g in toxicity.grams_of(w, 3):
+                c = list(counts.get(g, (0, 0)))
+                c[k] += 1
+                counts[g] = tuple(c)
+    model = toxicity.KneserNey(counts, 0.75)
+    contexts = {g[:-1] for g in counts} | {"zz", "az", "ba"}
+    for k in (0, 1):
+        brute = brute_kneser_ney(counts, k, 0.75)
+        for ctx in contexts:
+            p = [model.prob(ctx + x, k) for x in model.letters]
+            assert math.isclose(sum(p), 1) and min(p) > 0
+            assert np.allclose(p, [brute(ctx, x) for x in model.letters])
     grams, backoff = toxicity.log_ratios(counts, 0.75)
-    assert grams["\x02ab"] > 1 and grams["\x02ac"] < -1
-    assert set(backoff) == {"\x02a", "ab"}
+    scorer = toxicity.Scorer(grams, backoff, toxicity.ToxicityParams(order=3, passage=2))
+    words = ["abca", "zq", "dd", "cab"]
+    each = [sum(math.log(model.prob(g, 0) / model.prob(g, 1)) for g in toxicity.grams_of(w, 3)) for w in words]
+    got = scorer.text(" ".join(words))
+    assert np.allclose(got, (sum(each) / 4, max(sum(each[i : i + 2]) for i in range(3)) / 2, 4))
+    assert np.allclose(scorer.text("dd"), (each[2], each[2] / 2, 1)) and scorer.text(None) == (0, 0, 0)
+
+
+def test_toxicity_scores_each_row_as_the_model_says(spark, docs, rows):
+    """Repeated rows, a very long text, ids labelled both ways, null labels; scores against the curve by hand."""
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)] + [(1, 1), (1, 0), (2, None), (None, 1), (5, 1), (5, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.ToxicityParams(calibrate=0.5))
+    scorer = toxicity.Scorer(model.grams, model.backoff, model.params)
+    want = [(i, 1 / (1 + math.exp(-float(np.dot(toxicity._features(*scorer.text(t)), model.curve))))) for i, t, *_ in rows]
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows)
+    for a, b in zip(by_id(got), by_id(want)):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9)
+    assert len({r["score"] for r in got if r["doc_id"] == 75}) == 1
 
 
 def test_toxicity_held_out(spark, empty):
@@ -461,9 +515,12 @@ def test_mixing(docs, rows, empty):
 # --- 10 embeddings
 
 
-@pytest.mark.parametrize("block", [4096, 12])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "product", "visits"), [(4096, 1 << 20, 4), (12, 1, 4), (12, 30, 0.3), (40, 1, 4)])
+def test_embeddings(spark, monkeypatch, block, product, visits):
+    # Small blocks make cells with visitors, small products make the traversal descend, few visits make copies of blocks.
     monkeypatch.setattr(embed, "BLOCK", block)
+    monkeypatch.setattr(embed, "PRODUCT", product)
+    monkeypatch.setattr(embed, "VISITS", visits)
     r = np.random.default_rng(7)
     data = []
     for k in range(12):
@@ -483,11 +540,36 @@ def test_embeddings(spark, monkeypatch, block):
     for i in ids:
         c = min(j for j in ids if root[at[j]] == root[at[i]])
         want.append((i, sum(i in x for x in links), c, c == i))
-    assert len(links) > 100
+    assert len(links) > 100 and near_duplicate_trees(data, ok, label, links)
     assert by_id(embed.near_duplicates(df).collect()) == by_id(want)
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_duplicate_trees(data, ok, label, links):
+    """The traversal alone, within one tree and between two, finds the links of a label."""
+    ids = [i for i in ok if label[i] == 0 and len(ok[i]) == 8]
+    index = {v: k for k, v in enumerate(ids)}
+    want = np.zeros(len(ids), int)
+    for a, b in links:
+        if a in index and b in index:
+            want[index[a]] += 1
+            want[index[b]] += 1
+    tree, half = embed.CoverTree(np.array([ok[i] for i in ids])), len(ids) // 2
+    one = np.ones(len(ids), np.int64)
+    whole = embed.Traversal(tree, tree, one, one).links_a
+    parts = [embed.CoverTree(np.array([ok[i] for i in x])) for x in (ids[:half], ids[half:])]
+    inner = np.concatenate([embed.Traversal(t, t, one[: len(t.unit)], one[: len(t.unit)]).links_a for t in parts])
+    cross = embed.Traversal(*parts, one[:half], one[half:])
+    return (whole == want).all() and (inner + np.concatenate([cross.links_a, cross.links_b]) == want).all()
+
+
+def test_embeddings_with_null_ids_and_any_magnitude(spark):
+    data = [(None, [1.0, 0.0], 0), (4, [1.0, 0.01], 0), (None, [0.0, 1.0], 0), (None, [0.01, 1.0], 0), (7, [3e200, 1e200], 1), (8, [3e-200, 1e-200], 1), (9, [-3.0, 1.0], 1), (None, None, 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    want = [(None, 1, 4, False), (4, 1, 4, True), (None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True), (None, 0, None, True)]
+    assert by_id(embed.near_duplicates(df).collect()) == by_id(want)
+
+
 def test_embeddings_of_one_id_are_vectors_of_their_own(spark):
     # Id 1 is on vectors of two labels and on two of one label; 5 and 6 are near one each.
     data = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (1, [0.0, 0.0, 1.0], 1), (5, [1.0, 0.01, 0.0], 0), (6, [0.0, 1.0, 0.01], 0), (7, [0.0, 0.01, 1.0], 1), (0, [0.0, 1.0, 0.02], 0)]
