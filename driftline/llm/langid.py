@@ -16,22 +16,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, uniform
+from .common import discard, map_columns, materialise, uniform
 
 UNKNOWN = "und"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-_VECTOR = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
+_VECTOR = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType()), T.StructField("pick", T.DoubleType())])
 
 
 @dataclass(frozen=True)
 class LangParams:
     """`per_lang`: expected number of training texts of each language (the bound of the sample).
 
-    `dims`: hashed features. `orders`: n-gram lengths. `alpha`, `beta`: step
-    sizes; `l1`, `l2`: elastic net; `seed`: sample and order.
+    `sample_bytes`: most bytes of feature vectors that the driver trains on; a larger
+    sample is thinned evenly. `dims`: hashed features. `orders`: n-gram lengths.
+    `alpha`, `beta`: step sizes; `l1`, `l2`: elastic net; `seed`: sample and order.
     """
 
     per_lang: int = 300
+    sample_bytes: int = 256 << 20
     dims: int = 1 << 15
     orders: tuple[int, ...] = (1, 2, 3)
     epochs: int = 6
@@ -67,11 +69,14 @@ def _fold_table() -> np.ndarray:
     return table
 
 
+#: Characters counted at once; what precedes a piece is carried into it.
 _PIECE = 1 << 22
 
 
-def _letters(text: str) -> np.ndarray:
+def _letters(text: str, before: np.ndarray) -> np.ndarray:
+    """Lower-case code points after those in `before`, each run of anything but letters as one space."""
     cps = _fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    cps = np.concatenate([before, cps])
     keep = np.ones(len(cps), bool)
     keep[1:] = (cps[1:] != 32) | (cps[:-1] != 32)
     return cps[keep]
@@ -80,44 +85,50 @@ def _letters(text: str) -> np.ndarray:
 def term_counts(text: str | None, p: LangParams) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text; None when it is null or has no letter.
 
-    Runs of anything but letters count as one space. Texts over 4 million
-    characters are counted in pieces of that length and the counts added.
+    Runs of anything but letters count as one space. Long texts are counted in
+    pieces, each after the last letters of the one before, so no n-gram is lost
+    or counted twice where they meet.
     """
     if not text:
         return None
     total, any_letter = np.zeros(p.dims), False
     shift = np.uint64(64 - int(math.log2(p.dims)))
+    longest = max(p.orders)
+    tail = np.zeros(0, np.uint32)
     for i in range(0, len(text), _PIECE):
-        x = _letters(text[i : i + _PIECE]).astype(np.uint64)
-        if not (x != 32).any():
-            continue
-        any_letter = True
+        seen = len(tail)
+        whole = _letters(text[i : i + _PIECE], tail)
+        x = whole.astype(np.uint64)
+        any_letter = any_letter or bool((whole != 32).any())
         for n in p.orders:
-            if len(x) < n:
+            # n-grams that end in this piece.
+            y = x[max(0, seen - n + 1) :]
+            if len(y) < n:
                 continue
-            h = np.full(len(x) - n + 1, n, np.uint64)
+            h = np.full(len(y) - n + 1, n, np.uint64)
             for k in range(n):
-                h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ y[k : len(y) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             total += np.bincount(((h * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64), minlength=p.dims)
+        tail = whole[max(0, len(whole) - max(1, longest - 1)) :]
     return total if any_letter else None
 
 
-def _vectors(docs: DataFrame, p: LangParams, text_col: str, lang_col: str) -> DataFrame:
+def _vectors(docs: DataFrame, p: LangParams, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     def make():
-        def run(langs, texts):
-            out = ([], [], [])
-            for lang, text in zip(langs, texts, strict=True):
+        def run(langs, texts, picks):
+            out = ([], [], [], [])
+            for lang, text, pick in zip(langs, texts, picks, strict=True):
                 tf = term_counts(text, p)
                 if tf is not None:
                     at = np.flatnonzero(tf)
-                    for o, v in zip(out, (lang, at.astype("<i4").tobytes(), np.log1p(tf[at]).astype("<f4").tobytes()), strict=True):
+                    for o, v in zip(out, (lang, at.astype("<i4").tobytes(), np.log1p(tf[at]).astype("<f4").tobytes(), pick), strict=True):
                         o.append(v)
             return out
 
         return run
 
-    return map_columns(docs, [docs[lang_col].cast("string"), docs[text_col]], make, _VECTOR)
+    return map_columns(docs, [docs[lang_col].cast("string"), docs[text_col], uniform(id_col, text_col, seed=p.seed + 2).alias("pick")], make, _VECTOR)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -153,7 +164,8 @@ def fit(docs: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id", t
     """Fit on an expected `per_lang` texts of each language.
 
     Rows are picked by a hash of their id, so the sample doesn't depend on order
-    or partitioning. Null languages and texts without letters teach nothing.
+    or partitioning; repeated ids are picked together. Null languages and texts
+    without letters teach nothing; a language named `und` is learnt like any other.
     Returns None when nothing is left to learn from.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -163,7 +175,13 @@ def fit(docs: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id", t
     langs = sorted(r["lang"] for r in counts)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, p.per_lang / r["count"]))])
     picked = known.where(uniform(id_col, seed=p.seed) < F.coalesce(share[F.col(lang_col).cast("string")], F.lit(0.0)))
-    rows = [(langs.index(r["lang"]), np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in _vectors(picked, p, text_col, lang_col).collect()]
+    vectors = materialise(_vectors(picked, p, id_col, text_col, lang_col))
+    size = vectors.agg(F.coalesce(F.sum(F.octet_length("at") + F.octet_length("value")), F.lit(0))).first()[0]
+    if size > p.sample_bytes:
+        vectors = vectors.where(F.col("pick") < p.sample_bytes / size)
+    place = {lang: k for k, lang in enumerate(langs)}
+    rows = [(place[r["lang"]], np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float)) for r in vectors.toLocalIterator()]
+    discard(vectors)
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
@@ -209,8 +227,9 @@ def predict(docs: DataFrame, model: LangModel | None, id_col: str = "doc_id", te
     """(doc_id, lang_pred, score) for each row, from the text alone.
 
     Null texts and texts without a letter get `und` and score 0; so does every
-    row if the model is None. Ids may repeat or be null; each row is kept. The
-    model (dims x languages doubles, a fixed bound) is broadcast.
+    row if the model is None. Of languages equally likely the first by name wins.
+    Ids may repeat or be null; each row is kept. The model (dims x languages
+    doubles) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
