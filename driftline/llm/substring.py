@@ -11,7 +11,9 @@ at two. A key's estimate is at least the number of documents that hold it, so at
 least the number that hold any of its windows.
 
 Second pass. Windows whose key is estimated in two documents or more are grouped
-exactly, by a 128-bit hash of their words. A task first settles what its own
+exactly. Equal are windows whose 128-bit digests are: two 64-bit sums over the
+words, each over a half of the words' own 128-bit digests that the other doesn't
+use, so a collision must happen in both at once. A task first settles what its own
 documents decide (all but the smallest id of a window go, as someone smaller is
 there) and sends on only the smallest, so a passage that a third of all
 documents share adds one row a task, not one a document.
@@ -49,10 +51,10 @@ _U = np.uint64
 _SKETCH = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("once", T.BinaryType()), T.StructField("more", T.BinaryType())])
 _BITMAP = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 _SEEN = T.StructType([
-    T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.IntegerType()),
+    T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()),
     T.StructField("pos", T.IntegerType()), T.StructField("gone", T.BinaryType()),
 ])
-_GONE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.IntegerType()), T.StructField("gone", T.BinaryType())])
+_GONE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("gone", T.BinaryType())])
 _KEPT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
 ])
@@ -65,13 +67,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class Words:
+    """Two independent 64-bit digests of each word of a text."""
+
+    __slots__ = ("low", "high")
+
+    def __init__(self, low: np.ndarray, high: np.ndarray) -> None:
+        self.low, self.high = low, high
+
+
 class Windows:
-    """Rolling hashes of a text's windows; word hashes are remembered up to a bound."""
+    """Rolling hashes of a text's windows; word digests are remembered up to a bound, those of very long words never."""
 
-    def __init__(self, keep: int = 400_000) -> None:
-        self.keep, self.known, self.size = keep, {}, 0
+    def __init__(self, keep: int = 400_000, longest: int = 64) -> None:
+        self.keep, self.longest, self.size = keep, longest, 0
+        self._forget()
         self._grow(1 << 12)
 
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.digests = np.zeros((1 << 12, 2), _U)
+
     def _grow(self, n: int) -> None:
         if n > self.size:
             self.size = 1 << (n - 1).bit_length()
@@ -86,28 +102,40 @@ class Windows:
         np.cumsum(w * powers[:n], out=sums[1:])
         return (sums[size:] - sums[:-size]) * inverse[: n - size + 1]
 
-    def words(self, words: list[bytes]) -> np.ndarray:
+    def words(self, words: list[bytes]) -> Words:
         if len(self.known) > self.keep:
-            self.known.clear()
+            self._forget()
         known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
+        new = [w for w in set(words) if w not in known]
+        # Very long words come last; their digests are overwritten by the next text's.
+        new.sort(key=lambda w: len(w) > self.longest)
+        if len(known) + len(new) > len(self.digests):
+            self.digests = np.concatenate([self.digests, np.zeros((len(new) + len(self.digests), 2), _U)])
+        n = len(known)
+        self.digests[n : n + len(new)] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), ">u8").reshape(-1, 2)
+        place = dict(zip(new, range(n, n + len(new)), strict=True))
+        if new and len(new[-1]) > self.longest:
+            known.update((w, k) for w, k in place.items() if len(w) <= self.longest)
+            at = [place[w] if w in place else known[w] for w in words]
+        else:
+            known.update(place)
+            at = map(known.__getitem__, words)
         self._grow(len(words))
-        return np.fromiter(map(known.__getitem__, words), _U, len(words))
+        both = self.digests[np.fromiter(at, np.int64, len(words))]
+        return Words(np.ascontiguousarray(both[:, 1]), np.ascontiguousarray(both[:, 0]))
 
-    def keys(self, w: np.ndarray) -> np.ndarray:
+    def keys(self, w: Words) -> np.ndarray:
         """For each window, the smallest hash of the spans in it."""
-        spans = _mix(self._roll(w, self.p1, self.i1, SPAN))
+        spans = _mix(self._roll(w.low, self.p1, self.i1, SPAN))
         width, step, low = WINDOW - SPAN + 1, 1, spans
         while step * 2 <= width:
             low = np.minimum(low[:-step], low[step:])
             step *= 2
         return np.minimum(low[: len(low) - (width - step)], low[width - step :]) if step < width else low
 
-    def hashes(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for each window, in two halves."""
-        return _mix(self._roll(w, self.p1, self.i1, WINDOW)), _mix(self._roll(_mix(w), self.p2, self.i2, WINDOW))
+    def hashes(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each window, in two halves that share nothing."""
+        return _mix(self._roll(w.low, self.p1, self.i1, WINDOW)), _mix(self._roll(w.high, self.p2, self.i2, WINDOW))
 
 
 def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -231,7 +259,7 @@ def _suspects(docs: DataFrame, bits: int, shared) -> DataFrame:
                 at = np.flatnonzero(hit)
                 if len(at):
                     h1, h2 = win.hashes(w)
-                    for x, y in zip(found, (h1[at], h2[at], np.full(len(at), i, np.int64), np.full(len(at), code, np.int32), at.astype(np.int32)), strict=True):
+                    for x, y in zip(found, (h1[at], h2[at], np.full(len(at), i, np.int64), np.full(len(at), code, np.int64), at.astype(np.int32)), strict=True):
                         x.append(y)
                     n += len(at)
             if n > CHUNK:
@@ -299,11 +327,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, kept_sha256) for each row, or with `digest=False` the text left instead of its hash.
 
     Null texts have no words; texts under 50 words lose nothing. Windows are
-    judged on the input. Rows that share an id don't remove each other's words;
+    judged on the input. Rows that share an id don't remove each other's words and
+    are told apart by the 64-bit hash of their text (equal rows lose the same);
     a null id neither removes nor loses words. Every text moves once, to meet
     its own positions; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     bits = sketch_bits(docs.select(id_col, text_col))
     maps = sketch(rows, bits)
     shared = docs.sparkSession.sparkContext.broadcast(maps)
