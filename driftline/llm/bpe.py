@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import map_columns
 
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
-CACHE = 400_000
+#: Pre-tokens whose ids a worker remembers before it starts afresh, and the characters of the longest one it remembers.
+CACHE, LONGEST = 400_000, 64
 #: The pattern whose pre-tokens hold no space but at their start, adjoining spaces aside.
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -44,8 +44,9 @@ def _alphabet() -> list[str]:
 
 
 ALPHABET = _alphabet()
-#: latin-1 text (a character per byte) to the alphabet.
+#: latin-1 text (a character per byte) to the alphabet, and back to the byte.
 _MAP = {b: c for b, c in enumerate(ALPHABET)}
+_BYTE = {c: b for b, c in enumerate(ALPHABET)}
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -101,9 +102,11 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         import sentencepiece
 
-        self.bytes = read_ranks(path)
-        self.whole = {p: i for i, p in enumerate(self.bytes)}
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.bytes))
+        pieces = read_ranks(path)
+        self.whole = {p: i for i, p in enumerate(pieces)}
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_proto(pieces))
+        # Decoding knows the model only: each id's piece, and the byte behind each of its characters.
+        self.bytes = [bytes(map(_BYTE.__getitem__, self.sp.id_to_piece(i))) for i in range(len(pieces))]
         self.find = regex.compile(pattern).findall
         self.splits_at_spaces = pattern == SPACE_PATTERN
         self.strings = [str(i) for i in range(len(self.bytes))]
@@ -156,13 +159,19 @@ class Codec:
         for t, x in zip(new, found, strict=True):
             known[t] = part(x[0]) if len(x) == 1 else b"".join(map(part, x))
         chunk = known.__getitem__
-        return [np.frombuffer(b"".join(map(part, head)) + b"".join(map(chunk, rest)), "<i4") for head, (_, rest) in zip(heads, cut, strict=True)]
+        out = [np.frombuffer(b"".join(map(part, head)) + b"".join(map(chunk, rest)), "<i4") for head, (_, rest) in zip(heads, cut, strict=True)]
+        for t in new:
+            if len(t) > LONGEST:
+                del known[t]
+        for t in {t for x in chain(heads, found) for t in x if len(t) > LONGEST}:
+            parts.pop(t, None)
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The bytes behind ids; the inverse of `encode` on UTF-8."""
+        """The bytes behind ids by the inverse of the byte map; the inverse of `encode` on UTF-8."""
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
     def text_of(self, ids: np.ndarray) -> str:
