@@ -22,6 +22,8 @@ BITS, SEGMENTS, MAX_DISTANCE = 64, 2, 2
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("text_hash", T.LongType())])
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
+#: Fingerprints under one variant and remainder beyond which these are told apart further.
+CROWD = 1024
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -72,17 +74,28 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
 
     A fingerprint has at most 2,080 others within that distance, so the pairs
     grow in proportion to the fingerprints however many documents share them.
+    Remainders that many fingerprints share are told apart further, losing none.
     """
     variants = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in _masks()])).alias("variant", "mask")).select(
-        "fp", "variant", F.col("fp").bitwiseAND(F.col("mask")).alias("rest")
+        "fp", "variant", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest")
     )
-    a, b = variants.alias("a"), variants.alias("b")
+    # Counted where the join needs the rows anyway: one exchange serves both.
+    variants = variants.withColumn("crowd", F.count("*").over(Window.partitionBy("variant", "rest")) > CROWD)
+    # Where many share a remainder, the other segment is cut in three: at most two of its bits differ, so one part is equal.
+    width = BITS // SEGMENTS
+    other = F.when(F.col("variant") < width, F.shiftrightunsigned("fp", width)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << width) - 1)))
+    cuts = [((1 << 11) - 1), ((1 << 11) - 1) << 11, ((1 << 10) - 1) << 22]
+    split = variants.where("crowd").select("fp", "variant", "rest", F.posexplode(F.array(*[other.bitwiseAND(F.lit(c)) for c in cuts])).alias("part", "same"))
+    few = variants.where("NOT crowd").select("fp", "variant", "rest")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_DISTANCE
-    return (
-        a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.fp") < F.col("b.fp")) & near)
-        .select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-        .distinct()
-    )
+
+    def meet(side: DataFrame, keys: list[str]) -> DataFrame:
+        on = F.col("a.fp") < F.col("b.fp")
+        for k in keys:
+            on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
+        return side.alias("a").join(side.alias("b"), on & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+    return meet(few, ["variant", "rest"]).union(meet(split, ["variant", "rest", "part", "same"])).distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,6 +146,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep = _components(docs, id_col, text_col).groupBy("root").agg(F.min(order).alias("first"))
     # Equal texts are of one component, so id and text hash lead back to it.
     keep = keep.select(F.coalesce("first.doc_id", least).alias("_id"), F.col("first.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), least), "_hash": F.xxhash64(docs[text_col])})
-    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.col(id_col).isNull()))
-    return keyed.join(keep, ["_id", "_hash"]).withColumn("_n", first).where("_n = 1").select(*[F.col(c) for c in docs.columns])
+    # The rows' own columns travel in one struct, whatever their names.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(docs[id_col].cast("long"), least).alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"), docs[id_col].isNull().alias("_none"))
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_none"))
+    return keyed.join(keep, ["_id", "_hash"]).withColumn("_n", first).where("_n = 1").select("_row.*")
