@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,10 @@ SCHEMA = T.StructType([
 
 
 class Sketcher:
-    """Sketches of texts; hashes of words are remembered up to a bound."""
+    """Sketches of texts; hashes of words are remembered up to a bound, those of very long words never."""
 
-    def __init__(self, k: int = K, keep: int = 400_000) -> None:
-        self.k, self.keep, self.known = k, keep, {}
+    def __init__(self, k: int = K, keep: int = 400_000, longest: int = 64) -> None:
+        self.k, self.keep, self.longest, self.known = k, keep, longest, {}
 
     def sketch(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes, k at most. A text of 1 or 2 words has one shingle, one without words none."""
@@ -50,6 +52,8 @@ class Sketcher:
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         w = np.array([known[x] for x in words], np.uint64)
+        for x in {x for x in words if len(x) > self.longest}:
+            del known[x]
         n = max(1, len(w) - SHINGLE + 1)
         h = np.full(n, 0x51ED270B, np.uint64)
         for i in range(min(SHINGLE, len(w))):
@@ -126,54 +130,74 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return map_columns(docs, [docs[id_col].cast("long").alias("doc_id"), docs[text_col]], make, schema)
 
 
-def _cuts(ids: DataFrame, parts: int) -> list[int]:
-    """Ids, descending, that cut the rows into about as many equal ranges; of repeated cuts one stays."""
-    if parts < 2:
-        return []
-    at = ids.agg(F.percentile_approx("doc_id", [1 - i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    return sorted(set(at), reverse=True)
+class Ranges:
+    """Consecutive ranges of the order of documents, about equal in rows.
+
+    Rows are ordered by id, descending, rows without one last; rows of one id by
+    the hash of their text. Cuts are quantiles of the ids. An id that takes
+    several quantiles, and the rows without an id, are cut further by the hash.
+    """
+
+    def __init__(self, rows: DataFrame, parts: int) -> None:
+        wanted = [1 - i / parts for i in range(1, parts)] or [0.5]
+        at, n, known = rows.agg(F.percentile_approx("doc_id", wanted, 100 * parts), F.count("*"), F.count("doc_id")).first()
+        times = Counter((at or [])[: parts - 1])
+        self.cuts = np.array(sorted(times), np.int64)
+        # Range k is the ids below k of the cuts but not below the next one, which is the last id in it.
+        repeated = [times[c] if times[c] > 1 else 0 for c in self.cuts[::-1].tolist()]
+        self.pieces = np.array([*repeated, 0])
+        self.first = np.concatenate([[0], np.cumsum(1 + self.pieces)])
+        self.of_nulls = max(1, math.ceil((n - known) * parts / max(1, n)))
+        self.count = int(self.first[-1]) + self.of_nulls
+
+    def of(self, ids: np.ndarray, none: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Range of each row; `h` has 31 bits of the text's hash."""
+        k = len(self.cuts) - np.searchsorted(self.cuts, ids, side="right")
+        last = np.append(self.cuts[::-1], 0)[k]
+        pieces = np.where((k < len(self.cuts)) & (ids == last), self.pieces[k], 0)
+        at = self.first[k] + np.where(pieces > 0, 1 + (h * pieces >> 31), 0)
+        return np.where(none, self.first[-1] + (h * self.of_nulls >> 31), at)
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Sketch of every text, of its edited text, and how like they and the next document's are.
 
     The next document is the one after in descending id, after the last the
-    first; equal ids are ordered by text, null ids come last. The edited text has
-    its last floor(n/3) code points replaced by the first as many (or all) of the
-    next document's. Null texts count as empty; no row is lost or added.
-
-    Rows are cut into ranges of ids at quantiles; each range also receives the
-    first row of the range after it, so every text moves once, and a range is
-    read in order with two texts in memory. Only one id per range is collected.
+    first; equal ids are ordered by the hash of their text, null ids come last.
+    The edited text has its last floor(n/3) code points replaced by the first as
+    many (or all) of the next document's. Null texts count as empty; no row is
+    lost or added.
+
+    Rows are cut into ranges of that order; each range also receives the first
+    row of the range after it, so every text moves once, and a range is read in
+    order with two texts in memory. Only one key per range is collected. Only rows
+    equal in id and text can't be parted.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    cuts = _cuts(rows.select("doc_id"), parts)
-    keys = -np.array(cuts, dtype=np.float64) if not cuts or max(map(abs, cuts)) < 1 << 53 else None
-    shared = spark.sparkContext.broadcast((cuts, keys))
+    ranges = Ranges(rows.select("doc_id"), parts)
+    shared = spark.sparkContext.broadcast(ranges)
 
     @F.pandas_udf(T.IntegerType())
-    def range_of(ids: pd.Series) -> pd.Series:
-        cuts, keys = shared.value
-        if keys is None:
-            from bisect import bisect_right
-
-            low = [-c for c in cuts]
-            return pd.Series([len(cuts) if pd.isna(i) else bisect_right(low, -int(i) - 1) for i in ids], dtype="int32")
-        at = np.searchsorted(keys, -ids.to_numpy(dtype=np.float64, na_value=np.nan), side="left")
-        return pd.Series(np.where(ids.isna(), len(cuts), at).astype("int32"))
-
-    placed = rows.withColumn("at", range_of("doc_id") if cuts else F.lit(0))
-    heads = {r["at"]: r["head"] for r in placed.select("doc_id", "at").groupBy("at").agg(F.max("doc_id").alias("head")).collect()}
+    def range_of(ids: pd.Series, none: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.of(ids.to_numpy(), none.to_numpy(), h.to_numpy()).astype("int32"))
+
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    placed = rows.withColumn("at", range_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("h")))
+    # The complement reverses the order of all longs.
+    place = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "h")
+    found = placed.select("doc_id", "h", "at").groupBy("at").agg(F.min_by(F.struct("doc_id", "h"), place).alias("head")).collect()
+    heads = {r["at"]: tuple(r["head"]) for r in found}
     order = sorted(heads)
     if not order:
         return spark.createDataFrame([], SCHEMA)
     # One row for each range.
-    visits = spark.createDataFrame([(heads[order[(i + 1) % len(order)]], at) for i, at in enumerate(order)], "head long, to int")
-    visitors = rows.join(F.broadcast(visits), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("at"), F.lit(1).alias("visitor"))
+    visits = spark.createDataFrame([(*heads[order[(i + 1) % len(order)]], at) for i, at in enumerate(order)], "head long, head_h long, to int")
+    on = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h"))
+    visitors = rows.join(F.broadcast(visits), on).select("doc_id", "text", "h", F.col("to").alias("at"), F.lit(1).alias("visitor"))
     moved = placed.withColumn("visitor", F.lit(0)).unionByName(visitors)
-    moved = moved.repartitionById(len(cuts) + 1, F.col("at")).sortWithinPartitions(F.asc("visitor"), F.desc_nulls_last("doc_id"), F.asc("text"))
+    moved = moved.repartitionById(ranges.count, F.col("at")).sortWithinPartitions(F.asc("visitor"), F.desc_nulls_last("doc_id"), F.asc("h"), F.asc("text"))
     target = to_arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
