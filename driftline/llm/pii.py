@@ -31,8 +31,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-#: Characters on either side of a mention that may hold its context; identifiers are at most so long.
-_AROUND, _LONGEST = 64, 128
+_SPACE = re.compile(r"\s")
 _EDGES = ".,;:!?\"'()[]{}<>|=#"
 
 _MENTION = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("instance", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
@@ -43,7 +42,10 @@ _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("bas
 class PiiParams:
     """`min_seeds`: distinct known instances a pattern needs; `pattern_conf`, `instance_conf`: thresholds.
 
-    `min_digits`, `min_length`: what looks like an identifier.
+    `min_digits`, `min_length`: what looks like an identifier; it may be of any
+    length. `word_chars`: of a longer word before a mention its last characters
+    make the pattern, alone. An instance of over `instance_chars` characters is
+    known by its SHA-256, so long ones stay exact and small.
     """
 
     min_seeds: int = 3
@@ -51,6 +53,8 @@ class PiiParams:
     instance_conf: float = 0.6
     min_digits: int = 3
     min_length: int = 5
+    word_chars: int = 64
+    instance_chars: int = 128
 
 
 def _luhn(digits: str) -> bool:
@@ -98,24 +102,34 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
-def patterns_of(text: str, start: int) -> list[str]:
+def _word_before(text: str, end: int, most: int) -> tuple[str, int, bool]:
+    """(word that ends at `end`, where it starts, whether it is whole): its last `most` characters if it is longer."""
+    low = max(0, end - most)
+    a = end
+    while a > low and not text[a - 1].isspace():
+        a -= 1
+    return text[a:end], a, a == 0 or text[a - 1].isspace()
+
+
+def patterns_of(text: str, start: int, most: int = 64) -> list[str]:
     """Lexical patterns of what starts here: the two words before it, and the word before if it ends in `:`, `=` or `#`.
 
-    Words are lower-cased and their digits become 0.
+    Words are lower-cased and their digits become 0. White space between them may
+    be of any length. A word of over `most` characters counts by its last ones and
+    has none before it.
     """
-    before = _DIGITS.sub("0", text[max(0, start - _AROUND) : start]).lower()
-    attached = bool(before) and not before[-1].isspace()
-    words = before.split()
-    if start > _AROUND and words and len(before) == len(before.lstrip()):
-        words = words[1:]
-    if not words:
+    mark, end = "", start
+    while end and text[end - 1].isspace():
+        mark, end = " ", end - 1
+    if not end:
         return []
-    mark = "" if attached else " "
-    out = []
-    if words[-1].endswith((":", "=", "#")):
-        out.append(words[-1] + mark)
-    if len(words) > 1:
-        out.append(f"{words[-2]} {words[-1]}{mark}")
+    last, at, whole = _word_before(text, end, most)
+    last = _DIGITS.sub("0", last).lower()
+    out = [last + mark] if last.endswith((":", "=", "#")) or not whole else []
+    while whole and at and text[at - 1].isspace():
+        at -= 1
+    if whole and at:
+        out.append(f"{_DIGITS.sub('0', _word_before(text, at, most)[0]).lower()} {last}{mark}")
     return out
 
 
@@ -123,31 +137,47 @@ def mentions(text: str | None, base: list[tuple[int, int, int]], p: PiiParams) -
     """(start, end, instance, whether a fixed form, patterns) of whatever looks like an identifier."""
     if not text:
         return []
-    out = [(a, b, text[a:b], True, x) for _, a, b in base if (x := patterns_of(text, a))]
+
+    def instance(a: int, b: int) -> str:
+        return text[a:b] if b - a <= p.instance_chars else hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()
+
+    out = [(a, b, instance(a, b), True, x) for _, a, b in base if (x := patterns_of(text, a, p.word_chars))]
     spans = sorted((a, b) for _, a, b in base)
     k, done = 0, 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
             continue
-        a, b, low, high = m.start(), m.end(), max(0, m.start() - _LONGEST), min(len(text), m.end() + _LONGEST)
-        while a > low and not text[a - 1].isspace() and text[a - 1] not in "=:":
+        a = m.start()
+        while a > done and not text[a - 1].isspace() and text[a - 1] not in "=:":
             a -= 1
-        while b < high and not text[b].isspace():
-            b += 1
-        done = b
+        space = _SPACE.search(text, m.end())
+        b = done = space.start() if space else len(text)
         while a < b and text[a] in _EDGES:
             a += 1
         while b > a and text[b - 1] in _EDGES:
             b -= 1
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if k < len(spans) and spans[k][0] < b or not p.min_length <= b - a <= _LONGEST:
+        if k < len(spans) and spans[k][0] < b or b - a < p.min_length:
             continue
-        if sum(c.isdigit() for c in text[a:b]) >= p.min_digits and (x := patterns_of(text, a)):
-            out.append((a, b, text[a:b], False, x))
+        if sum(c.isdigit() for c in text[a:b]) >= p.min_digits and (x := patterns_of(text, a, p.word_chars)):
+            out.append((a, b, instance(a, b), False, x))
     return out
 
 
+#: Rows of the smaller side of a join that are broadcast; beyond that the larger side's keys are salted.
+SMALL, SALTS = 500_000, 16
+
+
+def _meet(large: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that `small` has once; no task gets all rows of a key that many of `large` share."""
+    if small.count() <= SMALL:
+        return large.join(F.broadcast(small), key)
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def _bootstrap(edges: DataFrame, p: PiiParams) -> DataFrame:
     """Confident patterns (pattern, conf). `edges`: distinct (pattern, instance, seed).
 
@@ -160,7 +190,7 @@ def _bootstrap(edges: DataFrame, p: PiiParams) -> DataFrame:
         scored = marked.groupBy("pattern").agg(F.sum(F.coalesce("known", F.lit(0))).alias("hits"), F.count("*").alias("n"))
         conf = F.col("hits") / F.col("n") * (1 - F.pow(F.lit(2.0), -F.log2(F.col("hits") + 1)))
         new = materialise(scored.where(F.col("hits") >= p.min_seeds).withColumn("conf", conf).where(F.col("conf") >= p.pattern_conf).select("pattern", "conf"))
-        instances = edges.select("pattern", "instance").distinct().join(new, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf") * 0.999)))).alias("conf"))
+        instances = _meet(edges.select("pattern", "instance").distinct(), new, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf") * 0.999)))).alias("conf"))
         grown = materialise(known.union(instances.where(F.col("conf") >= p.instance_conf).select("instance")).distinct())
         same = grown.count() == known.count()
         for old in (known, *([patterns] if patterns else [])):
@@ -196,7 +226,8 @@ def _scan(docs: DataFrame, p: PiiParams, id_col: str, text_col: str) -> tuple[Da
     said = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m"))
     edges = materialise(said.select(F.explode("m.patterns").alias("pattern"), F.col("m.instance").alias("instance"), F.col("m.seed").alias("seed")).distinct())
     confident = _bootstrap(edges, p)
-    new = said.where(~F.col("m.seed")).select("row", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.explode("m.patterns").alias("pattern")).join(confident.select("pattern"), "pattern", "left_semi")
+    new = said.where(~F.col("m.seed")).select("row", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.explode("m.patterns").alias("pattern"))
+    new = _meet(new, confident.select("pattern"), "pattern")
     return found, materialise(new.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("extra")))
 
 
@@ -250,8 +281,10 @@ def redact(docs: DataFrame, p: PiiParams = PiiParams(), id_col: str = "doc_id",
             out.append(redacted(text, sorted(base_spans(text) + more, key=lambda s: (s[1], s[0], s[2]))))
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), least), "_hash": F.xxhash64(docs[text_col])}).join(added, ["_id", "_hash"], "left")
-    return keyed.select(*[rewritten(F.col(c), F.col("_extra")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    # The rows' own columns travel in one struct, whatever their names.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(docs[id_col].cast("long"), least).alias("_id"), F.xxhash64(docs[text_col]).alias("_hash"))
+    own = F.col("_row")
+    return keyed.join(added, ["_id", "_hash"], "left").select(*[rewritten(own[c], F.col("_extra")).alias(c) if c == text_col else own[c].alias(c) for c in docs.columns])
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
