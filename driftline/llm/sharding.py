@@ -23,8 +23,11 @@ from .common import materialise
 
 #: Groups that one task differences at once.
 PER_BUCKET = 100_000
+#: Partitions that one task (or at last the driver) joins at once.
+PER_JOIN = 1000
 #: Rows of a shard numbered by one task.
 PER_CHUNK = 200_000
+_MOVED = T.StructType([T.StructField(n, T.LongType()) for n in ("bucket", "part", "to")])
 _PLACED = T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
 
 
@@ -104,6 +107,45 @@ def combine(partitions: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _joined(placed: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """(bucket, part, shard): the shard that each part of each bucket's partition joins.
+
+    Partitions are joined PER_JOIN at a time in tasks, those that result again,
+    until few enough are left for the driver: shards x PER_JOIN rows at most,
+    however many groups there are.
+    """
+    spark = placed.sparkSession
+
+    def final(sums: DataFrame) -> list[tuple[int, int, int]]:
+        held: dict[int, list[int]] = {}
+        for r in sums.collect():
+            held.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["bytes"]
+        order = sorted(held)
+        return [(b, j, f) for b, row in zip(order, combine([held[b] for b in order]), strict=True) for j, f in enumerate(row)]
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, list[int]] = {}
+        for b, j, n in zip(pdf["bucket"].tolist(), pdf["part"].tolist(), pdf["bytes"].tolist(), strict=True):
+            held.setdefault(b, [0] * shards)[j] = n
+        order = sorted(held)
+        rows = [(b, j, f) for b, row in zip(order, combine([held[b] for b in order]), strict=True) for j, f in enumerate(row)]
+        return pd.DataFrame(rows, columns=_MOVED.names)
+
+    sums = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    steps = []
+    while buckets > PER_JOIN:
+        sums = materialise(sums)
+        upper = F.floor(F.col("bucket") / PER_JOIN).cast("long")
+        steps.append(materialise(sums.groupBy(upper.alias("_upper")).applyInPandas(together, _MOVED)))
+        sums = sums.join(steps[-1], ["bucket", "part"]).groupBy(upper.alias("bucket"), F.col("to").alias("part")).agg(F.sum("bytes").alias("bytes"))
+        buckets = math.ceil(buckets / PER_JOIN)
+    out = spark.createDataFrame(final(sums), "bucket long, part long, shard int")
+    for step in reversed(steps):
+        below = step.select(F.col("bucket").alias("_b"), F.col("part").alias("_p"), F.floor(F.col("bucket") / PER_JOIN).cast("long").alias("bucket"), F.col("to").alias("part"))
+        out = below.join(out, ["bucket", "part"]).select(F.col("_b").alias("bucket"), F.col("_p").alias("part"), "shard")
+    return out
+
+
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row.
 
@@ -151,15 +193,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         kept = docs.sparkSession.createDataFrame([(bytes(r["unit"]), k) for r, k in zip(heavy, heavy_at, strict=True)], "unit binary, shard int")
         home = placed.select("unit", F.col("part").alias("shard")).unionByName(kept)
     else:
-        sums: dict[int, list[int]] = {}
-        for r in placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).collect():
-            sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["bytes"]
-        order = sorted(sums)
-        final = combine([sums[b] for b in order])
-        where = [(b, j, f) for b, row in zip(order, final, strict=True) for j, f in enumerate(row)]
-        # One row for each part of each bucket: shards / PER_BUCKET of the groups.
-        mapping = docs.sparkSession.createDataFrame(where, "bucket long, part int, shard int")
-        home = placed.join(mapping, ["bucket", "part"]).select("unit", "shard")
+        home = placed.join(_joined(placed, buckets, shards), ["bucket", "part"]).select("unit", "shard")
     n_rows = rows.count()
     chunks = max(1, math.ceil(n_rows / shards / PER_CHUNK))
     at = materialise(rows.join(home, "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)).alias("chunk")))

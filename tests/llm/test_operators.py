@@ -23,12 +23,15 @@ DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # Columns whose names the operators use themselves.
     T.StructField("size", T.StringType()), T.StructField("score", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("row", T.LongType()),
+    T.StructField("_id", T.StringType()), T.StructField("_hash", T.StringType()), T.StructField("_extra", T.StringType()), T.StructField("_judged", T.StringType()), T.StructField("_row", T.StringType()),
 ])
+#: What those columns hold; whatever returns the columns of its table must return these.
+OWN = ("x", "y", 1, 2, 3, "a", "b", "c", "d", "e")
 WORDS = "the cat sat on a mat and dogs ran over hills while rain fell softly upon grey stones near old rivers".split()
 
 
 def make_docs(spark, rows):
-    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t), "x", "y", 1, 2, 3) for i, t, lang, src in rows], DOCS)
+    return spark.createDataFrame([(i, t, lang, src, None if t is None else len(t), *OWN) for i, t, lang, src in rows], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -168,6 +171,50 @@ def test_language_held_out(spark, docs, empty):
     assert docs.withColumn("j", langid.judged(docs, model)).where("j.lang_pred = 'und'").count() == 4
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 50])
+def test_pieces_of_long_texts_change_no_count(monkeypatch, piece):
+    r = random.Random(13)
+    texts = ["".join(r.choice("abÄß İ1, \n") for _ in range(n)) for n in (1, 2, 3, 5, 20, 99, 100, 150)] + ["   ", "12 34", "a   ", "   a"]
+    p = langid.LangParams(dims=1 << 10)
+
+    def brute(t):
+        x = re.sub(r"[^a-zäßi\u0307İ]+", " ", "".join(c.lower() if len(c.lower()) == 1 else c for c in t))
+        return sum(max(0, len(x) - n + 1) for n in p.orders) if re.search(r"[^ ]", x) else None
+
+    whole = [langid.term_counts(t, p) for t in texts]
+    monkeypatch.setattr(langid, "_PIECE", piece)
+    for t, want in zip(texts, whole):
+        got = langid.term_counts(t, p)
+        assert (None if got is None else got.sum()) == brute(t)
+        assert (got is None) == (want is None) and (got is None or (got == want).all())
+
+
+def test_language_scores_equal_dense_arithmetic(spark, docs, rows):
+    """Predictions against the model's definition, on repeated, blank and very long texts; a tie goes to the first name."""
+    p = langid.LangParams(dims=1 << 12)
+    data = [(i, t, k, "s") for i, (t, k) in enumerate([("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("ein und aus", "und")] * 25)]
+    model = langid.fit(make_docs(spark, data), p)
+    assert model.langs == ["de", "en", "fr", "und"]
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict(docs, model).collect()}
+    for i, t, *_ in rows:
+        tf = langid.term_counts(t, p)
+        if tf is None:
+            assert (i, "und", 0.0) in got
+            continue
+        v = np.where(tf > 0, np.log(1 + tf) * model.idf, 0)
+        z = (v / np.sqrt((v * v).sum()) @ model.weights + model.bias) / model.temperature
+        q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert (i, model.langs[int(q.argmax())], round(float(q.max()), 9)) in got
+    flat = langid.LangModel(["b", "c"], np.ones(p.dims), np.zeros((p.dims, 2)), np.zeros(2), 1.0, p)
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(docs.where("doc_id = 60"), flat).collect()} == {("b", 0.5)}
+
+
+def test_language_sample_is_thinned_to_its_bytes(spark):
+    data = [(i, f"{'ab' if i % 2 else 'cd'} {i}", "x" if i % 2 else "y", "s") for i in range(400)]
+    model = langid.fit(make_docs(spark, data), langid.LangParams(sample_bytes=2000))
+    assert model.langs == ["x", "y"]
+
+
 def test_every_language_is_learnt(spark):
     data = [(2 * i + k, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} text", f"l{i:03}", "s") for i in range(410) for k in (0, 1)]
     assert len(langid.fit(make_docs(spark, data)).langs) == 410
@@ -206,15 +253,57 @@ def test_substring(docs, rows, empty):
     assert texts["n_removed"] == texts["n_words"] and texts["text"] == ""
 
 
-def test_substring_small_sketch_loses_nothing(docs, rows, monkeypatch):
+def test_substring_in_small_chunks(docs, rows, monkeypatch):
     monkeypatch.setattr(substring, "CHUNK", 50)
     assert by_id(substring.remove_repeats(docs).collect()) == by_id(brute_kept(rows))
 
 
+def test_substring_full_sketch_loses_nothing(docs, rows, monkeypatch):
+    """A sketch of 64 cells estimates every window as repeated; the second pass still tells them apart."""
+    monkeypatch.setattr(substring, "BLOCK", 4)
+    monkeypatch.setattr(substring, "sketch_bits", lambda _: 6)
+    assert all(np.unpackbits(b).all() for b in substring.sketch(docs.select("text"), 6).values())
+    assert by_id(substring.remove_repeats(docs).collect()) == by_id(brute_kept(rows))
+
+
+def test_sketch_never_underestimates(spark):
+    """Every key that two documents hold is marked, at any size of the sketch."""
+    r = random.Random(31)
+    shared = [f"s{r.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join([f"w{r.randrange(10**6)}" for _ in range(40)] + shared * (i % 2) + [f"v{r.randrange(10**6)}" for _ in range(40)]) for i in range(12)]
+    win, holders = substring.Windows(), {}
+    for i, t in enumerate(texts):
+        for k in win.keys(win.words(t.encode().split())).tolist():
+            holders.setdefault(k, set()).add(i)
+    repeated = np.array([k for k, x in holders.items() if len(x) > 1], np.uint64)
+    assert len(repeated)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for bits in (20, 21):
+        for row, bitmap in substring.sketch(df, bits).items():
+            assert np.unpackbits(bitmap, bitorder="little")[substring._cells(repeated, row, bits).astype(np.int64)].all()
+
+
+def test_substring_rows_of_one_id_keep_their_own_words(spark):
+    r = random.Random(17)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = [(1, words[:80]), (2, words[100:180]), (2, words[:60] + words[200:300]), (2, words[:60] + words[200:300]), (2, words[:55]), (3, words[100:170]), (None, words[:80])]
+    table = [(i, " ".join(w), "en", "s") for i, w in texts]
+    assert by_id(substring.remove_repeats(make_docs(spark, table)).collect()) == by_id(brute_kept(table))
+
+
+def test_word_digests_are_independent_and_bounded():
+    words = [b"a", b"b" * 100, b"a", b"c"]
+    w = substring.Windows(keep=2)
+    for _ in range(3):
+        d = w.words(words)
+        assert [int(h) << 64 | int(x) for h, x in zip(d.high, d.low)] == [xxhash.xxh3_128_intdigest(x) for x in words]
+        assert b"b" * 100 not in w.known and len(w.known) <= 4
+
+
 def test_window_keys_are_the_least_span_hash():
     w = substring.Windows()
     h = w.words([b"%d" % (i % 37) for i in range(130)])
-    spans = substring._mix(w._roll(h, w.p1, w.i1, substring.SPAN))
+    spans = substring._mix(w._roll(h.low, w.p1, w.i1, substring.SPAN))
     assert (w.keys(h) == [spans[i : i + 35].min() for i in range(81)]).all()
 
 
@@ -239,6 +328,17 @@ def test_bpe_equals_tiktoken(reference):
         assert codec.decode_bytes(ids) == text.encode()
 
 
+def test_bpe_decodes_through_the_pieces(reference):
+    path, _ = reference
+    codec = bpe.Codec(path, public_tokenizers.PATTERN)
+    assert codec.bytes == bpe.read_ranks(path) and len(bpe._BYTE) == 256
+    assert all(bytes(bpe._BYTE[c] for c in codec.sp.id_to_piece(i)) == b for i, b in enumerate(codec.bytes))
+    long = "x" * 5000 + " " + "y9" * 300 + "\n" + "é" * 100
+    for _ in range(2):
+        assert codec.decode_bytes(codec.encode(long)).decode() == long
+        assert max(map(len, [*codec.parts, *codec.chunks])) <= bpe.LONGEST
+
+
 def test_bpe_frames(docs, rows, reference, empty):
     path, enc = reference
     got = bpe.digests(docs, path, public_tokenizers.PATTERN).collect()
@@ -291,6 +391,7 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len(set(root))
+    assert {tuple(r)[5:] for r in kept.collect()} == {OWN}
 
 
 def test_one_of_each_keeps_a_row_of_every_component(spark):
@@ -304,7 +405,9 @@ def test_one_of_each_keeps_a_row_of_every_component(spark):
     assert got == sorted(want, key=repr)
 
 
-def test_simhash_finds_every_pair_at_distance_two(spark):
+@pytest.mark.parametrize("crowd", [1024, 1, 3])
+def test_simhash_finds_every_pair_at_distance_two(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     r = random.Random(6)
     seeds = [r.getrandbits(64) for _ in range(40)]
     prints = sorted({s ^ sum(1 << b for b in r.sample(range(64), k)) for s in seeds for k in (0, 1, 1, 2, 3)})
@@ -340,6 +443,65 @@ def test_sketches_merge_and_estimate():
     assert len(s.sketch("same " * 50000)) == 1
 
 
+def shingles(text):
+    w = (text or "").split()
+    return {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+
+def brute_likeness(a, b):
+    """Resemblance of two texts by the bottom-k rule over hashes taken one shingle at a time."""
+    def hashes(text):
+        w = (text or "").split()
+        out = set()
+        for i in range(max(1, len(w) - 2) if w else 0):
+            h = 0x51ED270B
+            for x in w[i : i + 3]:
+                h = (h ^ xxhash.xxh64_intdigest(x.encode())) * 0x9E3779B97F4A7C15 % (1 << 64)
+                h ^= h >> 31
+            out.add((h * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 16)
+        return sorted(out)[: fingerprint.K]
+
+    x, y = hashes(a), hashes(b)
+    u = sorted({*x, *y})[: fingerprint.K]
+    return sum(h in x and h in y for h in u) / len(u) if u else 1.0
+
+
+def test_neighbours_are_as_like_as_their_shingles(docs, rows):
+    """near_next and near_edited against the bottom-k rule, and against true resemblance within sampling error."""
+    order = sorted((r for r in rows if r[0] is not None and r[0] != 75), key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in fingerprint.neighbours(docs.where("doc_id IS NOT NULL AND doc_id <> 75"), parts=3).collect()}
+    for k, (i, t, *_) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        m = len(t) // 3
+        edited = t[: len(t) - m] + following[:m]
+        assert math.isclose(got[i]["near_next"], brute_likeness(t, following)) and math.isclose(got[i]["near_edited"], brute_likeness(t, edited))
+        for field, other in (("near_next", following), ("near_edited", edited)):
+            a, b = shingles(t), shingles(other)
+            true = len(a & b) / len(a | b) if a | b else 1.0
+            assert abs(got[i][field] - true) < 0.2
+
+
+def test_neighbours_of_hot_and_huge_ids(spark):
+    """An id and the null id that many rows share are cut by the hash of the text; ids differ beyond 2^53."""
+    big = (1 << 62) + 5
+    ids = [None] * 40 + [7] * 60 + [big, big - 1, big - 2, -big, -(1 << 63), (1 << 63) - 1, 8, 6]
+    r = random.Random(23)
+    table = [(i, " ".join(r.choice(WORDS) for _ in range(12)), "en", "s") for i in ids]
+    d = make_docs(spark, table).repartition(3)
+    hashes = {r["text"]: r["h"] for r in d.select("text", F.shiftrightunsigned(F.xxhash64("text"), 33).alias("h")).collect()}
+    order = sorted(table, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]], x[1]))
+    want = []
+    for k, (i, t, *_) in enumerate(order):
+        following, m = order[(k + 1) % len(order)][1], len(t) // 3
+        want.append((i, hashlib.sha256((t[: len(t) - m] + following[:m]).encode()).hexdigest()))
+    for parts in (1, 8, 20):
+        got = fingerprint.neighbours(d, parts=parts).select("doc_id", "edited_sha256")
+        assert by_id(got.collect()) == by_id(want)
+    ranges = fingerprint.Ranges(d.select("doc_id"), 20)
+    at = ranges.of(np.array([7] * 60), np.zeros(60, bool), np.linspace(0, (1 << 31) - 1, 60).astype(np.int64))
+    assert len(set(at.tolist())) > 5 and ranges.of_nulls > 3
+
+
 @pytest.mark.parametrize("parts", [1, 4, 30])
 def test_neighbours(docs, rows, empty, parts):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
@@ -394,6 +556,7 @@ def test_bootstrap_finds_what_shares_a_context(spark, docs, rows, empty):
     assert all_rows.count() == len(rows) and pii.find(empty).count() == 0
     back = pii.redact(docs)
     assert back.columns == docs.columns and back.count() == len(rows) and back.where("text IS NULL").count() == 1
+    assert {tuple(r)[5:] for r in back.collect()} == {OWN}
 
 
 def test_bootstrap_goes_on_until_nothing_is_added(spark):
@@ -405,6 +568,61 @@ def test_bootstrap_goes_on_until_nothing_is_added(spark):
     assert {r["pattern"] for r in got.collect()} == {f"{x}{k}" for x in "pq" for k in range(10)}
 
 
+def brute_bootstrap(edges, p):
+    """Confident patterns by the definition, over plain sets."""
+    pairs = {(a, b) for a, b, _ in edges}
+    known = {b for _, b, seed in edges if seed}
+    while True:
+        conf = {}
+        for pattern in {a for a, _ in pairs}:
+            mine = [b for a, b in pairs if a == pattern]
+            hits = sum(b in known for b in mine)
+            c = hits / len(mine) * (1 - 2 ** -math.log2(hits + 1))
+            if hits >= p.min_seeds and c >= p.pattern_conf:
+                conf[pattern] = c
+        grown = set(known)
+        for b in {b for _, b in pairs}:
+            miss = math.prod(1 - 0.999 * conf[a] for a, x in pairs if x == b and a in conf)
+            if 1 - miss >= p.instance_conf:
+                grown.add(b)
+        if grown == known:
+            return conf
+        known = grown
+
+
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_bootstrap_equals_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(pii, "SMALL", small)
+    r = random.Random(19)
+    edges = [(f"p{r.randrange(25)}", f"i{(k := r.randrange(90))}", k < 25) for _ in range(700)]
+    for conf in (0.15, 0.3):
+        p = pii.PiiParams(min_seeds=2, pattern_conf=conf, instance_conf=0.4)
+        got = {x["pattern"]: x["conf"] for x in pii._bootstrap(spark.createDataFrame(edges, "pattern string, instance string, seed boolean"), p).collect()}
+        want = brute_bootstrap(edges, p)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_long_identifiers_and_distant_contexts_are_found(spark):
+    """Identifiers and white space of any length, on both sides of the former bounds."""
+    seeds = [(i, f"write to account no. user{i}@mail.example.com today", "en", "s") for i in range(40)]
+    cases = {n: "K9" * (n // 2) + "7" * (n % 2) for n in (127, 128, 129, 5000)}
+    new = [(100 + k, f"write to account no. {x} then", "en", "s") for k, x in enumerate(cases.values())]
+    new += [(200 + k, f"write to account{' ' * n}no.{' ' * n}KX-99-12{k}", "en", "s") for k, n in enumerate((20, 70, 3000))]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(make_docs(spark, seeds + new)).collect()}
+    for k, n in enumerate(cases):
+        assert got[100 + k] == f"identifier:21:{21 + n}"
+    for k, n in enumerate((20, 70, 3000)):
+        assert got[200 + k] == f"identifier:{19 + 2 * n}:{28 + 2 * n}"
+
+
+def test_patterns_of_words_of_any_length():
+    assert pii.patterns_of("see ref no: X1", 12) == ["no: ", "ref no: "]
+    assert pii.patterns_of("a id=X1", 5) == ["id=", "a id="] and pii.patterns_of("X1", 0) == [] and pii.patterns_of("  X1", 2) == []
+    assert pii.patterns_of("w 12ab X1", 7) == ["w 0ab "]
+    assert pii.patterns_of("no " + "z" * 100 + " X1", 104, 64) == ["z" * 64 + " "]
+    assert pii.patterns_of("y" * 100 + " no X1", 104, 64) == ["y" * 64 + " no "]
+
+
 # --- 8 sharding
 
 
@@ -418,6 +636,18 @@ def test_karmarkar_karp():
     assert sharding.combine([]) == []
 
 
+def test_sharding_joins_many_buckets_in_levels(spark, monkeypatch):
+    """Thousands of buckets, joined a few at a time; sums stay as near as in one go."""
+    monkeypatch.setattr(sharding, "PER_BUCKET", 60)
+    monkeypatch.setattr(sharding, "PER_JOIN", 4)
+    r = random.Random(29)
+    sizes = [r.randrange(150, 250) for _ in range(3000)]
+    got = sharding.shard(make_docs(spark, [(i, f"{i}" + "x" * n, "en", "s") for i, n in enumerate(sizes)]), shards=3).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(3000))
+    sums = [sum(x["size"] for x in got if x["shard"] == k) for k in range(3)]
+    assert max(sums) - min(sums) <= 40
+
+
 @pytest.mark.parametrize("per_bucket", [100_000, 9])
 def test_sharding(docs, rows, empty, monkeypatch, per_bucket):
     monkeypatch.setattr(sharding, "PER_BUCKET", per_bucket)
