@@ -26,9 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts and texts without letters go."""
     small_batches(spark)
     model = langid.fit(docs)
-    judged = docs.withColumn("_judged", langid.judged(docs, model))
+    judged = docs.select(F.struct(*docs.columns).alias("_row"), langid.judged(docs, model).alias("_judged"))
     keep = (F.col("_judged.lang_pred") != langid.UNKNOWN) & (F.col("_judged.score") >= MIN_LANGUAGE_SCORE)
-    return judged.where(keep).select(*docs.columns)
+    return judged.where(keep).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
