@@ -132,7 +132,7 @@ class Ask:
         return {"by": by, "results": rows[:limit], "truncated": len(rows) > limit}
 
     def search(self, query: str, limit: int) -> dict:
-        found = X.bm25(X.postings(self.t("commits"), "id", ["subject", "body"]), query).orderBy(F.desc("score"), "id").limit(limit)
+        found = X.bm25(X.Index(self.t("postings"), self.t("text_lengths")), query).orderBy(F.desc("score"), "id").limit(limit)
         out = found.join(self.dated("id", "commit"), "id").join(self.t("commits").select("id", "author"), "id").orderBy(F.desc("score"), "id")
         return {"results": _rows(out.select("commit", "author"))}
 

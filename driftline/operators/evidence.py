@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
@@ -24,17 +24,18 @@ def parse_kinds(text: str | None) -> frozenset[str]:
 def drift_pairs(pairs: DataFrame, doc_touches: DataFrame, code_touches: DataFrame, commits: DataFrame) -> DataFrame:
     """(doc, code, commits_behind, doc_last, code_last) where the code changed after the document's last touch.
 
-    Only commits that count are counted; any commit resets the document. Counts
-    come from each file's sorted commit numbers, a join on the code and a filter.
+    Only commits that count are counted; any commit resets the document. One window
+    a file runs over its touches and a marker row for each last touch asked about.
     """
     last = doc_touches.groupBy("doc").agg(F.max("commit_id").alias("doc_last"))
     counted = code_touches.join(commits.where("weight > 0").select(F.col("id").alias("commit_id")), "commit_id", "left_semi").select(F.col("file_id").alias("code"), "commit_id")
     code_last = code_touches.groupBy(F.col("file_id").alias("code")).agg(F.max("commit_id").alias("code_last"))
-    # A file's later touches are counted by rank: of n touches, those after the last one up to doc_last.
     lined = pairs.join(last, "doc", "left").withColumn("doc_last", F.coalesce("doc_last", F.lit(0)))
-    sets = counted.groupBy("code").agg(F.sort_array(F.collect_list("commit_id")).alias("at"))
-    behind = F.size(F.filter("at", lambda c: c > F.col("doc_last")))
-    return lined.join(sets, "code").withColumn("commits_behind", behind.cast("long")).where("commits_behind > 0").join(code_last, "code").select("doc", "code", "commits_behind", "doc_last", "code_last")
+    asked = lined.select("code", F.col("doc_last").alias("commit_id")).distinct()
+    marked = counted.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
+    after = Window.partitionBy("code").orderBy(F.desc("commit_id")).rangeBetween(Window.unboundedPreceding, -1)
+    behind = marked.withColumn("commits_behind", F.count_if(~F.col("asked")).over(after)).where("asked AND commits_behind > 0").select("code", F.col("commit_id").alias("doc_last"), "commits_behind")
+    return lined.join(behind, ["code", "doc_last"]).join(code_last, "code").select("doc", "code", "commits_behind", "doc_last", "code_last")
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:

@@ -22,6 +22,10 @@ EVENTS = T.StructType([
 ])
 
 
+#: What the fold reads of a change; nothing of its text.
+METADATA = ("history", "commit_id", "author_time", "change", "path", "old_path", "new_blob", "lines_added", "lines_removed")
+
+
 class Identity:
     """Live and dead paths after the commits folded so far."""
 
@@ -65,8 +69,8 @@ class Identity:
         return self._add(commit, path, blob)
 
     def commit(self, commit: int, time: int, changes: list[dict]) -> None:
-        """Apply one commit's changes: deletions, renames, modifications, additions."""
-        ordered = sorted(changes, key=lambda c: _PHASE[c["change"]])
+        """Apply one commit's changes: deletions, renames, modifications, additions, each in order of path."""
+        ordered = sorted(changes, key=lambda c: (_PHASE[c["change"]], c["path"]))
         # All renamed files leave their old paths first, so chains and swaps work.
         moving = {}
         for c in ordered:
@@ -128,6 +132,7 @@ def fold(changes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
             out[c] = out[c].astype("Int64")
         return out
 
+    changes = changes.select(*METADATA)
     if seeds is None:
         return changes.groupBy("history").applyInPandas(lambda key, rows: run(key, rows), EVENTS)
     return changes.groupBy("history").cogroup(seeds.groupBy("history")).applyInPandas(lambda key, rows, trees: run(key, rows, trees), EVENTS)

@@ -26,21 +26,93 @@ def build_intervals(processed: DataFrame, targets: DataFrame, keys: tuple[str, .
     )
 
 
-def with_deaths(intervals: DataFrame, deaths: DataFrame) -> DataFrame:
-    """Ends intervals at the death of their target: `deaths` has (dst, at). Sources end theirs by an empty snapshot."""
-    cut = intervals.join(deaths, "dst", "left")
-    inside = (F.col("at") > F.col("born")) & (F.col("died").isNull() | (F.col("at") < F.col("died")))
-    return cut.withColumn("died", F.when(inside, F.col("at")).otherwise(F.col("died"))).drop("at")
+def life_spans(births: DataFrame, deaths: DataFrame) -> DataFrame:
+    """(file_id, span, enter, enter_path, death, death_path): when each file was there; death is null while it is.
 
+    Both sides have (file_id, commit_id, path); births are first appearances and
+    returns. A file that dies and returns in one commit dies first.
+    """
+    events = births.select("file_id", "commit_id", F.lit(1).alias("enters"), "path").unionByName(deaths.select("file_id", "commit_id", F.lit(0).alias("enters"), "path"))
+    order = Window.partitionBy("file_id").orderBy("commit_id", "enters")
+    after = F.lead(F.struct("enters", "commit_id", "path")).over(order)
+    spans = events.withColumn("after", after).where("enters = 1").select(
+        "file_id", F.col("commit_id").alias("enter"), F.col("path").alias("enter_path"),
+        F.when(F.col("after.enters") == 0, F.col("after.commit_id")).alias("death"), F.when(F.col("after.enters") == 0, F.col("after.path")).alias("death_path"),
+    )
+    return spans.withColumn("span", F.row_number().over(Window.partitionBy("file_id").orderBy("enter")))
+
+
+def intervals_with_deaths(snapshots: DataFrame, targets: DataFrame, spans: DataFrame) -> DataFrame:
+    """(src, dst, kind, born, died) where targets die and return.
 
-def reopened(intervals: DataFrame, deaths: DataFrame, revivals: DataFrame, alive_sources: DataFrame) -> DataFrame:
-    """Intervals that a target's death closed, opened again at its revival while the source lives.
+    `snapshots`: every (src, commit_id) at which a source was read; `targets`: (src,
+    dst, kind, commit_id) that a snapshot declares; `spans`: `life_spans` of all files.
 
-    `revivals`: (dst, at); `alive_sources`: (src). Returns the rows to add.
+    A source's death is a snapshot that declares nothing. The death of a target ends
+    its links. They open again at its return if the source lives then, whatever
+    the source has said in between, until its next snapshot. So a link is open while
+    its target lives and the source's last snapshot within the target's lives
+    declares it, unless a return in between found the source dead.
+
+    Within a commit deaths come first, in order of path, then returns in order of
+    path, then snapshots: a return that its commit's snapshot denies leaves an
+    interval without length.
+    """
+    gone = spans.where("death IS NOT NULL").select(F.col("file_id").alias("src"), F.col("death").alias("commit_id"), F.col("death_path").alias("gone"))
+    seen = snapshots.select("src", "commit_id").distinct().withColumn("gone", F.lit(None).cast("string"))
+    # A snapshot at the commit of a death belongs to a return in that commit and follows it.
+    by_src = Window.partitionBy("src").orderBy("commit_id", F.col("gone").isNull())
+    timeline = seen.unionByName(gone).withColumn("seq", F.row_number().over(by_src)).withColumn("next", F.lead(F.struct("commit_id", "gone")).over(by_src))
+    lives = spans.select(F.col("file_id").alias("dst"), "span", "enter", "enter_path", "death", "death_path")
+    inside = (F.col("enter") <= F.col("commit_id")) & (F.col("death").isNull() | (F.col("death") > F.col("commit_id")))
+    said = targets.select("src", "dst", "kind", "commit_id").distinct().join(timeline.where("gone IS NULL"), ["src", "commit_id"]).join(lives, "dst").where(inside)
+    link = ["src", "dst", "kind"]
+    island = F.col("seq") - F.row_number().over(Window.partitionBy(*link, "span").orderBy("commit_id"))
+    islands = said.withColumn("island", island).groupBy(*link, "span", "island").agg(
+        F.min("commit_id").alias("born"), F.max_by("next", "seq").alias("next"), F.first("death").alias("death"), F.first("death_path").alias("death_path")
+    )
+    first_denied = F.col("death").isNull() | (F.col("next.commit_id") < F.col("death"))
+    # Both ends may die in one commit; the first path goes first.
+    first_denied = first_denied | ((F.col("next.commit_id") == F.col("death")) & F.coalesce(F.col("next.gone") < F.col("death_path"), F.lit(False)))
+    islands = islands.withColumn("armed", ~F.coalesce(first_denied, F.lit(False)) & F.col("death").isNotNull())
+    islands = islands.withColumn("died", F.when(F.col("armed"), F.col("death")).otherwise(F.col("next.commit_id")))
+    own = islands.select(*link, "span", "born", "died", F.lit(False).alias("carried"))
+    carried = _carried(islands.where("armed").select(*link, "span"), lives, timeline, spans)
+    # A reopened link that the next snapshot confirms goes on as that snapshot's interval; a death of the source in between parts them.
+    rows = own.unionByName(carried)
+    order = Window.partitionBy(*link, "span").orderBy("born", F.desc("carried"))
+    goes_on = F.lag("carried").over(order) & (F.lag("died").over(order) == F.col("born"))
+    grouped = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
+    # Null (still open) wins over every end.
+    return grouped.groupBy(*link, "span", "part").agg(F.min("born").alias("born"), F.when(F.bool_or(F.col("died").isNull()), None).otherwise(F.max("died")).alias("died")).select(*link, "born", "died")
+
+
+def _carried(armed: DataFrame, lives: DataFrame, timeline: DataFrame, spans: DataFrame) -> DataFrame:
+    """(src, dst, kind, span, born, died, carried) of links that a target's return opens again; `carried` if a snapshot is what comes next.
+
+    Only links whose target has died and returned get here. What a source said
+    next after each return comes from one window a source with marker rows.
     """
-    closed = intervals.join(deaths, (intervals["dst"] == deaths["dst"]) & (intervals["died"] == deaths["at"]), "left_semi")
-    back = closed.join(revivals, "dst").where(F.col("at") >= F.col("died")).join(alive_sources, "src", "left_semi")
-    return back.groupBy("src", "dst", "kind").agg(F.min("at").alias("born")).withColumn("died", F.lit(None).cast("long"))
+    link = ["src", "dst", "kind"]
+    later = armed.withColumnRenamed("span", "since").join(lives, "dst").where("span > since")
+    asked = later.select("src", F.col("enter").alias("at")).distinct()
+    events = timeline.where("gone IS NULL").select("src", F.col("commit_id").alias("at"), F.lit(1).alias("mark"), F.lit(None).cast("string").alias("gone"))
+    events = events.unionByName(timeline.where("gone IS NOT NULL").select("src", F.col("commit_id").alias("at"), F.lit(2).alias("mark"), "gone"))
+    # A death at the commit of the return is over by then; a snapshot there comes after it.
+    events = events.unionByName(asked.select("src", "at", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("gone")))
+    place = F.when(F.col("mark") == 2, 0).when(F.col("mark") == 0, 1).otherwise(2)
+    ahead = Window.partitionBy("src").orderBy("at", place).rowsBetween(1, Window.unboundedFollowing)
+    following = events.withColumn("f", F.first(F.when(F.col("mark") > 0, F.struct("at", "gone")), ignorenulls=True).over(ahead)).where("mark = 0").select("src", F.col("at").alias("enter"), "f")
+    alive = spans.select(F.col("file_id").alias("src"), F.col("enter").alias("src_enter"), F.col("enter_path").alias("src_path"), F.col("death").alias("src_death"))
+    came = (F.col("src_enter") < F.col("enter")) | ((F.col("src_enter") == F.col("enter")) & (F.col("src_path") < F.col("enter_path")))
+    there = later.join(alive, "src").groupBy(*link, "since", "span", "enter", "death", "death_path").agg(F.bool_or(came & (F.col("src_death").isNull() | (F.col("src_death") > F.col("enter")))).alias("there"))
+    steps = there.join(following, ["src", "enter"])
+    denied = F.col("death").isNull() | (F.col("f.at") < F.col("death")) | ((F.col("f.at") == F.col("death")) & F.coalesce(F.col("f.gone") < F.col("death_path"), F.lit(False)))
+    steps = steps.withColumn("ends", F.coalesce(F.col("f").isNotNull() & denied, F.lit(False)))
+    before = Window.partitionBy(*link, "since").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    # Up to here every return found the source alive, and no snapshot came while the target lived.
+    kept = steps.withColumn("ok", F.col("there") & F.coalesce(F.bool_and(F.col("there") & ~F.col("ends")).over(before), F.lit(True))).where("ok")
+    return kept.select(*link, "span", F.col("enter").alias("born"), F.when(F.col("ends"), F.col("f.at")).otherwise(F.col("death")).alias("died"), (F.col("ends") & F.col("f.gone").isNull()).alias("carried"))
 
 
 def path_spans(renames: DataFrame) -> DataFrame:

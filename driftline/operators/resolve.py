@@ -7,7 +7,9 @@ an ambiguous name to nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,33 @@ _CANDIDATES = T.StructType([
 ])
 
 
+class Manifests:
+    """The Go module and the crates' source folders as of any commit.
+
+    `changes`: (commit, module or None, crate or None, folder), one for each time a
+    manifest changed; a later one replaces an earlier one of the same name.
+    """
+
+    def __init__(self, changes: Iterable[tuple[int, str | None, str | None, str | None]] = ()) -> None:
+        self.changes = sorted(changes, key=lambda c: c[0])
+        self.at = [c[0] for c in self.changes]
+        self._fold = lru_cache(maxsize=64)(self._first)
+
+    def _first(self, n: int) -> tuple[str | None, dict[str, str]]:
+        module, crates = None, {}
+        for _, m, name, folder in self.changes[:n]:
+            module = m or module
+            if name:
+                crates[name] = folder
+        return module, crates
+
+    def as_of(self, commit: int) -> tuple[str | None, dict[str, str]]:
+        return self._fold(bisect_right(self.at, commit))
+
+    def __reduce__(self) -> tuple:
+        return Manifests, (self.changes,)
+
+
 def normal(path: str) -> str:
     out: list[str] = []
     for p in path.split("/"):
@@ -158,15 +187,15 @@ def roots(sources: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
-def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataFrame, module: str | None = None, crates: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataFrame, manifests: Manifests = Manifests()) -> tuple[DataFrame, DataFrame]:
     """(edges (src, commit_id, dst, kind, resolution), health (src, commit_id, imports_total, imports_resolved)).
 
     files (src, commit_id, path, lang, blob_oid): what to resolve, each as of its
     commit; parsed: `extract_blobs`; symbols (name, file_id, first_commit,
     last_commit) and live (file_id, path, from_commit, to_commit): what was defined
-    and where files were, by commit. Of several ways to one link the most exact stays; none to itself.
+    and where files were, by commit. `manifests` has a row for each change of one and
+    goes to every task. Of several ways to one link the most exact stays; none to itself.
     """
-    crates = crates or {}
     told = files.join(parsed.drop("lang"), "blob_oid")
     placed = roots(files, live).join(told.select("src", "commit_id", "imports", "doc_links"), ["src", "commit_id"])
 
@@ -175,6 +204,7 @@ def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataF
             out = []
             for src, commit, path, lang, package, crate, imports, links in zip(*(b[c] for c in ("src", "commit_id", "path", "lang", "package_root", "crate_root", "imports", "doc_links")), strict=True):
                 package, crate = (x if isinstance(x, str) else None for x in (package, crate))
+                module, crates = manifests.as_of(commit)
                 n = 0
                 for i in imports if lang != "md" else []:
                     spec = i["spec"]

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import paths as P
-from driftline.operators import classify, identity, intervals
+from driftline.operators import classify, identity, intervals, textsearch
 from driftline.operators.cochange import cochange
 from driftline.operators.extract import extract_blobs
 from driftline.operators.ghosts import ghosts
-from driftline.operators.resolve import resolve
+from driftline.operators.resolve import Manifests, resolve
 from driftline.params import Params
 from driftline.sources import git
 from driftline.sources.store import IndexMissing, Store, missing_blobs, shared_table
@@ -26,23 +28,33 @@ from driftline.sources.store import IndexMissing, Store, missing_blobs, shared_t
 PARSER_VERSION = 1
 
 
-def config(repo: str) -> tuple[str | None, dict[str, str]]:
-    """(go module, crate name -> source folder) from the working tree's manifests."""
-    module, crates = None, {}
-    for folder, dirs, names in os.walk(repo):
-        dirs[:] = [d for d in dirs if d not in P.EXCLUDED_DIRS and d != ".git"]
-        at = os.path.relpath(folder, repo).replace(os.sep, "/").removeprefix(".").lstrip("/")
-        if "go.mod" in names and not at:
-            with open(os.path.join(folder, "go.mod"), errors="replace") as f:
-                module = next((x.split()[1] for x in f if x.startswith("module ")), None)
-        if "Cargo.toml" in names:
-            with open(os.path.join(folder, "Cargo.toml"), errors="replace") as f:
-                if m := re.search(r'^\[package\][^\[]*?^name\s*=\s*"([^"]+)"', f.read(), re.M | re.S):
-                    crates[m[1].replace("-", "_")] = f"{at}/src" if at else "src"
-    return module, crates
+_MANIFESTS = "commit_id long, module string, crate string, folder string"
 
 
-def _symbols(events: DataFrame, parsed: DataFrame, deaths: DataFrame) -> DataFrame:
+def read_manifest(path: str, text: str) -> tuple[str | None, str | None, str | None]:
+    """(Go module, crate name, its source folder) of a go.mod at the top or a Cargo.toml anywhere."""
+    if path == "go.mod":
+        return next((x.strip()[7:].strip() for x in text.splitlines() if x.strip().startswith("module ")), None), None, None
+    m = re.search(r'^\s*\[package\]\s*$(?:(?!^\s*\[).)*?^\s*name\s*=\s*"([^"\n]+)"', text, re.M | re.S)
+    folder = path.rpartition("/")[0]
+    return None, m[1].replace("-", "_") if m else None, f"{folder}/src" if folder else "src"
+
+
+def manifests(changed: DataFrame, repo: str) -> Manifests:
+    """What manifests said, by commit; `changed` has (commit_id, path, blob_oid). One row for each change of one is collected."""
+    mine = changed.where("blob_oid IS NOT NULL AND (path = 'go.mod' OR path LIKE '%Cargo.toml')").select("commit_id", "path", "blob_oid")
+    texts = git.scan_blobs(mine.select("blob_oid").distinct(), repo)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = [read_manifest(p, c.decode("utf-8", "replace")) for p, c in zip(b["path"], b["content"], strict=True)]
+            yield pd.DataFrame([(int(c), *s) for c, s in zip(b["commit_id"], said, strict=True)], columns=["commit_id", "module", "crate", "folder"])
+
+    rows = mine.join(texts, "blob_oid").select("commit_id", "path", "content").mapInPandas(run, _MANIFESTS)
+    return Manifests(sorted((tuple(r) for r in rows.where("module IS NOT NULL OR crate IS NOT NULL").collect()), key=lambda r: (r[0], r[3] or "")))
+
+
+def symbol_intervals(events: DataFrame, parsed: DataFrame, deaths: DataFrame) -> DataFrame:
     """(name, file_id, kind, first_commit, last_commit) by the same island rule as links."""
     done = events.select(F.col("file_id").alias("src"), "commit_id")
     defs = events.join(parsed.select("blob_oid", F.explode("defs").alias("d")), "blob_oid").select(F.col("file_id").alias("src"), F.col("d.name").alias("name"), F.col("d.kind").alias("kind"), "commit_id")
@@ -86,8 +98,8 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     spans = folded.where("table = 'file_paths'").select("file_id", "path", F.col("commit_id").alias("from_commit"), "to_commit", "confidence")
     # A path changed twice in one commit leaves an empty span.
     spans = shared_table(spans.where("to_commit IS NULL OR to_commit > from_commit"))
-    deaths = folded.where("table = 'deaths'").select("file_id", "commit_id")
-    returns = folded.where("table = 'returns'").select("file_id", "commit_id")
+    deaths = folded.where("table = 'deaths'").select("file_id", "commit_id", "path")
+    lives = shared_table(intervals.life_spans(folded.where("table IN ('files', 'returns')"), deaths))
     lang = P.lang_of(F.col("path"))
     lines = changes.select("commit_id", "path", classify.import_only(lang, F.col("changed_lines"), p).alias("import_only"))
     touches = folded.where("table = 'touches'").join(lines.dropDuplicates(["commit_id", "path"]), ["commit_id", "path"], "left")
@@ -102,18 +114,13 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     blobs = git.scan_blobs(todo, repo).join(todo, "blob_oid")
     parsed = extract_blobs(blobs).withColumn("parser_version", F.lit(PARSER_VERSION))
     parsed = shared_table(parsed.unionByName(have) if have is not None else parsed)
-    symbols = shared_table(_symbols(events, parsed, deaths))
-    module, crates = config(repo)
+    symbols = shared_table(symbol_intervals(events, parsed, deaths))
+    known = manifests(touches.where("change <> 'D'").select("commit_id", "path", "blob_oid").union(seeded.select("commit_id", "path", "blob_oid")), repo)
     asked = events.select(F.col("file_id").alias("src"), "commit_id", "path", "lang", "blob_oid")
-    edges, health = resolve(asked, parsed, symbols, spans, module, crates)
+    edges, health = resolve(asked, parsed, symbols, spans, known)
     edges = shared_table(edges)
-    done = events.select(F.col("file_id").alias("src"), "commit_id").union(deaths.select(F.col("file_id").alias("src"), "commit_id"))
-    lives = intervals.build_intervals(done, edges.select("src", "dst", "kind", "commit_id"))
-    gone = deaths.groupBy(F.col("file_id").alias("dst")).agg(F.max("commit_id").alias("at"))
-    cut = intervals.with_deaths(lives, gone)
-    alive = spans.where("to_commit IS NULL").select(F.col("file_id").alias("src")).distinct()
-    again = intervals.reopened(cut, gone, returns.select(F.col("file_id").alias("dst"), F.col("commit_id").alias("at")), alive)
-    all_intervals = shared_table(cut.select("src", "dst", "kind", "born", "died").unionByName(again).dropDuplicates(["src", "dst", "kind", "born"]))
+    read = events.select(F.col("file_id").alias("src"), "commit_id")
+    all_intervals = shared_table(intervals.intervals_with_deaths(read, edges.select("src", "dst", "kind", "commit_id"), lives))
     now = spans.where("to_commit IS NULL").select(F.col("file_id").alias("id"), F.col("path").alias("current_path"))
     born = folded.where("table = 'files'").select(F.col("file_id").alias("id"), F.col("path").alias("first_path"), F.col("commit_id").alias("born_commit"))
     died = deaths.groupBy(F.col("file_id").alias("id")).agg(F.max("commit_id").alias("died_commit"))
@@ -122,7 +129,9 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     pairs = shared_table(cochange(classified, touches, p))
     ghost_rows = ghosts(classified, touches, files, intervals.lifetimes(all_intervals, classified), p)
     total, resolved = health.agg(F.coalesce(F.sum("imports_total"), F.lit(0)), F.coalesce(F.sum("imports_resolved"), F.lit(0))).first()
+    words = textsearch.build(classified, "id", ["subject", "body"])
     tables = {
+        "postings": words.terms, "text_lengths": words.lengths,
         "commits": classified, "raw_commits": commits, "changes": changes, "files": files, "file_paths": spans, "touches": touches, "symbols": symbols, "parsed": parsed,
         "edges": edges.groupBy("src", "dst", "kind").agg(F.min("resolution").alias("resolution")), "edge_intervals": all_intervals, "cochange": pairs, "ghosts": ghost_rows,
     }
@@ -145,4 +154,4 @@ def staleness(store: Store, repo: str) -> str | None:
     return f"the store is {missed} commits behind"
 
 
-__all__ = ["IndexMissing", "build", "config", "staleness"]
+__all__ = ["IndexMissing", "build", "manifests", "staleness"]

@@ -39,7 +39,7 @@ def _h(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The history with its link intervals; what the branches of a plan share is computed once."""
     h = star.history(spark, sf_dir)
     intervals = I.build_intervals(h["processed"], h["targets"])
-    return h | {"commits": shared_table(h["commits"]), "touches": shared_table(h["touches"].drop("open_line")), "intervals": shared_table(intervals)}
+    return h | {"touches": h["touches"].drop("open_line"), "intervals": shared_table(intervals)}
 
 
 def _lives(h: dict[str, DataFrame]) -> DataFrame:
@@ -212,8 +212,8 @@ def stats(spark, sf_dir):
 
 
 def search_bm25(spark, sf_dir):
-    docs = star.read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    found = X.bm25(X.postings(docs, "doc_id", ["source", "text"]), 'stupid OR source:src3 the')
+    docs, query = star.read(spark, sf_dir, "documents"), "stupid OR source:src3 the"
+    found = X.bm25(X.lookup(docs, "doc_id", ["source", "text"], query), query)
     return found.select(F.col("id").alias("doc_id"), S.round_to(F.col("score"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 

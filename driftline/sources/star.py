@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.classify import classify
 from driftline.params import TESTDATA, Params
+from driftline.sources.store import shared_table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clock(rows: DataFrame, time: str, tie: str) -> DataFrame:
     """Adds `id`: 1, 2, ... in order of (time, tie).
 
-    Numbered within each time value and offset by the counts of earlier values,
-    so no window spans the table; only the distinct times meet in one task.
+    Rows are cut into ranges of that order, written once, numbered within each and
+    offset by the sizes of the ranges before; only those sizes reach the driver.
     """
-    sizes = rows.groupBy(time).count()
-    before = sizes.select(time, (F.sum("count").over(Window.orderBy(time)) - F.col("count")).alias("_before"))
-    inside = Window.partitionBy(time).orderBy(tie)
-    return rows.join(before, time).withColumn("id", F.col("_before") + F.row_number().over(inside)).drop("_before")
+    spark = rows.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = shared_table(rows.repartitionByRange(ranges, time, tie).withColumn("_range", F.spark_partition_id()))
+    start, offsets = 0, []
+    for r in sorted(cut.groupBy("_range").count().collect()):
+        offsets += [F.lit(r["_range"]), F.lit(start).cast("long")]
+        start += r["count"]
+    before = F.create_map(*offsets)[F.col("_range")] if offsets else F.lit(0)
+    inside = Window.partitionBy("_range").orderBy(time, tie)
+    return cut.withColumn("id", before + F.row_number().over(inside)).drop("_range")
 
 
 def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +61,21 @@ def raw_touches(spark: SparkSession, sf_dir: str, commits: DataFrame) -> DataFra
 
 
 def history(spark: SparkSession, sf_dir: str, p: Params = TESTDATA) -> dict[str, DataFrame]:
-    """commits, touches, files and snapshots (a source's targets at each of its touches)."""
-    raw = raw_commits(spark, sf_dir)
-    touches = raw_touches(spark, sf_dir, raw)
-    commits = classify(raw, touches, p)
+    """commits, touches, files and snapshots (a source's targets at each of its touches).
+
+    Commits and touches are written first; all that follows is derived from the written tables.
+    """
+    raw = shared_table(raw_commits(spark, sf_dir))
+    touches = shared_table(raw_touches(spark, sf_dir, raw))
+    commits = shared_table(classify(raw, touches, p))
     live = F.col("s_acctbal") >= 0
     born = touches.groupBy("file_id").agg(F.min("commit_id").alias("born_commit"))
     files = read(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("id"), F.when(live, F.col("s_name")).alias("current_path"), F.col("s_name").alias("last_path"), F.lit(False).alias("is_doc")
     ).join(born, F.col("id") == F.col("file_id"), "left").drop("file_id")
-    declares = touches.where("open_line")
-    targets = declares.select("commit_id", F.col("file_id").alias("src")).join(declares.select("commit_id", F.col("file_id").alias("dst")), "commit_id").where("src <> dst")
+    # An order has few lines, so its open suppliers fit in an array: one shuffle, no self-join.
+    declares = touches.where("open_line").groupBy("commit_id").agg(F.collect_set("file_id").alias("files"))
+    targets = declares.select("commit_id", "files", F.explode("files").alias("src")).select("commit_id", "src", F.explode("files").alias("dst")).where("src <> dst")
     return {
         "commits": commits, "touches": touches, "files": files,
         "processed": touches.select(F.col("file_id").alias("src"), "commit_id"),

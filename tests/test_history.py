@@ -12,7 +12,7 @@ from driftline.functions import paths as P
 from driftline.functions import scalars as S
 from driftline.operators import classify, extract, identity, intervals, textsearch
 from driftline.operators.evidence import drift_pairs, parse_kinds
-from driftline.operators.resolve import resolve
+from driftline.operators.resolve import Manifests, resolve
 from driftline.params import Params
 from driftline.plans import export, star_queries, star_sql
 from driftline.streaming.events import hourly
@@ -96,14 +96,19 @@ def test_identity_swap_and_returns():
 
 def test_search(spark):
     docs = spark.createDataFrame([(1, "red fox", "a quick red fox"), (2, "dog", "the red dog ran"), (3, "fox dog", "foxes and dogs")], "id long, subject string, body string")
-    index = textsearch.postings(docs, "id", ["subject", "body"])
+    index = textsearch.build(docs, "id", ["subject", "body"])
 
     def ask(q):
-        return {r["id"] for r in textsearch.bm25(index, q).collect()}
+        got = textsearch.bm25(index, q).collect()
+        assert sorted(got) == sorted(textsearch.bm25(textsearch.lookup(docs, "id", ["subject", "body"], q), q).collect())
+        return {r["id"] for r in got}
 
     assert ask("red") == {1, 2} and ask("red fox") == {1} and ask('"red dog"') == {2} and ask("fox*") == {1, 3}
     assert ask("subject:dog") == {2, 3} and ask("red NOT fox") == {2} and ask("quick OR foxes") == {1, 3}
-    for bad in ('"open', "AND x", "x NOT", "(a)", "***"):
+    assert ask("(quick OR ran) dog") == {2} and ask("red NOT (fox OR ran)") == set() and ask("subject:(fox dog)") == {3} and ask("fox OR dog AND ran") == {1, 2, 3}
+    assert ask("NEAR(quick fox, 1)") == {1} and ask("NEAR(quick fox, 0)") == set() and ask("body:NEAR(the ran)") == {2} and ask("NEAR(fox quick)") == {1}
+    assert ask("^red") == {1} and ask('"quick red" + fox') == {1} and ask("red + fo*") == {1} and ask("body:^the") == {2} and ask("a NOT quick") == set()
+    for bad in ('"open', "AND x", "x NOT", "(a", "a)", "***", "NEAR(a b, x)", "()", "a OR", "x:"):
         with pytest.raises(textsearch.QueryError):
             textsearch.parse(bad)
     score = textsearch.bm25(index, "quick").first()["score"]
@@ -136,11 +141,13 @@ def test_extraction():
 
 
 def test_resolution(spark):
-    live = ["app/main.py", "app/__init__.py", "app/util.py", "web/a.ts", "web/b.ts", "web/dir/index.ts", "src/lib.rs", "src/deep/mod.rs", "src/deep/leaf.rs", "lib/tool.rb", "pkg/one.go", "pkg/one_test.go", "README.md"]
+    live = ["app/main.py", "app/__init__.py", "app/util.py", "web/a.ts", "web/b.ts", "web/dir/index.ts", "src/lib.rs", "src/deep/mod.rs", "src/deep/leaf.rs", "lib/tool.rb", "pkg/one.go", "pkg/one_test.go", "README.md",
+            "cmd/run.go", "pkg/two.go", "bin/go.rb", "bin/near.rb", "kit/src/lib.rs", "kit/src/part.rs"]
     ids = {p: i for i, p in enumerate(live, 1)}
     said = {
         "app/main.py": ([("app.util", False), ("numpy", False), (".util", False)], ["only_here"], []), "web/a.ts": ([("./b.js", False), ("./dir", True), ("../gone", False)], ["twice"], []),
-        "src/deep/leaf.rs": ([("crate::deep", False), ("super::super::nothing", False), ("std::fs", False)], [], []), "pkg/one.go": ([("example.com/m/pkg", False)], [], []),
+        "src/deep/leaf.rs": ([("crate::deep", False), ("super::super::nothing", False), ("std::fs", False), ("kit::part::Thing", False)], [], []), "pkg/one.go": ([("example.com/m/pkg", False)], [], []),
+        "cmd/run.go": ([("example.com/m/pkg", False), ("example.com/late/pkg", False), ("fmt", False)], [], []), "bin/go.rb": ([("tool", False), ("rel:near", False), ("rel:none", False)], [], []),
         "lib/tool.rb": ([("tool", False)], [], []), "README.md": ([], [], ["src/lib.rs", "missing.md"]),
     }
     files = spark.createDataFrame([(ids[p], 5, p, value(spark, P.lang_of(F.lit(p))), p) for p in said], "src long, commit_id long, path string, lang string, blob_oid string")
@@ -148,17 +155,29 @@ def test_resolution(spark):
     parsed = spark.createDataFrame(rows, extract.PARSED)
     symbols = spark.createDataFrame([("only_here", ids["app/util.py"], 1, None), ("twice", 2, 1, None), ("twice", 3, 1, None), ("late", 3, 9, None)], "name string, file_id long, first_commit long, last_commit long")
     tree = spark.createDataFrame([(i, p, 1, None) for p, i in ids.items()] + [(99, "gone.ts", 1, 3)], "file_id long, path string, from_commit long, to_commit long")
-    edges, health = resolve(files, parsed, symbols, tree, "example.com/m", {})
+    edges, health = resolve(files, parsed, symbols, tree, Manifests([(1, "example.com/m", None, None), (1, None, "kit", "kit/src"), (6, "example.com/late", None, None)]))
     at = {i: p for p, i in ids.items()}
     got = {(at[r["src"]], at[r["dst"]], r["kind"], r["resolution"]) for r in edges.collect()}
     assert got == {
         ("app/main.py", "app/util.py", 0, 0), ("app/main.py", "app/util.py", 1, 1), ("web/a.ts", "web/b.ts", 0, 0), ("web/a.ts", "web/dir/index.ts", 4, 0),
-        ("src/deep/leaf.rs", "src/deep/mod.rs", 0, 0), ("README.md", "src/lib.rs", 3, 0),
+        ("src/deep/leaf.rs", "src/deep/mod.rs", 0, 0), ("src/deep/leaf.rs", "kit/src/part.rs", 0, 0), ("README.md", "src/lib.rs", 3, 0),
+        ("cmd/run.go", "pkg/one.go", 0, 2), ("cmd/run.go", "pkg/two.go", 0, 2), ("pkg/one.go", "pkg/two.go", 0, 2), ("bin/go.rb", "lib/tool.rb", 0, 0), ("bin/go.rb", "bin/near.rb", 0, 0),
     }
     counts = {at[r["src"]]: (r["imports_total"], r["imports_resolved"]) for r in health.collect()}
+    assert counts["cmd/run.go"] == (1, 1) and counts["bin/go.rb"] == (3, 2)
     assert counts["web/a.ts"] == (3, 2) and counts["app/main.py"] == (2, 2) and counts["README.md"] == (2, 1)
 
 
+def test_manifests_as_of_a_commit():
+    from driftline.plans.index import read_manifest
+
+    assert read_manifest("go.mod", "// x\nmodule example.com/m \n\ngo 1.2\n") == ("example.com/m", None, None)
+    toml = '[workspace]\nname = "no"\n[package]\nversion = "1"\nname = "my-kit"\n[lib]\nname = "other"\n'
+    assert read_manifest("a/kit/Cargo.toml", toml) == (None, "my_kit", "a/kit/src") and read_manifest("Cargo.toml", "[lib]\nname = \"x\"\n")[1] is None
+    m = Manifests([(3, "one", None, None), (5, None, "k", "a/src"), (9, "two", "k", "b/src")])
+    assert [m.as_of(c) for c in (1, 3, 8, 9)] == [(None, {}), ("one", {}), ("one", {"k": "a/src"}), ("two", {"k": "b/src"})]
+
+
 def test_drift_counts_after_the_last_touch(spark):
     pairs = spark.createDataFrame([(1, 7), (2, 7)], "doc long, code long")
     own = spark.createDataFrame([(1, 3), (1, 5)], "doc long, commit_id long")
