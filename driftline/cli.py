@@ -1,4 +1,4 @@
-"""Command line: index a repository, then ask. JSON on stdout.
+"""Command line: index a repository, then ask. Text on stdout, or JSON with --json.
 
 Exit codes: 0 fine, 1 other errors, 2 no store, 3 no such file, 4 other schema.
 """
@@ -21,7 +21,7 @@ from driftline.operators import graph as G
 from driftline.operators import intervals as I
 from driftline.operators import textsearch as X
 from driftline.params import Params
-from driftline.plans import export, index
+from driftline.plans import export, human, index, serve
 from driftline.sources.store import FileNotInHistory, IndexMissing, SchemaMismatch, Store, commit_as_of, display_paths, resolve_paths
 
 
@@ -71,7 +71,7 @@ class Ask:
         out = rows.join(alive, "other").join(linked, "other", "left").withColumn("structural_edge", F.coalesce("linked", F.lit(False)))
         out = out if include_structural else out.where("NOT structural_edge")
         out = out.join(self.dated("first_commit", "first"), "first_commit").join(self.dated("last_commit", "last"), "last_commit")
-        return {"results": _rows(out.orderBy(F.desc("w_decayed"), "other").limit(limit).select("path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", "structural_edge"))}
+        return {"query": {"file": path}, "results": _rows(out.orderBy(F.desc("w_decayed"), "other").limit(limit).select("path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", "structural_edge"))}
 
     def ghosts(self, path: str | None, limit: int) -> dict:
         g = self.t("ghosts")
@@ -153,6 +153,11 @@ class Ask:
             "renames": {"total": max(0, spans["spans"] - files["total"]), "low_confidence": spans["low_confidence"]},
         }
 
+    def web(self) -> dict:
+        repo = os.path.basename(self.store.meta.get("repo_path", "").rstrip("/")) or "repo"
+        meta = {"repo": repo, "head": self.store.meta.get("head_oid", "")[:7], "commits": self.t("commits").count()}
+        return export.web_payload(self.lives, self.t("cochange"), self.t("files"), meta)
+
     def export(self, kind: str) -> list[str]:
         states, alive = export.edge_states(self.lives, self.t("ghosts")), self.t("files").where("current_path IS NOT NULL").select("id")
         if kind == "json":
@@ -168,6 +173,7 @@ def _rows(df: DataFrame) -> list[dict]:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="driftline")
     top.add_argument("--store", help="default: the nearest .driftline upward")
+    top.add_argument("--json", action="store_true", help="one JSON object instead of text")
     sub = top.add_subparsers(dest="command", required=True)
 
     def add(name: str, *files: str, limit: bool = False) -> argparse.ArgumentParser:
@@ -197,6 +203,7 @@ def parser() -> argparse.ArgumentParser:
     add("hotspots", limit=True).add_argument("--by", choices=("churn", "coupling", "ghosts"), default="churn")
     add("search", "query", limit=True)
     add("stats")
+    add("serve").add_argument("--port", type=int, default=serve.PORT)
     add("export").add_argument("--format", choices=("json", "dot", "graphml"), default="json")
     return top
 
@@ -208,6 +215,10 @@ def answer(spark: SparkSession, o: argparse.Namespace) -> dict | list[str]:
         return index.build(spark, o.repo, out, p, not o.all_parents, o.since, o.incremental)[1]
     store = Store(spark, o.store or Store.find("."))
     ask = Ask(store)
+    if o.command == "serve":
+        with serve.server(ask.web, o.port) as http:
+            print(f"http://{serve.HOST}:{http.server_port}/ (interrupt to stop)", file=sys.stderr)
+            http.serve_forever()
     calls = {
         "blast": lambda: ask.blast(o.file, o.depth, o.limit, o.min_confidence, o.kinds), "cochange": lambda: ask.cochange(o.file, o.limit, o.include_structural), "ghosts": lambda: ask.ghosts(o.file, o.limit),
         "path": lambda: ask.path(o.a, o.b, o.as_of), "why": lambda: ask.why(o.a, o.b), "timeline": lambda: ask.timeline(o.file), "drift": lambda: ask.drifted(o.limit), "hotspots": lambda: ask.hotspots(o.by, o.limit),
@@ -237,7 +248,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Exception as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
-    print("\n".join(out) if isinstance(out, list) else json.dumps(out))
+    lines = out if isinstance(out, list) else [json.dumps(out)] if o.json else human.render(o.command, out)
+    print("\n".join(lines))
     return 0
 
 

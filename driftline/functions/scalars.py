@@ -130,6 +130,3 @@ def parse_days(text: str) -> float:
     """`365d` or `365` as a number of days."""
     return float(text[:-1] if text.endswith("d") else text)
 
-
-def rename_confidence(same_blob: Column, same_dir: Column, same_stem: Column) -> Column:
-    return F.when(same_blob, F.lit(1.0)).when(same_dir | same_stem, F.lit(0.85)).otherwise(F.lit(0.6))

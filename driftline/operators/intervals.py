@@ -115,12 +115,6 @@ def _carried(armed: DataFrame, lives: DataFrame, timeline: DataFrame, spans: Dat
     return kept.select(*link, "span", F.col("enter").alias("born"), F.when(F.col("ends"), F.col("f.at")).otherwise(F.col("death")).alias("died"), (F.col("ends") & F.col("f.gone").isNull()).alias("carried"))
 
 
-def path_spans(renames: DataFrame) -> DataFrame:
-    """(file_id, path, from_commit, to_commit): each path until the file's next one."""
-    step = Window.partitionBy("file_id").orderBy("from_commit")
-    return renames.select("file_id", "path", "from_commit", F.lead("from_commit").over(step).alias("to_commit"))
-
-
 def edges_of(intervals: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
     """(src, dst, kind, resolution): one row a link, the most exact resolution seen."""
     if resolutions is None:

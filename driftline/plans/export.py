@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +52,16 @@ def to_graphml(states: DataFrame, names: DataFrame, alive: DataFrame) -> DataFra
     return ends.union(nodes).union(edges).orderBy("part", "value")
 
 
-def web_payload(lives: DataFrame, cochange: DataFrame, files: DataFrame, name: str) -> dict:
-    """Nodes, live pairs, coupled pairs, hidden couplings and groups for a page; bounded by what a page can show.
+#: Groups that a page tells apart, the last for all others; lifts of coupled and of hidden pairs; joint changes and number of hidden ones.
+GROUPS, CO_LIFT, HIDDEN_LIFT, HIDDEN_N, HIDDEN_MOST = 8, 2, 8, 3, 40
+
 
-    Coupled pairs have lift >= 2; hidden ones lift >= 8, n >= 3 and no live link (40 at most); of
-    more than 8 groups the last ones are `other`.
+def web_payload(lives: DataFrame, cochange: DataFrame, files: DataFrame, meta: dict) -> dict:
+    """meta, groups, nodes [path, group, degree, coupling], live pairs, coupled and hidden pairs [a, b, lift, n, weight].
+
+    Pairs are of places in `nodes`. A hidden pair has a high lift and no live link.
+    This is the living graph of one repository on its way to one page: the driver
+    holds it whole, row by row from the executors, so it must fit there.
     """
     living = files.where("current_path IS NOT NULL").select("id", F.col("current_path").alias("path"))
     ids = living.select("id")
@@ -63,21 +70,24 @@ def web_payload(lives: DataFrame, cochange: DataFrame, files: DataFrame, name: s
         return t.join(ids.toDF("a"), "a", "left_semi").join(ids.toDF("b"), "b", "left_semi")
 
     live = both_live(lives.where("alive").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    co = both_live(cochange.where("lift >= 2"))
-    hidden = co.where("lift >= 8 AND n >= 3").join(live, ["a", "b"], "left_anti").orderBy(F.desc("w_decayed"), "a", "b").limit(40)
+    co = both_live(cochange.where(F.col("lift") >= CO_LIFT))
+    hidden = co.where((F.col("lift") >= HIDDEN_LIFT) & (F.col("n") >= HIDDEN_N)).join(live, ["a", "b"], "left_anti").orderBy(F.desc("w_decayed"), "a", "b").limit(HIDDEN_MOST)
     ends = live.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("d"), F.lit(0.0).alias("w")).union(co.select(F.explode(F.array("a", "b")), F.lit(0), "w_decayed"))
     sums = ends.groupBy("id").agg(F.sum("d").alias("degree"), round_to(F.sum("w"), 2).alias("coupling")).join(living, "id")
-    nodes = [tuple(r) for r in sums.select("path", group_label(F.col("path")).alias("g"), "degree", "coupling", "id").orderBy("path").collect()]
-    groups: dict[str, int] = {}
-    for _, g, *_ in nodes:
-        groups[g] = groups.get(g, 0) + 1
-    ranked = sorted(groups.items(), key=lambda x: (-x[1], x[0]))
-    if len(ranked) > 8:
-        ranked = [*ranked[:7], ("other", sum(n for _, n in ranked[7:]))]
-    at = {n[4]: i for i, n in enumerate(nodes)}
-    return {
-        "name": name, "nodes": [list(n[:4]) for n in nodes], "groups": [list(g) for g in ranked],
-        "live": [[at[r.a], at[r.b]] for r in live.orderBy("a", "b").collect()],
-        "co": [[at[r.a], at[r.b], r.n, round(r.lift, 2)] for r in co.orderBy(F.desc("w_decayed"), "a", "b").collect()],
-        "hidden": [[at[r.a], at[r.b]] for r in hidden.collect()],
+    nodes = list(sums.select("id", "path", group_label(F.col("path")).alias("g"), "degree", "coupling").orderBy("id").toLocalIterator())
+    sizes = Counter(n["g"] for n in nodes)
+    groups = [g for g, _ in sorted(sizes.items(), key=lambda x: (-x[1], x[0]))]
+    if len(groups) > GROUPS:
+        groups = [*groups[: GROUPS - 1], "other"]
+    number = {g: i for i, g in enumerate(groups)}
+    at = {n["id"]: i for i, n in enumerate(nodes)}
+
+    def coupled(t: DataFrame) -> list[list]:
+        rows = t.select("a", "b", round_to(F.col("lift"), 1).alias("lift"), "n", round_to(F.col("w_decayed"), 3).alias("w")).orderBy(F.desc("w"), "a", "b")
+        return [[at[r["a"]], at[r["b"]], r["lift"], r["n"], r["w"]] for r in rows.toLocalIterator()]
+
+    out = {
+        "groups": groups, "nodes": [[n["path"], number.get(n["g"], len(groups) - 1), n["degree"], n["coupling"]] for n in nodes],
+        "live": [[at[r["a"]], at[r["b"]]] for r in live.orderBy("a", "b").toLocalIterator()], "co": coupled(co), "hidden": coupled(hidden),
     }
+    return out | {"meta": meta | {"files": living.count(), "live": len(out["live"]), "cochange": len(out["co"])}}

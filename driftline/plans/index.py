@@ -7,12 +7,11 @@ keeps the parses of blobs already seen; the derived tables are computed afresh.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions import paths as P
@@ -23,7 +22,7 @@ from driftline.operators.ghosts import ghosts
 from driftline.operators.resolve import Manifests, resolve
 from driftline.params import Params
 from driftline.sources import git
-from driftline.sources.store import IndexMissing, Store, missing_blobs, shared_table
+from driftline.sources.store import IndexMissing, Store, missing_blobs, shared_table, upsert
 
 PARSER_VERSION = 1
 
@@ -71,7 +70,7 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
         old = Store(spark, out)
         if old.meta.get("head_oid") == head:
             return old, {"commits_indexed": 0, "caveats": []}
-    elif os.path.exists(os.path.join(out, "_meta.json")):
+    elif Store.exists(spark, out):
         raise FileExistsError(f"{out} exists; index incrementally or remove it")
     caveats: list[str] = []
     kw: dict = {"first_parent": first_parent}
@@ -83,7 +82,7 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     if not listed:
         raise ValueError("no commits to index")
     first = (old.table("commits").agg(F.max("id")).first()[0] or 0) + 1 if old else 1
-    commits = spark.createDataFrame([(first + i, *r) for i, r in enumerate(listed)], git.COMMITS)
+    commits = git.scan_commits(spark, listed, first)
     p = Params(**(vars(p) | {"exclude_merges": not first_parent}))
     changes = shared_table(classify.normalize_changes(git.scan_diffs(commits, repo, p.rename_threshold)))
     if old:
@@ -92,7 +91,7 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
         changes = shared_table(before.unionByName(changes))
     parent = listed[0][1] if not old else None
     seeds = git.scan_tree(spark, repo, parent).where(~P.is_excluded_path(F.col("path"))).withColumn("history", F.lit("h")) if parent else None
-    if old and os.path.exists(os.path.join(out, "seeds")):
+    if old and old.has("seeds"):
         seeds = old.table("seeds")
     folded = shared_table(identity.fold(changes.withColumn("history", F.lit("h")), seeds))
     spans = folded.where("table = 'file_paths'").select("file_id", "path", F.col("commit_id").alias("from_commit"), "to_commit", "confidence")
@@ -103,8 +102,10 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     lang = P.lang_of(F.col("path"))
     lines = changes.select("commit_id", "path", classify.import_only(lang, F.col("changed_lines"), p).alias("import_only"))
     touches = folded.where("table = 'touches'").join(lines.dropDuplicates(["commit_id", "path"]), ["commit_id", "path"], "left")
-    one = F.row_number().over(Window.partitionBy("commit_id", "file_id").orderBy(F.desc("change"), F.desc("path")))
-    touches = shared_table(touches.withColumn("_n", one).where("_n = 1").select("commit_id", "file_id", "path", "change", "blob_oid", "lines_added", "lines_removed", F.coalesce("import_only", F.lit(False)).alias("import_only")))
+    touches = touches.select("commit_id", "file_id", "path", "change", "blob_oid", "lines_added", "lines_removed", F.coalesce("import_only", F.lit(False)).alias("import_only"))
+    # Of several touches of a file in a commit the last one counts, in the order in which the fold went.
+    place = F.struct(F.array_position(F.array(*map(F.lit, "DRMA")), F.col("change")), "path")
+    touches = shared_table(upsert(touches.limit(0), touches.withColumn("seq", place), ["commit_id", "file_id"]).select(touches.columns))
     classified = shared_table(classify.classify(commits, touches, p))
     seeded = folded.where("table = 'files' AND commit_id = 0").select("commit_id", "file_id", "path", "blob_oid")
     events = touches.where("change <> 'D'").select("commit_id", "file_id", "path", "blob_oid").union(seeded).withColumn("lang", lang).where("lang IS NOT NULL AND blob_oid IS NOT NULL")

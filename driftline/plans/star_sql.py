@@ -97,8 +97,21 @@ _TRANSITIVE = f"""wide AS (SELECT * FROM lives WHERE alive OR lifetime_days >= {
 tr AS (SELECT u.node, u.dist AS union_dist, v.dist AS head_dist FROM u_2 u LEFT JOIN v_3 v ON v.node = u.node WHERE u.dist > 0 AND (v.dist IS NULL OR v.dist > u.dist))"""
 
 
+def _ways(name: str, edges: str, depth: int = 6) -> str:
+    """Levels as in _reach, each node with its smallest parent, and the hops back from OTHER."""
+    out = [f"{name}_e AS (SELECT DISTINCT * FROM (SELECT src AS here, dst AS nxt FROM {edges} UNION ALL SELECT dst, src FROM {edges}) WHERE here <> nxt)"]
+    out.append(f"{name}_0 AS (SELECT {FILE}::BIGINT AS node, 0::BIGINT AS dist, NULL::BIGINT AS parent)")
+    for d in range(1, depth + 1):
+        step = f"SELECT nxt, {d}::BIGINT, min(here) FROM {name}_{d - 1} JOIN {name}_e ON here = node WHERE dist = {d - 1} AND nxt NOT IN (SELECT node FROM {name}_{d - 1}) GROUP BY nxt"
+        out.append(f"{name}_{d} AS (SELECT * FROM {name}_{d - 1} UNION ALL {step})")
+    out.append(f"{name}_back AS (SELECT node, dist, parent FROM {name}_{depth} WHERE node = {OTHER} UNION ALL SELECT t.node, t.dist, t.parent FROM {name}_back b JOIN {name}_{depth} t ON t.node = b.parent)")
+    out.append(f"""{name}_hop AS (SELECT dist - 1 AS step, e.*, row_number() OVER (PARTITION BY dist ORDER BY e.src <> parent, e.kind, e.src, e.dst) AS nth
+      FROM {name}_back b JOIN {edges} e ON (e.src = parent AND e.dst = node) OR (e.src = node AND e.dst = parent) WHERE parent IS NOT NULL)""")
+    return ", ".join(out)
+
+
 def oracle() -> dict[str, str]:
-    """SQL by query name; path_hops has none (its hops follow a search order)."""
+    """SQL by query name."""
     q: dict[str, str] = {}
     q["commit_classified"] = _with(_COMMITS) + f"SELECT id, oid, author_time, {_DATE.format('author_time')} AS date, subject, n_files, excluded, {_six('weight')} AS weight, excluded & 1 <> 0 AS too_large, excluded & 2 <> 0 AS mechanical, excluded & 8 <> 0 AS \"merge\" FROM commits"
     q["touches_dedup"] = _with(_COMMITS) + "SELECT commit_id, file_id, change, lines_added, lines_removed, import_only FROM touches WHERE commit_id IN (SELECT commit_id FROM inc)"
@@ -131,6 +144,9 @@ def oracle() -> dict[str, str]:
       ranked AS (SELECT other, 1.0::DOUBLE - product(1.0::DOUBLE - least(greatest(s, 0), 0.999)) AS raw, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ev GROUP BY other)""") + f"SELECT last_path AS path, {_at('raw', 2)} AS rank, n AS n_evidence, types FROM ranked JOIN files ON files.id = other WHERE raw >= 0.1"
     q["transitive"] = _with(*_LV, _TRANSITIVE) + """SELECT node, union_dist, head_dist, CASE WHEN union_dist = 1 THEN '' ELSE CAST((SELECT min(e.here) FROM u_e e JOIN u_1 w ON w.node = e.here AND w.dist = 1 WHERE e.nxt = tr.node) AS VARCHAR) END AS via FROM tr"""
     q["path_bfs"] = _with(*_IV, f"then_e AS (SELECT DISTINCT src, dst FROM intervals WHERE born <= {AS_OF} AND (died IS NULL OR died > {AS_OF}))", _reach("r", "then_e", 6)) + "SELECT node, dist FROM r_6"
+    wide = f"widee AS (SELECT * FROM lives WHERE alive OR lifetime_days >= {P.ghost_min_lifetime_days}), livee AS (SELECT * FROM lives WHERE alive)"
+    hop = "SELECT '{0}' AS path, step, src, dst, 'import' AS kind, alive, last_died FROM {1}_hop WHERE nth = 1"
+    q["path_hops"] = _with(*_LV, wide, _ways("a", "livee"), _ways("b", "widee"), recursive=True) + f"{hop.format('live_path', 'a')} UNION ALL {hop.format('union_path', 'b')} AND NOT EXISTS (SELECT 1 FROM a_6 WHERE node = {OTHER})"
     q["timeline_churn"] = _with(_COMMITS) + f"SELECT strftime(to_timestamp(author_time) AT TIME ZONE 'UTC', '%Y') || '-Q' || quarter(to_timestamp(author_time) AT TIME ZONE 'UTC') AS period, count(*) AS touches, CAST(sum(lines_added + lines_removed) AS BIGINT) AS lines FROM touches JOIN commits ON id = commit_id WHERE file_id = {FILE} GROUP BY 1"
     side = f"CASE WHEN src = {FILE} THEN dst ELSE src END AS other, CASE WHEN src = {FILE} THEN 'out' ELSE 'in' END AS direction FROM intervals WHERE (src = {FILE} OR dst = {FILE})"
     q["timeline_events"] = _with(*_IV) + f"SELECT * FROM (SELECT born AS \"commit\", 'opened' AS event, {side} UNION ALL SELECT died, 'closed', {side} AND died IS NOT NULL) ORDER BY \"commit\", event, other, direction LIMIT 200"

@@ -52,9 +52,9 @@ def list_commits(repo: str, rev: str = "HEAD", first_parent: bool = True, hide:
     return out
 
 
-def scan_commits(spark: SparkSession, repo: str, first_id: int = 1, **kw) -> DataFrame:
-    rows = list_commits(repo, **kw)
-    return spark.createDataFrame([(first_id + i, *r) for i, r in enumerate(rows)], COMMITS)
+def scan_commits(spark: SparkSession, listed: list[tuple], first_id: int = 1) -> DataFrame:
+    """The commits of `list_commits`, numbered from `first_id`."""
+    return spark.createDataFrame([(first_id + i, *r) for i, r in enumerate(listed)], COMMITS)
 
 
 def diff(repo: str, oid: str, parent: str | None, rename: float = 0.5) -> list[dict]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline.model import TABLES
 
-VERSION = 1
+VERSION = 2
 _META = "_meta.json"
 
 
@@ -42,31 +41,71 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class _Folder:
+    """A folder on whatever file system Spark reads it from."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm, self.path = spark.sparkContext._jvm, path.rstrip("/")
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self.fs.create(self._at(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self.fs.listStatus(self._at(""))]
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self._at(name), True)
+
+
 class Store:
-    """Tables by name under one folder; a run replaces the folder as a whole."""
+    """Tables by name in a generation under one folder; the side file names the generation that counts."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        if not os.path.exists(os.path.join(path, _META)):
+        self.folder = _Folder(spark, path)
+        if not self.folder.has(_META):
             raise IndexMissing(path)
-        with open(os.path.join(path, _META)) as f:
-            self.meta: dict[str, str] = json.load(f)
+        self.meta: dict[str, str] = json.loads(self.folder.read(_META))
         if self.meta.get("schema_version") != str(VERSION):
             raise SchemaMismatch(f"{path} has schema {self.meta.get('schema_version')}, this is {VERSION}")
 
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        return _Folder(spark, path).has(_META)
+
     @classmethod
     def write(cls, spark: SparkSession, path: str, tables: dict[str, DataFrame], meta: dict[str, str]) -> Store:
-        """Write beside the old store, then rename; a failed run leaves the old one."""
-        new = f"{path}.{uuid.uuid4().hex}"
+        """Write a new generation, then the side file that names it, in one put: a failed run leaves the old store.
+
+        No folder is renamed, so object storage will do. The generation before stays
+        for those who read it, until the next one comes.
+        """
+        folder, new = _Folder(spark, path), f"gen-{uuid.uuid4().hex}"
+        before = json.loads(folder.read(_META)).get("generation") if folder.has(_META) else None
         for name, df in tables.items():
-            df.write.parquet(os.path.join(new, name))
-        with open(os.path.join(new, _META), "w") as f:
-            json.dump(meta | {"schema_version": str(VERSION)}, f)
-        old = f"{path}.old"
-        if os.path.exists(path):
-            os.rename(path, old)
-        os.rename(new, path)
-        shutil.rmtree(old, ignore_errors=True)
+            df.write.parquet(f"{path}/{new}/{name}")
+        folder.write(_META, json.dumps(meta | {"schema_version": str(VERSION), "generation": new}))
+        for name in folder.names():
+            if name.startswith("gen-") and name not in (new, before):
+                folder.drop(name)
         return cls(spark, path)
 
     @staticmethod
@@ -80,11 +119,13 @@ class Store:
                 raise IndexMissing(start)
             at = os.path.dirname(at)
 
+    def has(self, name: str) -> bool:
+        return self.folder.has(f"{self.meta['generation']}/{name}")
+
     def table(self, name: str) -> DataFrame:
-        at = os.path.join(self.path, name)
-        if not os.path.exists(at):
+        if not self.has(name):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(at)
+        return self.spark.read.parquet(f"{self.path}/{self.meta['generation']}/{name}")
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in TABLES}

@@ -154,7 +154,7 @@ def test_command_line(spark, store, tmp_path, capsys):
     from driftline.cli import main
 
     def ask(*args):
-        assert main(["--store", store.path, *args], spark) == 0
+        assert main(["--store", store.path, "--json", *args], spark) == 0
         return json.loads(capsys.readouterr().out)
 
     first = ask("blast", "src/encoder.ts")["results"]
@@ -170,3 +170,96 @@ def test_command_line(spark, store, tmp_path, capsys):
     assert ask("search", "interface extract")["results"][0]["commit"]["subject"] == "Extract the interface"
     assert main(["--store", store.path, "blast", "no/such.file"], spark) == 3
     assert main(["--store", str(tmp_path), "stats"], spark) == 2
+
+
+def test_text_answers(spark, store, capsys):
+    from driftline.cli import main
+
+    def ask(*args):
+        assert main(["--store", store.path, *args], spark) == 0
+        return capsys.readouterr().out
+
+    got = ask("blast", "src/encoder.ts")
+    assert "src/inner/holder.ts" in got and "Extract the interface" in got and "ghost import link" in got
+    assert "it broke in" in ask("path", "src/encoder.ts", "src/pane.ts") and "Live path" in ask("path", "src/encoder.ts", "src/iface.ts")
+    assert "ghost since" in ask("why", "src/encoder.ts", "src/inner/holder.ts") and "src/inner/holder.ts" in ask("timeline", "src/pane.ts")
+    assert "src/encoder.ts -> src/inner/holder.ts" in ask("ghosts") and "tests/golden.txt" in ask("cochange", "src/parser.ts")
+    assert "mechanical" in ask("stats") and "Hotspots by churn" in ask("hotspots", "--limit", "1") and "larger --limit" in ask("hotspots", "--limit", "1")
+    assert "Extract the interface" in ask("search", "interface") and ask("drift").strip()
+
+
+def test_json_export_and_states(spark, store):
+    from driftline.operators.ghosts import ghosts
+    from driftline.plans import export
+
+    lives = lifetimes(store.table("edge_intervals"), store.table("commits"))
+    states = export.edge_states(lives, store.table("ghosts"))
+    got = export.to_json(states, display_paths(store.table("files"), store.table("file_paths")), store.table("cochange"))
+    assert any('"state":"ghost"' in r["value"] and "holder.ts" in r["value"] for r in got["edges"].collect())
+    assert got["files"].count() == store.table("files").count() and got["cochange"].count() == store.table("cochange").count()
+    assert ghosts(store.table("commits"), store.table("touches"), store.table("files"), lives, P).count() == store.table("ghosts").count()
+
+
+def test_serve(spark, store):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    from driftline.cli import Ask
+    from driftline.plans import serve
+
+    data = Ask(store).web()
+    paths = [n[0] for n in data["nodes"]]
+    assert "src/encoder.ts" in paths and data["meta"]["live"] == len(data["live"]) > 0 and len(data["groups"]) <= 8
+    assert all(0 <= n[1] < len(data["groups"]) and n[2] >= 0 for n in data["nodes"]) and all(a < len(paths) and b < len(paths) for a, b in data["live"])
+    with serve.server(lambda: data, 0) as http:
+        threading.Thread(target=http.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{http.server_port}"
+        with urlopen(f"{at}/data.json") as r:
+            assert json.load(r) == json.loads(json.dumps(data)) and r.headers["Cache-Control"] == "no-store"
+        with urlopen(at) as r:
+            assert "src/encoder.ts" in r.read().decode() and "default-src 'none'" in r.headers["Content-Security-Policy"]
+        with pytest.raises(HTTPError):
+            urlopen(f"{at}/else")
+        http.shutdown()
+    assert "</script><b" not in serve.page({"nodes": ["</script><b>"]})
+
+
+def test_store_keeps_the_generation_before(spark, tmp_path):
+    import os
+
+    at = str(tmp_path / "s")
+    for k in range(3):
+        store = Store.write(spark, at, {"meta": spark.createDataFrame([(k,)], "k long")}, {"n": str(k)})
+        assert store.table("meta").first()["k"] == k and store.meta["n"] == str(k)
+    assert sum(x.startswith("gen-") for x in os.listdir(at)) == 2 and not store.has("ghosts")
+
+
+def test_a_link_through_a_death_a_return_and_a_late_drop(spark, tmp_path_factory):
+    """The source drops its import while the target is gone; the return opens the link until the source is read again."""
+    r = Repo(tmp_path_factory.mktemp("returns"))
+    r.write("src/a.ts", "import { x } from './b';\nexport const a0 = x;\n")
+    r.write("src/b.ts", body("part", 0))
+    r.commit("2024-01-01", "one")
+    text = open(os.path.join(r.path, "src/b.ts")).read()
+    os.remove(os.path.join(r.path, "src/b.ts"))
+    r.commit("2024-01-05", "gone")
+    r.write("src/b.ts", text)
+    r.commit("2024-01-09", "back")
+    r.write("src/a.ts", "export const a0 = 1;\n")
+    r.commit("2024-01-20", "dropped")
+    store, _ = index.build(spark, r.path, str(tmp_path_factory.mktemp("kept") / "s"), P)
+    n = {v: k for k, v in names(store).items()}
+    got = store.table("edge_intervals").where((F.col("src") == n["src/a.ts"]) & (F.col("dst") == n["src/b.ts"]) & (F.col("kind") == 0)).orderBy("born").collect()
+    assert [(x["born"], x["died"]) for x in got] == [(1, 2), (3, 4)]
+
+
+def test_seeds_since_and_all_parents(spark, repo, tmp_path):
+    """An index that starts in the middle of a history knows the tree before it."""
+    store, report = index.build(spark, repo.path, str(tmp_path / "s"), P, since="2025-06-01", first_parent=False)
+    assert 0 < report["commits_indexed"] < 22
+    files = {x["current_path"]: x for x in store.table("files").collect()}
+    assert files["src/encoder.ts"]["born_commit"] == 0 and files["tests/golden.txt"]["born_commit"] == 0
+    assert store.table("edge_intervals").where("born = 0").count() > 0
+    assert store.table("symbols").where("name = 'parse1' AND first_commit = 0").count() >= 1
