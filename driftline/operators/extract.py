@@ -131,29 +131,26 @@ def _python_loose(f: Found, text: str) -> None:
 
 def expand_use(text: str) -> list[tuple[str, bool]]:
     """`pub use a::{b, c::d};` as paths, each with whether it is public."""
-    text = text.strip().rstrip(";").strip()
-    m = re.match(r"(pub(?:\([^)]*\))?\s+)?use\s+", text)
-    public, out = bool(m and m[1]), []
-
-    def walk(s: str, prefix: str) -> None:
-        s = s.strip()
-        if not s or len(out) > MAX_USES:
-            return
-        if "{" not in s:
-            out.append("::".join(filter(None, (prefix, s.split(" as ")[0].strip()))))
-            return
-        if not s.endswith("}"):
-            return
-        head, inner = s[: s.index("{")].strip().removesuffix("::"), s[s.index("{") + 1 : -1]
-        depth, start = 0, 0
-        for i, c in enumerate(inner + ","):
-            depth += (c == "{") - (c == "}")
-            if c == "," and depth == 0:
-                walk(inner[start:i], "::".join(filter(None, (prefix, head))))
-                start = i + 1
-
-    walk(text[m.end() :] if m else text, "")
-    return [(p, public) for p in out]
+    m = re.match(r"\s*(pub(?:\([^)]*\))?\s+)?(?:use\s+)?([^;]*)", text)
+    public, under, part, out = bool(m[1]), [""], "", []
+
+    def path(name: str) -> str:
+        return "::".join(filter(None, (under[-1], name)))
+
+    # Braces open and close a level; a comma or the end of a level completes a path.
+    for token in [*re.findall(r"[{},]|[^{},]+", m[2]), ","]:
+        if token == "{":
+            under.append(path(part.strip().removesuffix("::")))
+            part = ""
+        elif token in ",}":
+            if name := part.split(" as ")[0].strip():
+                out.append(path(name))
+            part = ""
+            if token == "}" and len(under) > 1:
+                under.pop()
+        else:
+            part += token
+    return [(p, public) for p in out[: MAX_USES + 1]]
 
 
 def _rust(f: Found, text: str) -> None:

@@ -15,25 +15,30 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).union(edges.select("dst", "src")).where("at <> to").distinct()
 
 
-def bfs(edges: DataFrame, start: int, depth: int) -> DataFrame:
+#: Levels of a search that one plan holds; then what is known is written to the shared folder.
+LEVELS = 3
+
+
+def bfs(edges: DataFrame, start: int, depth: int, both: DataFrame | None = None) -> DataFrame:
     """(node, dist, via): nodes within `depth` links of `start`, and the nodes between on a shortest way.
 
-    Of several parents the smallest wins. Each level joins only the frontier and
-    is written to the shared folder; the visited set is an anti join.
+    Of several parents the smallest wins. Each level joins only the frontier; the
+    visited set is an anti join. `both` is `undirected(edges)` if it is at hand.
     """
     spark: SparkSession = edges.sparkSession
-    both = shared_table(undirected(edges))
-    frontier = spark.createDataFrame([(start, 0, [])], "node long, dist int, via array<long>")
-    seen = frontier
+    both = shared_table(undirected(edges)) if both is None else both
+    seen = spark.createDataFrame([(start, 0, [])], "node long, dist int, via array<long>")
     for d in range(1, depth + 1):
-        step = frontier.join(both, F.col("node") == F.col("at")).select(
+        step = seen.where(F.col("dist") == d - 1).join(both, F.col("node") == F.col("at")).select(
             F.col("to").alias("node"), F.col("node").alias("parent"), F.when(F.col("dist") > 0, F.concat("via", F.array("node"))).otherwise(F.col("via")).alias("via")
         )
         best = step.groupBy("node").agg(F.min_by("via", "parent").alias("via"))
-        frontier = shared_table(best.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("dist"), "via"))
-        if frontier.isEmpty():
-            break
+        frontier = best.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("dist"), "via")
         seen = seen.unionByName(frontier)
+        if d % LEVELS == 0 and d < depth:
+            seen = shared_table(seen)
+            if seen.where(F.col("dist") == d).isEmpty():
+                break
     return seen
 
 
@@ -44,8 +49,12 @@ def union_links(lives: DataFrame, p: Params) -> DataFrame:
 
 def transitive(lives: DataFrame, start: int, depth: int, p: Params) -> DataFrame:
     """(node, via, union_dist, head_dist): near in the union graph, farther or unreachable over live links."""
-    wide = bfs(union_links(lives, p), start, depth).select("node", F.col("dist").alias("union_dist"), "via").where("union_dist > 0")
-    live = bfs(lives.where("alive"), start, 3).select("node", F.col("dist").alias("head_dist"))
+    # One table serves both searches; a pair is live if any of its links is.
+    linked = union_links(lives, p)
+    ends = linked.select(F.col("src").alias("at"), F.col("dst").alias("to"), "alive").union(linked.select("dst", "src", "alive")).where("at <> to")
+    both = shared_table(ends.groupBy("at", "to").agg(F.bool_or("alive").alias("alive")))
+    wide = bfs(linked, start, depth, both.select("at", "to")).select("node", F.col("dist").alias("union_dist"), "via").where("union_dist > 0")
+    live = bfs(linked, start, 3, both.where("alive").select("at", "to")).select("node", F.col("dist").alias("head_dist"))
     return wide.join(live, "node", "left").where(F.col("head_dist").isNull() | (F.col("head_dist") > F.col("union_dist")))
 
 

@@ -14,7 +14,7 @@ from driftline.operators import classify, extract, identity, intervals, textsear
 from driftline.operators.evidence import drift_pairs, parse_kinds
 from driftline.operators.resolve import Manifests, resolve
 from driftline.params import Params
-from driftline.plans import export, star_queries, star_sql
+from driftline.plans import export, log_queries, log_sql, star_queries, star_sql
 from driftline.streaming.events import hourly
 
 DATA = "/root/testdata/sf0.001"
@@ -35,6 +35,7 @@ def test_scalars(spark):
     one, two = (value(spark, S.noisy_or(F.array(*map(lit, x)))) for x in ([0.5], [0.5, 0.4]))
     assert 0.5 == one < two < 1 and value(spark, S.noisy_or(F.array(lit(5.0)))) == pytest.approx(0.999)
     assert value(spark, S.xml_escape(lit('a<b & "c"'))) == "a&lt;b &amp; &quot;c&quot;" and S.parse_days("365d") == 365
+    assert tuple(value(spark, S.civil(lit(951782400)))) == (2000, 2, 29) and value(spark, S.hex_oid(lit(bytearray(b"\xab\x01")))) == "ab01"
     assert value(spark, S.transitive_strength(lit(2))) == 0.125 and value(spark, S.structural_strength(lit(0), lit(False))) == 0
 
 
@@ -128,6 +129,8 @@ def test_extraction():
     assert [i["spec"] for i in extract.extract("py", b"import broken\ndef (:\n")["imports"]] == ["broken"]
     rust = extract.extract("rust", b"pub use crate::up::{left, down::deep as e};\nmod inner;\npub struct Point { x: Other }\nfn make() { build(); println!(\"hi\") }\n")
     assert [(i["spec"], i["reexport"]) for i in rust["imports"]] == [("crate::up::left", True), ("crate::up::down::deep", True), ("mod:inner", False)]
+    assert extract.expand_use("use a::{self, b::{c as d, e}, f};") == [(p, False) for p in ("a::self", "a::b::c", "a::b::e", "a::f")]
+    assert extract.expand_use("pub(crate) use x::y as z;") == [("x::y", True)] and extract.expand_use("use q::*;") == [("q::*", False)]
     assert names(rust)["Point"] == "struct" and {"build", "println"} <= set(rust["calls"]) and "Other" in rust["type_refs"]
     go = extract.extract("go", b'package m\nimport (\n "fmt"\n x "mod/pkg"\n)\nfunc (s *Server) Run() { helper(s) }\ntype Server struct { Next *Node }\n')
     assert [i["spec"] for i in go["imports"]] == ["fmt", "mod/pkg"] and names(go)["Run"] == "method" and "helper" in go["calls"] and "Node" in go["type_refs"]
@@ -208,16 +211,32 @@ def test_stream_equals_batch(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["commit_classified", "touches_dedup", "cochange_pairs", "hotspots_churn", "edge_intervals", "edge_lifetimes", "ghosts", "drift", "path_bfs", "timeline_events", "stats", "search_bm25", "path_scalars", "link_extract"])
+@pytest.mark.parametrize("name", ["commit_classified", "touches_dedup", "cochange_pairs", "hotspots_churn", "edge_intervals", "edge_lifetimes", "ghosts", "drift", "path_bfs", "timeline_events", "stats", "search_bm25", "path_scalars", "link_extract", "path_hops", "transitive", "blast", *log_queries.QUERIES])
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
     c.execute("SET TimeZone = 'UTC'")
     for f in glob.glob(f"{DATA}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    found = star_queries.QUERIES[name](spark, DATA)
+    found = (star_queries.QUERIES | log_queries.QUERIES)[name](spark, DATA)
     columns = sorted(found.columns)
-    want = c.execute(star_sql.oracle()[name])
+    want = c.execute((star_sql.oracle() | log_sql.oracle())[name])
     heads = [d[0] for d in want.description]
     assert sorted(heads) == columns
     b = sorted((tuple(r[heads.index(k)] for k in columns) for r in want.fetchall()), key=repr)
     assert sorted((tuple(r[k] for k in columns) for r in found.collect()), key=repr) == b
+
+
+def test_every_query_has_its_sql():
+    assert star_queries.QUERIES.keys() | log_queries.QUERIES.keys() == star_sql.oracle().keys() | log_sql.oracle().keys()
+
+
+def test_stream_extends_batch_by_batch(spark, tmp_path):
+    from driftline.streaming.events import extend
+
+    at, seen = str(tmp_path / "in"), []
+    spark.range(5).write.parquet(at)
+    for more in (0, 3):
+        if more:
+            spark.range(5, 5 + more).write.mode("append").parquet(at)
+        extend(spark.readStream.schema("id long").parquet(at), lambda df, _: seen.extend(r["id"] for r in df.collect()), str(tmp_path / "done")).awaitTermination()
+    assert sorted(seen) == list(range(8))
