@@ -70,6 +70,12 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.abs(vectors).max(axis=1)[:, None]
 
 
+def matrix(vectors: pa.Array, at: np.ndarray | None = None) -> np.ndarray:
+    """The lists of an Arrow column (or those at some places), all of one length, as rows; no Python objects are made."""
+    part = vectors if at is None else vectors.take(pa.array(at))
+    return part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+
+
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     x = scaled(vectors)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
@@ -269,14 +275,14 @@ def _send(reps: DataFrame, threshold: float) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reps_, weights, vecs, parts = (c.to_pylist() for c in b.columns)
+            vecs, parts = b.column(2), b.column(3).to_pylist()
             cells, away = np.zeros(len(parts), np.int32), np.full(len(parts), 2.0)
             for p, at in by_part(parts):
                 if (centres := first.value.get(p)) is not None:
-                    cos = unit_rows(np.array([vecs[i] for i in at.tolist()], float)) @ centres.T
+                    cos = unit_rows(matrix(vecs, at)) @ centres.T
                     cells[at] = cos.argmax(axis=1)
                     away[at] = np.sqrt(np.maximum(0.0, 2 - 2 * cos.max(axis=1)))
-            yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip((reps_, weights, vecs, parts, cells, away), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells), pa.array(away)], schema=schema)
 
     placed = materialise(reps.join(large.select("part"), "part", "left_semi").select("rep", "weight", "vec", "part").mapInArrow(place, placed_schema))
     # One row a cell: at most MAX_PIVOTS.
@@ -287,24 +293,23 @@ def _send(reps: DataFrame, threshold: float) -> DataFrame:
         plan[part] = (np.array(ids), np.array([cells[part, c][1] for c in ids]), np.array([math.ceil(cells[part, c][0] / BLOCK) for c in ids]))
     second = spark.sparkContext.broadcast(plan)
 
-    def near(part: str, vecs: list, cells: np.ndarray) -> np.ndarray:
+    def near(part: str, vecs: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """For each vector, which of the label's later cells may hold something linked to it."""
         ids, radii, _ = second.value[part]
         centres = first.value.get(part)
         if centres is None:
             return np.zeros((len(vecs), len(ids)), bool)
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (unit_rows(np.array(vecs, float)) @ centres[ids].T)))
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (unit_rows(vecs) @ centres[ids].T)))
         return (ids[None, :] > cells[:, None]) & (d <= radii[None, :] + reach + SLACK)
 
     visits_schema = to_arrow_schema(_VISITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs, parts = (b.column(c).to_pylist() for c in range(2))
-            cells = b.column(2).to_numpy()
+            vecs, parts, cells = b.column(0), b.column(1).to_pylist(), b.column(2).to_numpy()
             out = []
             for p, at in by_part(parts):
-                n = near(p, [vecs[i] for i in at.tolist()], cells[at]).sum(axis=0)
+                n = near(p, matrix(vecs, at), cells[at]).sum(axis=0)
                 out += [(p, int(second.value[p][0][k]), int(n[k])) for k in np.flatnonzero(n).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), visits_schema, strict=True)], schema=visits_schema)
@@ -316,31 +321,33 @@ def _send(reps: DataFrame, threshold: float) -> DataFrame:
     sent_schema = to_arrow_schema(_SENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(out: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(zip(*out, strict=True), sent_schema, strict=True)], schema=sent_schema)
-
         for b in batches:
-            reps_, weights, vecs, parts, cells, spread = (c.to_pylist() for c in b.columns)
+            vecs, parts, cells, spread = b.column(2), *(b.column(c).to_pylist() for c in (3, 4, 5))
             out = []
+
+            def flush() -> pa.RecordBatch:
+                tasks, home, at = zip(*out, strict=True)
+                at = pa.array(at)
+                return pa.RecordBatch.from_arrays([pa.array(tasks), pa.array(home), *(b.column(c).take(at) for c in range(3))], schema=sent_schema)
+
             for p, at in by_part(parts):
                 ids, _, blocks = second.value[p]
-                here = [vecs[i] for i in at.tolist()]
-                later = near(p, here, np.array([cells[i] for i in at.tolist()]))
-                for i, vec, row in zip(at.tolist(), here, later, strict=True):
-                    body, cell, salt = (reps_[i], weights[i], vec), cells[i], spread[i] // 1024
+                later = near(p, matrix(vecs, at), np.array([cells[i] for i in at.tolist()]))
+                for i, row in zip(at.tolist(), later, strict=True):
+                    cell, salt = cells[i], spread[i] // 1024
                     own = int(blocks[np.searchsorted(ids, cell)])
                     mine = spread[i] % own
                     n = third.value[p, cell]
-                    out += [(f"{p}/{cell}/{mine}/{s}", True, *body) for s in range(n)]
-                    out += [(f"{p}/{cell}/{k}/{salt % n}", False, *body) for k in range(mine + 1, own)]
+                    out += [(f"{p}/{cell}/{mine}/{s}", True, i) for s in range(n)]
+                    out += [(f"{p}/{cell}/{k}/{salt % n}", False, i) for k in range(mine + 1, own)]
                     for k in np.flatnonzero(row).tolist():
                         n = third.value[p, ids[k]]
-                        out += [(f"{p}/{ids[k]}/{j}/{salt % n}", False, *body) for j in range(blocks[k])]
+                        out += [(f"{p}/{ids[k]}/{j}/{salt % n}", False, i) for j in range(blocks[k])]
                     if len(out) >= 2000:
-                        yield flush(out)
+                        yield flush()
                         out = []
             if out:
-                yield flush(out)
+                yield flush()
 
     block = F.pmod(F.xxhash64(F.lit(9), "rep"), F.lit(1 << 30)).cast("long")
     return small.unionByName(placed.select("rep", "weight", "vec", "part", "cell", block.alias("block")).mapInArrow(send, _SENT))
@@ -350,10 +357,11 @@ def _compare(sent: DataFrame, threshold: float) -> DataFrame:
     schema = to_arrow_schema(_LINKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, home, visit, tree = None, [], [], None
+        task, home, visit, n_visit, tree = None, [], [], 0, None
 
         def tables(rows: list) -> tuple[np.ndarray, np.ndarray, CoverTree]:
-            return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64), CoverTree(np.array([r[2] for r in rows], float))
+            reps, weights, vecs = (np.concatenate(x) for x in zip(*rows, strict=True))
+            return reps, weights, CoverTree(vecs)
 
         def emit(rows: Iterator[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
             cols = list(zip(*rows, strict=True))
@@ -370,24 +378,31 @@ def _compare(sent: DataFrame, threshold: float) -> DataFrame:
                 yield from emit(Traversal(tree[2], tree[2], tree[1], tree[1], threshold).rows(tree[0], tree[0]))
 
         def visitors() -> Iterator[pa.RecordBatch]:
-            nonlocal visit
+            nonlocal visit, n_visit
             if visit and tree:
                 reps, weights, other = tables(visit)
                 yield from emit(Traversal(tree[2], other, tree[1], weights, threshold).rows(tree[0], reps))
-            visit = []
+            visit, n_visit = [], 0
 
         for b in batches:
-            for t, at_home, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if t != task:
+            tasks, homes = np.array(b.column(0).to_pylist(), dtype=object), b.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((tasks[1:] != tasks[:-1]) | (homes[1:] != homes[:-1])) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(tasks)], strict=True):
+                if i == j:
+                    continue
+                if tasks[i] != task:
                     yield from settle()
                     yield from visitors()
-                    task, home, tree = t, [], None
-                if at_home:
-                    home.append(row)
+                    task, home, tree = tasks[i], [], None
+                part = b.slice(i, j - i)
+                rows = (part.column(2).to_numpy(), part.column(3).to_numpy(), matrix(part.column(4)))
+                if homes[i]:
+                    home.append(rows)
                 else:
                     yield from settle()
-                    visit.append(row)
-                    if len(visit) >= BLOCK:
+                    visit.append(rows)
+                    n_visit += j - i
+                    if n_visit >= BLOCK:
                         yield from visitors()
         yield from settle()
         yield from visitors()
