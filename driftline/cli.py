@@ -60,8 +60,8 @@ class Ask:
     def blast(self, path: str, depth: int, limit: int, min_confidence: float, kinds: str | None) -> dict:
         q = self.file(path)
         got = E.blast(q, self.lives, self.t("edges"), self.t("ghosts"), self.t("cochange"), self.t("files"), self.t("commits"), self.p, self.drift(), depth, E.parse_kinds(kinds), min_confidence)
-        rows = _rows(self.named(got, path="file_id").orderBy(F.desc("rank"), "path").limit(limit + 1).select("path", "rank", "evidence"))
-        return {"query": {"file": path, "file_id": q, "head": self.store.meta["head_oid"][:12]}, "results": rows[:limit], "truncated": len(rows) > limit}
+        rows = self.named(got, path="file_id").orderBy(F.desc("rank"), "path").limit(limit + 1).select("path", "rank", "evidence")
+        return {"query": {"file": path, "file_id": q, "head": self.store.meta["head_oid"][:12]}} | _cut(limit, rows)
 
     def cochange(self, path: str, limit: int, include_structural: bool) -> dict:
         q = self.file(path)
@@ -71,15 +71,15 @@ class Ask:
         out = rows.join(alive, "other").join(linked, "other", "left").withColumn("structural_edge", F.coalesce("linked", F.lit(False)))
         out = out if include_structural else out.where("NOT structural_edge")
         out = out.join(self.dated("first_commit", "first"), "first_commit").join(self.dated("last_commit", "last"), "last_commit")
-        return {"query": {"file": path}, "results": _rows(out.orderBy(F.desc("w_decayed"), "other").limit(limit).select("path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", "structural_edge"))}
+        return {"query": {"file": path}} | _cut(limit, out.orderBy(F.desc("w_decayed"), "other").limit(limit + 1).select("path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", "structural_edge"))
 
     def ghosts(self, path: str | None, limit: int) -> dict:
         g = self.t("ghosts")
         if path:
             q = self.file(path)
             g = g.where((F.col("src") == q) | (F.col("dst") == q))
-        top = self.named(g.orderBy(F.desc("score"), "src", "dst", "kind").limit(limit), **{"from": "src", "to": "dst"}).join(self.dated("severed_commit", "severed_at"), "severed_commit", "left")
-        return {"results": _rows(top.orderBy(F.desc("score"), "from", "to").select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), "severed_at", "lifetime_days", "cochanges_since", S.round_to(F.col("conf_since"), 2).alias("confidence_since"), S.round_to(F.col("score"), 2).alias("score")))}
+        top = self.named(g.orderBy(F.desc("score"), "src", "dst", "kind").limit(limit + 1), **{"from": "src", "to": "dst"}).join(self.dated("severed_commit", "severed_at"), "severed_commit", "left")
+        return _cut(limit, top.orderBy(F.desc("score"), "from", "to").select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), "severed_at", "lifetime_days", "cochanges_since", S.round_to(F.col("conf_since"), 2).alias("confidence_since"), S.round_to(F.col("score"), 2).alias("score")))
 
     def path(self, a: str, b: str, as_of: str | None) -> dict:
         at = commit_as_of(self.t("commits"), as_of) if as_of else None
@@ -115,9 +115,9 @@ class Ask:
         return {"file": self.names.where(F.col("id") == q).first()["path"], **_rows(info)[0], "paths": _rows(spans.orderBy("from_commit").select("path", "from", "to", "confidence")), "edge_events": _rows(events.select("commit", "event", S.edge_kind_name(F.col("kind")).alias("kind"), "other", "direction")), "churn": _rows(churn)}
 
     def drifted(self, limit: int) -> dict:
-        top = self.named(self.drift().orderBy(F.desc("commits_behind"), "doc", "code").limit(limit), doc_path="doc", code_path="code")
+        top = self.named(self.drift().orderBy(F.desc("commits_behind"), "doc", "code").limit(limit + 1), doc_path="doc", code_path="code")
         top = top.join(self.dated("doc_last", "doc_at"), "doc_last", "left").join(self.dated("code_last", "code_at"), "code_last", "left").orderBy(F.desc("commits_behind"), "doc", "code")
-        return {"results": _rows(top.select(F.col("doc_path").alias("doc"), F.col("code_path").alias("code"), "commits_behind", F.col("doc_at.date").alias("doc_last_touched"), F.col("code_at.date").alias("code_last_touched")))}
+        return _cut(limit, top.select(F.col("doc_path").alias("doc"), F.col("code_path").alias("code"), "commits_behind", F.col("doc_at.date").alias("doc_last_touched"), F.col("code_at.date").alias("code_last_touched")))
 
     def hotspots(self, by: str, limit: int) -> dict:
         if by == "coupling":
@@ -128,8 +128,7 @@ class Ask:
             ends, words = C.counted(self.t("commits"), self.t("touches"), self.p).select(F.col("file_id").alias("id"), F.col("decayed").alias("s")), "touches"
         alive = self.t("files").where("current_path IS NOT NULL").select("id", F.col("current_path").alias("path"))
         out = ends.groupBy("id").agg(F.sum("s").alias("s"), F.count("*").alias("n")).join(alive, "id").select("path", S.round_to(F.col("s"), 2).alias("score"), F.format_string(f"%d {words}", "n").alias("detail"))
-        rows = _rows(out.orderBy(F.desc("score"), "path").limit(limit + 1))
-        return {"by": by, "results": rows[:limit], "truncated": len(rows) > limit}
+        return {"by": by} | _cut(limit, out.orderBy(F.desc("score"), "path").limit(limit + 1))
 
     def search(self, query: str, limit: int) -> dict:
         found = X.bm25(X.Index(self.t("postings"), self.t("text_lengths")), query).orderBy(F.desc("score"), "id").limit(limit)
@@ -148,7 +147,7 @@ class Ask:
         commits, files, edges, spans = (_rows(x)[0] for x in (c, f, e, r))
         total, resolved = int(self.store.meta.get("imports_total", 0)), int(self.store.meta.get("imports_resolved", 0))
         return {
-            "head": self.store.meta.get("head_oid", ""), "commits": commits, "files": files | {"dead": files["total"] - files["alive"]}, "edges": edges | {"ghosts": self.t("ghosts").count()}, "cochange_pairs": self.t("cochange").count(),
+            "head": self.store.meta.get("head_oid", ""), "indexed_at": self.store.meta.get("indexed_at"), "commits": commits, "files": files | {"dead": files["total"] - files["alive"]}, "edges": edges | {"ghosts": self.t("ghosts").count()}, "cochange_pairs": self.t("cochange").count(),
             "imports": {"total": total, "resolved": resolved, "unresolved_ratio": round((total - resolved) / total, 3) if total else 0.0},
             "renames": {"total": max(0, spans["spans"] - files["total"]), "low_confidence": spans["low_confidence"]},
         }
@@ -166,6 +165,12 @@ class Ask:
         return [r["value"] for r in make(states, self.names, alive).toLocalIterator()]
 
 
+def _cut(limit: int, df: DataFrame) -> dict:
+    """The first rows of a table of at most one more, and whether that one was there."""
+    rows = _rows(df)
+    return {"results": rows[:limit], "truncated": len(rows) > limit}
+
+
 def _rows(df: DataFrame) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().collect()] if df.columns else []
 
@@ -184,7 +189,10 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--limit", type=int, default=20)
         return s
 
-    s = add("index", "repo")
+    s = add("index", "repo?")
+    s.set_defaults(repo=".")
+    s.add_argument("--jobs", type=int, help="cores of a local session")
+    s.add_argument("--quiet", action="store_true", help="no text on success")
     s.add_argument("--since")
     s.add_argument("--incremental", action="store_true")
     s.add_argument("--all-parents", action="store_true")
@@ -234,7 +242,10 @@ def answer(spark: SparkSession, o: argparse.Namespace) -> dict | list[str]:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     o = parser().parse_args(args)
     try:
-        spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if spark is None:
+            made = SparkSession.builder.config("spark.sql.session.timeZone", "UTC")
+            jobs = getattr(o, "jobs", None)
+            spark = (made.master(f"local[{jobs}]") if jobs else made).getOrCreate()
         out = answer(spark, o)
     except IndexMissing as e:
         print(f"no store: {e}", file=sys.stderr)
@@ -248,6 +259,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Exception as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
+    if getattr(o, "quiet", False) and not o.json:
+        return 0
     lines = out if isinstance(out, list) else [json.dumps(out)] if o.json else human.render(o.command, out)
     print("\n".join(lines))
     return 0

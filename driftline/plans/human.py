@@ -123,7 +123,7 @@ def search(o: dict) -> Iterator[str]:
 
 def stats(o: dict) -> Iterator[str]:
     c, f, e, i, r = o["commits"], o["files"], o["edges"], o["imports"], o["renames"]
-    yield f"indexed up to {o['head']}"
+    yield f"indexed up to {o['head']} at {o.get('indexed_at') or 'an unknown time'}"
     yield f"commits  {c['total']}: {c['excluded_too_large']} too large, {c['excluded_mechanical']} mechanical, {c['merges']} merges; {c['excluded_pct']} % don't count"
     yield f"files    {f['total']}: {f['alive']} alive, {f['dead']} dead, {f['docs']} documents"
     yield f"links    {e['total']}: {e['live']} live, {e['ghosts']} ghosts; {o['cochange_pairs']} pairs change together"

@@ -1,14 +1,16 @@
 """From a git repository to a store: scan, identity, parse, resolve, intervals, co-change, ghosts.
 
 Each stage is a DataFrame over the whole history; only the identity fold is
-sequential, over change metadata. An incremental run scans new commits only and
-keeps the parses of blobs already seen; the derived tables are computed afresh.
+sequential, over change metadata. An incremental run scans and resolves new
+commits only and keeps the parses of blobs already seen; identities are folded
+again over the metadata of all commits and the derived tables are computed afresh.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -118,8 +120,11 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     symbols = shared_table(symbol_intervals(events, parsed, deaths))
     known = manifests(touches.where("change <> 'D'").select("commit_id", "path", "blob_oid").union(seeded.select("commit_id", "path", "blob_oid")), repo)
     asked = events.select(F.col("file_id").alias("src"), "commit_id", "path", "lang", "blob_oid")
-    edges, health = resolve(asked, parsed, symbols, spans, known)
-    edges = shared_table(edges)
+    # A link depends on what came before its commit only, so those of commits indexed earlier stand.
+    edges, health = resolve(asked.where(F.col("commit_id") >= first) if old else asked, parsed, symbols, spans, known)
+    if old:
+        edges, health = old.table("resolved").unionByName(edges), old.table("import_health").unionByName(health)
+    edges, health = shared_table(edges), shared_table(health)
     read = events.select(F.col("file_id").alias("src"), "commit_id")
     all_intervals = shared_table(intervals.intervals_with_deaths(read, edges.select("src", "dst", "kind", "commit_id"), lives))
     now = spans.where("to_commit IS NULL").select(F.col("file_id").alias("id"), F.col("path").alias("current_path"))
@@ -132,7 +137,7 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     total, resolved = health.agg(F.coalesce(F.sum("imports_total"), F.lit(0)), F.coalesce(F.sum("imports_resolved"), F.lit(0))).first()
     words = textsearch.build(classified, "id", ["subject", "body"])
     tables = {
-        "postings": words.terms, "text_lengths": words.lengths,
+        "postings": words.terms, "text_lengths": words.lengths, "resolved": edges, "import_health": health,
         "commits": classified, "raw_commits": commits, "changes": changes, "files": files, "file_paths": spans, "touches": touches, "symbols": symbols, "parsed": parsed,
         "edges": edges.groupBy("src", "dst", "kind").agg(F.min("resolution").alias("resolution")), "edge_intervals": all_intervals, "cochange": pairs, "ghosts": ghost_rows,
     }
@@ -140,7 +145,7 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
         tables["seeds"] = seeds
     meta = {
         "repo_path": repo, "head_oid": head, "first_parent": str(first_parent), "max_commit_files": str(p.max_commit_files), "half_life_days": str(p.half_life_days),
-        "imports_total": str(total), "imports_resolved": str(resolved),
+        "imports_total": str(total), "imports_resolved": str(resolved), "indexed_at": datetime.now(UTC).isoformat(timespec="seconds"),
     }
     store = Store.write(spark, out, tables, meta)
     return store, {"commits_indexed": len(listed), "caveats": caveats}

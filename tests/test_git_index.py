@@ -146,6 +146,12 @@ def test_incremental_and_guards(spark, repo, store, tmp_path):
     after, report = index.build(spark, repo.path, store.path, P, incremental=True)
     assert report == {"commits_indexed": 1, "caveats": []} and names(after) == before
     assert after.table("commits").count() == 23 and git.head(repo.path) == after.meta["head_oid"]
+    # The store of an incremental run is that of a run over everything.
+    whole, _ = index.build(spark, repo.path, str(tmp_path / "whole"), P)
+    for name in ("files", "file_paths", "touches", "symbols", "edges", "edge_intervals", "resolved", "import_health"):
+        a, b = (x.table(name) for x in (after, whole))
+        assert sorted(map(repr, a.select(b.columns).collect())) == sorted(map(repr, b.collect())), name
+    assert (after.meta["imports_total"], after.meta["imports_resolved"]) == (whole.meta["imports_total"], whole.meta["imports_resolved"])
 
 
 def test_command_line(spark, store, tmp_path, capsys):
