@@ -7,6 +7,8 @@ parallel.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -124,9 +126,11 @@ def fold(changes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
         if trees is not None:
             for path, blob in sorted(zip(trees["path"], trees["blob"], strict=True)):
                 state.seed(path, blob)
-        rows = rows.astype(object).where(rows.notna(), None)
-        for (commit, time), part in rows.groupby(["commit_id", "author_time"], sort=True):
-            state.commit(int(commit), int(time), part.to_dict("records"))
+        rows = rows.sort_values("commit_id", kind="stable")
+        plain = [c.astype(object).where(c.notna(), None).tolist() for _, c in rows.items()]
+        changes = [dict(zip(rows.columns, values, strict=True)) for values in zip(*plain, strict=True)]
+        for (commit, time), part in groupby(changes, key=lambda c: (c["commit_id"], c["author_time"])):
+            state.commit(int(commit), int(time), list(part))
         out = pd.DataFrame([[key[0], *r] for r in state.rows], columns=EVENTS.names)
         for c in ("to_commit", "lines_added", "lines_removed"):
             out[c] = out[c].astype("Int64")
