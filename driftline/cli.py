@@ -43,7 +43,8 @@ class Ask:
     def dated(self, column: str, name: str) -> DataFrame:
         """(column, name): a commit's id, date and subject. Commit 0 is the start of the index."""
         c = self.t("commits")
-        return c.select(F.col("id").alias(column), F.struct(S.short_oid(F.col("oid")).alias("oid"), S.date_str(F.col("author_time")).alias("date"), "subject").alias(name))
+        return c.select(F.col("id").alias(column),
+            F.struct(S.short_oid(F.col("oid")).alias("oid"), S.date_str(F.col("author_time")).alias("date"), "subject").alias(name))
 
     def drift(self) -> DataFrame:
         docs = self.lives.where((F.col("kind") == 3) & F.col("alive")).select(F.col("src").alias("doc"), F.col("dst").alias("code"))
@@ -59,7 +60,8 @@ class Ask:
 
     def blast(self, path: str, depth: int, limit: int, min_confidence: float, kinds: str | None) -> dict:
         q = self.file(path)
-        got = E.blast(q, self.lives, self.t("edges"), self.t("ghosts"), self.t("cochange"), self.t("files"), self.t("commits"), self.p, self.drift(), depth, E.parse_kinds(kinds), min_confidence)
+        got = E.blast(q, self.lives, self.t("edges"), self.t("ghosts"), self.t("cochange"), self.t("files"), self.t("commits"), self.p,
+            self.drift(), depth, E.parse_kinds(kinds), min_confidence)
         rows = self.named(got, path="file_id").orderBy(F.desc("rank"), "path").limit(limit + 1).select("path", "rank", "evidence")
         return {"query": {"file": path, "file_id": q, "head": self.store.meta["head_oid"][:12]}} | _cut(limit, rows)
 
@@ -67,26 +69,35 @@ class Ask:
         q = self.file(path)
         rows = C.strong(C.both_ways(self.t("cochange")).where(F.col("file_id") == q), self.p)
         alive = self.t("files").where("current_path IS NOT NULL").select(F.col("id").alias("other"), F.col("current_path").alias("path"))
-        linked = self.t("edges").where((F.col("src") == q) | (F.col("dst") == q)).select(F.when(F.col("src") == q, F.col("dst")).otherwise(F.col("src")).alias("other"), F.lit(True).alias("linked")).distinct()
+        linked = self.t("edges").where((F.col("src") == q)
+            | (F.col("dst") == q)).select(F.when(F.col("src") == q, F.col("dst")).otherwise(F.col("src")).alias("other"),
+                F.lit(True).alias("linked")).distinct()
         out = rows.join(alive, "other").join(linked, "other", "left").withColumn("structural_edge", F.coalesce("linked", F.lit(False)))
         out = out if include_structural else out.where("NOT structural_edge")
         out = out.join(self.dated("first_commit", "first"), "first_commit").join(self.dated("last_commit", "last"), "last_commit")
-        return {"query": {"file": path}} | _cut(limit, out.orderBy(F.desc("w_decayed"), "other").limit(limit + 1).select("path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", "structural_edge"))
+        return {"query": {"file": path}} | _cut(limit,
+            out.orderBy(F.desc("w_decayed"), "other").limit(limit + 1).select("path", "n", S.round_to(F.col("conf"), 2).alias("confidence"),
+                S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", "structural_edge"))
 
     def ghosts(self, path: str | None, limit: int) -> dict:
         g = self.t("ghosts")
         if path:
             q = self.file(path)
             g = g.where((F.col("src") == q) | (F.col("dst") == q))
-        top = self.named(g.orderBy(F.desc("score"), "src", "dst", "kind").limit(limit + 1), **{"from": "src", "to": "dst"}).join(self.dated("severed_commit", "severed_at"), "severed_commit", "left")
-        return _cut(limit, top.orderBy(F.desc("score"), "from", "to").select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), "severed_at", "lifetime_days", "cochanges_since", S.round_to(F.col("conf_since"), 2).alias("confidence_since"), S.round_to(F.col("score"), 2).alias("score")))
+        top = self.named(g.orderBy(F.desc("score"), "src", "dst", "kind").limit(limit + 1),
+            **{"from": "src", "to": "dst"}).join(self.dated("severed_commit", "severed_at"), "severed_commit", "left")
+        return _cut(limit, top.orderBy(F.desc("score"), "from", "to").select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"),
+            "severed_at", "lifetime_days", "cochanges_since", S.round_to(F.col("conf_since"), 2).alias("confidence_since"),
+                S.round_to(F.col("score"), 2).alias("score")))
 
     def path(self, a: str, b: str, as_of: str | None) -> dict:
         at = commit_as_of(self.t("commits"), as_of) if as_of else None
         found = G.way(self.lives, self.t("edge_intervals"), self.file(a), self.file(b), self.p, at)
         out: dict = {"a": a, "b": b}
         for key, hops in found.items():
-            out[key] = None if hops is None else _rows(self.named(hops, **{"from": "src", "to": "dst"}).join(self.dated("last_died", "died"), "last_died", "left").orderBy("step").select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), "alive", "died"))
+            out[key] = None if hops is None else _rows(self.named(hops,
+                **{"from": "src", "to": "dst"}).join(self.dated("last_died", "died"), "last_died", "left").orderBy("step").select("from",
+                    "to", S.edge_kind_name(F.col("kind")).alias("kind"), "alive", "died"))
         dead = [h["died"] for h in out["union_path"] or [] if not h["alive"] and h.get("died")]
         out["broke_at"] = max(dead, key=lambda d: d["date"]) if dead else None
         return out
@@ -96,38 +107,55 @@ class Ask:
         on = ((F.col("src") == x) & (F.col("dst") == y)) | ((F.col("src") == y) & (F.col("dst") == x))
         spans = self.t("edge_intervals").where(on).join(self.dated("born", "from"), "born", "left").join(self.dated("died", "to"), "died", "left")
         spans = spans.groupBy("src", "dst", "kind").agg(F.sort_array(F.collect_list(F.struct("born", "from", "to"))).alias("intervals"))
-        edges = self.named(self.lives.where(on).join(spans, ["src", "dst", "kind"]).join(self.t("edges"), ["src", "dst", "kind"]), **{"from": "src", "to": "dst"})
-        ghost = self.t("ghosts").where(on).join(self.dated("severed_commit", "severed"), "severed_commit", "left").select("src", "dst", "kind", F.struct("severed", "lifetime_days", "cochanges_since", "conf_since", "score").alias("ghost"))
+        edges = self.named(self.lives.where(on).join(spans, ["src", "dst", "kind"]).join(self.t("edges"), ["src", "dst", "kind"]),
+            **{"from": "src", "to": "dst"})
+        ghost = self.t("ghosts").where(on).join(self.dated("severed_commit", "severed"), "severed_commit", "left").select("src", "dst",
+            "kind", F.struct("severed", "lifetime_days", "cochanges_since", "conf_since", "score").alias("ghost"))
         pair = self.t("cochange").where((F.col("a") == min(x, y)) & (F.col("b") == max(x, y)))
-        out = {"a": a, "b": b, "edges": _rows(edges.join(ghost, ["src", "dst", "kind"], "left").select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), S.resolution_name(F.col("resolution")).alias("resolution"), "alive", "intervals", "ghost")), "cochange": next(iter(_rows(pair)), None)}
+        out = {"a": a, "b": b, "edges": _rows(edges.join(ghost, ["src", "dst", "kind"], "left").select("from", "to",
+            S.edge_kind_name(F.col("kind")).alias("kind"), S.resolution_name(F.col("resolution")).alias("resolution"), "alive", "intervals",
+                "ghost")), "cochange": next(iter(_rows(pair)), None)}
         return out | {"caveats": [] if out["edges"] or out["cochange"] else ["no link and no shared history"]}
 
     def timeline(self, path: str) -> dict:
         q = self.file(path)
-        spans = self.t("file_paths").where(F.col("file_id") == q).join(self.dated("from_commit", "from"), "from_commit", "left").join(self.dated("to_commit", "to"), "to_commit", "left")
+        spans = self.t("file_paths").where(F.col("file_id") == q).join(self.dated("from_commit", "from"), "from_commit",
+            "left").join(self.dated("to_commit", "to"), "to_commit", "left")
         iv = self.t("edge_intervals").where((F.col("src") == q) | (F.col("dst") == q))
-        iv = iv.withColumn("other_id", F.when(F.col("src") == q, F.col("dst")).otherwise(F.col("src"))).withColumn("direction", F.when(F.col("src") == q, "out").otherwise("in"))
-        both = iv.select(F.col("born").alias("at"), F.lit("opened").alias("event"), "kind", "other_id", "direction").union(iv.where("died IS NOT NULL").select("died", F.lit("closed"), "kind", "other_id", "direction"))
-        events = self.named(both.orderBy("at", "event", "other_id").limit(200), other="other_id").join(self.dated("at", "commit"), "at", "left").orderBy("at", "event", "other_id")
+        iv = iv.withColumn("other_id", F.when(F.col("src") == q, F.col("dst")).otherwise(F.col("src"))).withColumn("direction",
+            F.when(F.col("src") == q, "out").otherwise("in"))
+        both = iv.select(F.col("born").alias("at"), F.lit("opened").alias("event"), "kind", "other_id",
+            "direction").union(iv.where("died IS NOT NULL").select("died", F.lit("closed"), "kind", "other_id", "direction"))
+        events = self.named(both.orderBy("at", "event", "other_id").limit(200), other="other_id").join(self.dated("at", "commit"), "at",
+            "left").orderBy("at", "event", "other_id")
         mine = self.t("touches").where(F.col("file_id") == q).join(self.t("commits").select(F.col("id").alias("commit_id"), "author_time"), "commit_id")
-        churn = mine.groupBy(S.quarter_str(F.col("author_time")).alias("period")).agg(F.count("*").alias("touches"), F.sum(S.line_total(F.col("lines_added"), F.col("lines_removed"))).alias("lines")).orderBy("period")
-        info = self.t("files").where(F.col("id") == q).join(self.dated("born_commit", "born"), "born_commit", "left").join(self.dated("died_commit", "died"), "died_commit", "left").select("born", "died")
-        return {"file": self.names.where(F.col("id") == q).first()["path"], **_rows(info)[0], "paths": _rows(spans.orderBy("from_commit").select("path", "from", "to", "confidence")), "edge_events": _rows(events.select("commit", "event", S.edge_kind_name(F.col("kind")).alias("kind"), "other", "direction")), "churn": _rows(churn)}
+        churn = mine.groupBy(S.quarter_str(F.col("author_time")).alias("period")).agg(F.count("*").alias("touches"),
+            F.sum(S.line_total(F.col("lines_added"), F.col("lines_removed"))).alias("lines")).orderBy("period")
+        info = self.t("files").where(F.col("id") == q).join(self.dated("born_commit", "born"), "born_commit",
+            "left").join(self.dated("died_commit", "died"), "died_commit", "left").select("born", "died")
+        return {"file": self.names.where(F.col("id") == q).first()["path"], **_rows(info)[0],
+            "paths": _rows(spans.orderBy("from_commit").select("path", "from", "to", "confidence")),
+                "edge_events": _rows(events.select("commit", "event", S.edge_kind_name(F.col("kind")).alias("kind"), "other", "direction")),
+                    "churn": _rows(churn)}
 
     def drifted(self, limit: int) -> dict:
         top = self.named(self.drift().orderBy(F.desc("commits_behind"), "doc", "code").limit(limit + 1), doc_path="doc", code_path="code")
-        top = top.join(self.dated("doc_last", "doc_at"), "doc_last", "left").join(self.dated("code_last", "code_at"), "code_last", "left").orderBy(F.desc("commits_behind"), "doc", "code")
-        return _cut(limit, top.select(F.col("doc_path").alias("doc"), F.col("code_path").alias("code"), "commits_behind", F.col("doc_at.date").alias("doc_last_touched"), F.col("code_at.date").alias("code_last_touched")))
+        top = top.join(self.dated("doc_last", "doc_at"), "doc_last", "left").join(self.dated("code_last", "code_at"), "code_last",
+            "left").orderBy(F.desc("commits_behind"), "doc", "code")
+        return _cut(limit, top.select(F.col("doc_path").alias("doc"), F.col("code_path").alias("code"), "commits_behind",
+            F.col("doc_at.date").alias("doc_last_touched"), F.col("code_at.date").alias("code_last_touched")))
 
     def hotspots(self, by: str, limit: int) -> dict:
         if by == "coupling":
-            ends, words = C.strong(self.t("cochange"), self.p).select(F.explode(F.array("a", "b")).alias("id"), F.col("w_decayed").alias("s")), "coupled partners"
+            ends, words = C.strong(self.t("cochange"), self.p).select(F.explode(F.array("a", "b")).alias("id"),
+                F.col("w_decayed").alias("s")), "coupled partners"
         elif by == "ghosts":
             ends, words = self.t("ghosts").select(F.explode(F.array("src", "dst")).alias("id"), F.col("score").alias("s")), "ghost edges"
         else:
             ends, words = C.counted(self.t("commits"), self.t("touches"), self.p).select(F.col("file_id").alias("id"), F.col("decayed").alias("s")), "touches"
         alive = self.t("files").where("current_path IS NOT NULL").select("id", F.col("current_path").alias("path"))
-        out = ends.groupBy("id").agg(F.sum("s").alias("s"), F.count("*").alias("n")).join(alive, "id").select("path", S.round_to(F.col("s"), 2).alias("score"), F.format_string(f"%d {words}", "n").alias("detail"))
+        out = ends.groupBy("id").agg(F.sum("s").alias("s"), F.count("*").alias("n")).join(alive, "id").select("path",
+            S.round_to(F.col("s"), 2).alias("score"), F.format_string(f"%d {words}", "n").alias("detail"))
         return {"by": by} | _cut(limit, out.orderBy(F.desc("score"), "path").limit(limit + 1))
 
     def search(self, query: str, limit: int) -> dict:
@@ -137,8 +165,10 @@ class Ask:
 
     def stats(self) -> dict:
         c = self.t("commits").agg(
-            F.count("*").alias("total"), F.count_if(S.has_flag(F.col("excluded"), 1)).alias("excluded_too_large"), F.count_if(S.has_flag(F.col("excluded"), 2)).alias("excluded_mechanical"),
-            F.count_if("is_merge").alias("merges"), (F.round(F.count_if(F.col("weight") <= 0) / F.greatest(F.count("*"), F.lit(1)) * 1000) / 10).alias("excluded_pct"),
+            F.count("*").alias("total"), F.count_if(S.has_flag(F.col("excluded"), 1)).alias("excluded_too_large"),
+                F.count_if(S.has_flag(F.col("excluded"), 2)).alias("excluded_mechanical"),
+            F.count_if("is_merge").alias("merges"),
+                (F.round(F.count_if(F.col("weight") <= 0) / F.greatest(F.count("*"), F.lit(1)) * 1000) / 10).alias("excluded_pct"),
         )
         f = self.t("files").agg(F.count("*").alias("total"), F.count("current_path").alias("alive"), F.count_if("is_doc").alias("docs"))
         e = self.lives.agg(F.count("*").alias("total"), F.count_if("alive").alias("live"))
@@ -147,7 +177,9 @@ class Ask:
         commits, files, edges, spans = (_rows(x)[0] for x in (c, f, e, r))
         total, resolved = int(self.store.meta.get("imports_total", 0)), int(self.store.meta.get("imports_resolved", 0))
         return {
-            "head": self.store.meta.get("head_oid", ""), "indexed_at": self.store.meta.get("indexed_at"), "commits": commits, "files": files | {"dead": files["total"] - files["alive"]}, "edges": edges | {"ghosts": self.t("ghosts").count()}, "cochange_pairs": self.t("cochange").count(),
+            "head": self.store.meta.get("head_oid", ""), "indexed_at": self.store.meta.get("indexed_at"), "commits": commits,
+                "files": files | {"dead": files["total"] - files["alive"]}, "edges": edges | {"ghosts": self.t("ghosts").count()},
+                    "cochange_pairs": self.t("cochange").count(),
             "imports": {"total": total, "resolved": resolved, "unresolved_ratio": round((total - resolved) / total, 3) if total else 0.0},
             "renames": {"total": max(0, spans["spans"] - files["total"]), "low_confidence": spans["low_confidence"]},
         }
@@ -228,8 +260,10 @@ def answer(spark: SparkSession, o: argparse.Namespace) -> dict | list[str]:
             print(f"http://{serve.HOST}:{http.server_port}/ (interrupt to stop)", file=sys.stderr)
             http.serve_forever()
     calls = {
-        "blast": lambda: ask.blast(o.file, o.depth, o.limit, o.min_confidence, o.kinds), "cochange": lambda: ask.cochange(o.file, o.limit, o.include_structural), "ghosts": lambda: ask.ghosts(o.file, o.limit),
-        "path": lambda: ask.path(o.a, o.b, o.as_of), "why": lambda: ask.why(o.a, o.b), "timeline": lambda: ask.timeline(o.file), "drift": lambda: ask.drifted(o.limit), "hotspots": lambda: ask.hotspots(o.by, o.limit),
+        "blast": lambda: ask.blast(o.file, o.depth, o.limit, o.min_confidence, o.kinds),
+            "cochange": lambda: ask.cochange(o.file, o.limit, o.include_structural), "ghosts": lambda: ask.ghosts(o.file, o.limit),
+        "path": lambda: ask.path(o.a, o.b, o.as_of), "why": lambda: ask.why(o.a, o.b), "timeline": lambda: ask.timeline(o.file),
+            "drift": lambda: ask.drifted(o.limit), "hotspots": lambda: ask.hotspots(o.by, o.limit),
         "search": lambda: ask.search(o.query, o.limit), "stats": ask.stats, "export": lambda: ask.export(o.format),
     }
     out = calls[o.command]()

@@ -64,7 +64,8 @@ def included(commits: DataFrame, p: Params) -> DataFrame:
     now = commits.agg(F.max("author_time").alias("now"))
     aged = commits.where("weight > 0").join(F.broadcast(now))
     return aged.select(
-        F.col("id").alias("commit_id"), "author_time", "weight", (F.col("weight") * decay(days_between(F.col("now"), F.col("author_time")), p.half_life_days)).alias("decayed")
+        F.col("id").alias("commit_id"), "author_time", "weight",
+            (F.col("weight") * decay(days_between(F.col("now"), F.col("author_time")), p.half_life_days)).alias("decayed")
     )
 
 
@@ -79,5 +80,6 @@ def normalize_changes(changes: DataFrame) -> DataFrame:
     kept = changes.where(F.when(renamed, ~(out & old)).otherwise(~out))
     kind = F.when(renamed & old, F.lit("A")).when(renamed & out, F.lit("D")).otherwise(F.col("change"))
     path = F.when(renamed & out & ~old, F.col("old_path")).otherwise(F.col("path"))
-    kept = kept.select(*[c for c in changes.columns if c not in ("change", "path", "old_path", "new_blob")], kind.alias("change"), path.alias("path"), F.when(kind == "R", F.col("old_path")).alias("old_path"), F.when(kind != "D", F.col("new_blob")).alias("new_blob"))
+    kept = kept.select(*[c for c in changes.columns if c not in ("change", "path", "old_path", "new_blob")], kind.alias("change"),
+        path.alias("path"), F.when(kind == "R", F.col("old_path")).alias("old_path"), F.when(kind != "D", F.col("new_blob")).alias("new_blob"))
     return kept.withColumn("phase", F.array_position(F.array(*map(F.lit, "DRMA")), F.col("change")).cast("int"))

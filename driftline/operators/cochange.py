@@ -21,7 +21,8 @@ def pairs(touched: DataFrame) -> DataFrame:
     A counted commit has at most max_commit_files files, so the files of one fit
     in an array: one shuffle by commit, no self-join.
     """
-    sets = touched.groupBy("commit_id").agg(F.sort_array(F.collect_set("file_id")).alias("files"), F.first("weight").alias("weight"), F.first("decayed").alias("decayed"))
+    sets = touched.groupBy("commit_id").agg(F.sort_array(F.collect_set("file_id")).alias("files"), F.first("weight").alias("weight"),
+        F.first("decayed").alias("decayed"))
     left = sets.where(F.size("files") > 1).select("commit_id", "weight", "decayed", "files", F.posexplode("files").alias("i", "a"))
     return left.select("commit_id", "weight", "decayed", "a", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("b"))
 

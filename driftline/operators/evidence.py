@@ -28,13 +28,15 @@ def drift_pairs(pairs: DataFrame, doc_touches: DataFrame, code_touches: DataFram
     a file runs over its touches and a marker row for each last touch asked about.
     """
     last = doc_touches.groupBy("doc").agg(F.max("commit_id").alias("doc_last"))
-    counted = code_touches.join(commits.where("weight > 0").select(F.col("id").alias("commit_id")), "commit_id", "left_semi").select(F.col("file_id").alias("code"), "commit_id")
+    counted = code_touches.join(commits.where("weight > 0").select(F.col("id").alias("commit_id")), "commit_id",
+        "left_semi").select(F.col("file_id").alias("code"), "commit_id")
     code_last = code_touches.groupBy(F.col("file_id").alias("code")).agg(F.max("commit_id").alias("code_last"))
     lined = pairs.join(last, "doc", "left").withColumn("doc_last", F.coalesce("doc_last", F.lit(0)))
     asked = lined.select("code", F.col("doc_last").alias("commit_id")).distinct()
     marked = counted.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True)))
     after = Window.partitionBy("code").orderBy(F.desc("commit_id")).rangeBetween(Window.unboundedPreceding, -1)
-    behind = marked.withColumn("commits_behind", F.count_if(~F.col("asked")).over(after)).where("asked AND commits_behind > 0").select("code", F.col("commit_id").alias("doc_last"), "commits_behind")
+    behind = marked.withColumn("commits_behind",
+        F.count_if(~F.col("asked")).over(after)).where("asked AND commits_behind > 0").select("code", F.col("commit_id").alias("doc_last"), "commits_behind")
     return lined.join(behind, ["code", "doc_last"]).join(code_last, "code").select("doc", "code", "commits_behind", "doc_last", "code_last")
 
 
@@ -53,7 +55,8 @@ def blast(
     """
     empty = lives.limit(0).select(F.col("src").alias("other"), F.lit("").alias("type"), F.lit(0.0).alias("strength"))
     near = lives.where((F.col("src") == target) | (F.col("dst") == target)).withColumn("out", F.col("src") == target)
-    near = near.withColumn("other", F.when(F.col("out"), F.col("dst")).otherwise(F.col("src"))).withColumn("direction", F.when(F.col("out"), "out").otherwise("in"))
+    near = near.withColumn("other", F.when(F.col("out"), F.col("dst")).otherwise(F.col("src"))).withColumn("direction",
+        F.when(F.col("out"), "out").otherwise("in"))
     parts = [empty]
     if "live" in kinds:
         live = near.where("alive").join(edges, ["src", "dst", "kind"])
@@ -62,10 +65,12 @@ def blast(
             S.edge_kind_name(F.col("kind")).alias("kind"), "alive", S.resolution_name(F.col("resolution")).alias("resolution"), "direction",
         ))
     if "ghost" in kinds:
-        cut = commits.select(F.col("id").alias("severed_commit"), S.short_oid(F.col("oid")).alias("severed_at"), S.date_str(F.col("author_time")).alias("severed_date"), F.col("subject").alias("severing_subject"))
+        cut = commits.select(F.col("id").alias("severed_commit"), S.short_oid(F.col("oid")).alias("severed_at"),
+            S.date_str(F.col("author_time")).alias("severed_date"), F.col("subject").alias("severing_subject"))
         dead = near.select("src", "dst", "kind", "other", "direction").join(ghosts, ["src", "dst", "kind"]).join(cut, "severed_commit", "left")
         parts.append(dead.select(
-            "other", F.lit("ghost").alias("type"), S.ghost_strength(F.col("conf_since"), F.col("cochanges_since")).alias("strength"), S.edge_kind_name(F.col("kind")).alias("kind"),
+            "other", F.lit("ghost").alias("type"), S.ghost_strength(F.col("conf_since"), F.col("cochanges_since")).alias("strength"),
+                S.edge_kind_name(F.col("kind")).alias("kind"),
             "severed_at", "severed_date", "lifetime_days", "cochanges_since", F.col("conf_since").alias("confidence_since"), "severing_subject", "direction",
         ))
     alive = files.where("current_path IS NOT NULL").select(F.col("id").alias("other"))
@@ -79,17 +84,24 @@ def blast(
         gates = (F.col("n") >= p.min_cochange_n) & (F.col("lift") >= p.min_lift) & F.col("living")
         kept = rows.where(F.coalesce(F.col("already"), F.lit(False)) | F.coalesce(gates, F.lit(False)))
         kept = kept.join(commits.select(F.col("id").alias("last_commit"), S.date_str(F.col("author_time")).alias("last")), "last_commit", "left")
-        parts.append(kept.select("other", F.lit("cochange").alias("type"), S.cochange_strength(F.col("conf"), F.col("lift")).alias("strength"), "n", F.col("w_decayed").alias("support"), F.col("conf").alias("confidence"), "lift", "last"))
+        parts.append(kept.select("other", F.lit("cochange").alias("type"),
+            S.cochange_strength(F.col("conf"), F.col("lift")).alias("strength"), "n", F.col("w_decayed").alias("support"),
+                F.col("conf").alias("confidence"), "lift", "last"))
     if "doc" in kinds and drift is not None:
         mine = lives.where((F.col("dst") == target) & (F.col("kind") == 3) & F.col("alive")).select(F.col("src").alias("doc"))
         behind = drift.where(F.col("code") == target).join(mine, "doc", "left_semi")
-        parts.append(behind.select(F.col("doc").alias("other"), F.lit("doc_drift").alias("type"), S.drift_strength(F.col("commits_behind")).alias("strength"), F.col("doc").cast("string").alias("doc"), "commits_behind"))
+        parts.append(behind.select(F.col("doc").alias("other"), F.lit("doc_drift").alias("type"),
+            S.drift_strength(F.col("commits_behind")).alias("strength"), F.col("doc").cast("string").alias("doc"), "commits_behind"))
     if "transitive" in kinds and depth >= 2:
         known = shared_table(_stack(parts))
         parts = [known]
-        far = transitive(lives, target, depth, p).withColumnRenamed("node", "other").join(known.select("other"), "other", "left_anti").join(alive, "other", "left_semi")
-        parts.append(far.select("other", F.lit("transitive").alias("type"), S.transitive_strength(F.col("union_dist")).alias("strength"), F.transform("via", lambda v: v.cast("string")).alias("via"), "union_dist", "head_dist"))
+        far = transitive(lives, target, depth, p).withColumnRenamed("node", "other").join(known.select("other"), "other",
+            "left_anti").join(alive, "other", "left_semi")
+        parts.append(far.select("other", F.lit("transitive").alias("type"), S.transitive_strength(F.col("union_dist")).alias("strength"),
+            F.transform("via", lambda v: v.cast("string")).alias("via"), "union_dist", "head_dist"))
     all_rows = _stack(parts)
     fields = [c for c in all_rows.columns if c not in ("other", "strength")]
-    grouped = all_rows.groupBy(F.col("other").alias("file_id")).agg(F.collect_list("strength").alias("s"), F.sort_array(F.collect_list(F.struct(*fields))).alias("evidence"))
-    return grouped.withColumn("raw", S.noisy_or(F.col("s"))).where(F.col("raw") >= min_confidence).select("file_id", S.round_to(F.col("raw"), 2).alias("rank"), "evidence")
+    grouped = all_rows.groupBy(F.col("other").alias("file_id")).agg(F.collect_list("strength").alias("s"),
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("evidence"))
+    return grouped.withColumn("raw", S.noisy_or(F.col("s"))).where(F.col("raw") >= min_confidence).select("file_id",
+        S.round_to(F.col("raw"), 2).alias("rank"), "evidence")

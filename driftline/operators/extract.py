@@ -21,7 +21,8 @@ _S = T.StringType()
 IMPORT = T.StructType([T.StructField("spec", _S), T.StructField("reexport", T.BooleanType()), T.StructField("names", T.ArrayType(_S))])
 DEF = T.StructType([T.StructField("name", _S), T.StructField("kind", _S)])
 PARSED = T.StructType([
-    T.StructField("blob_oid", _S), T.StructField("lang", _S), T.StructField("imports", T.ArrayType(IMPORT)), T.StructField("calls", T.ArrayType(_S)), T.StructField("type_refs", T.ArrayType(_S)),
+    T.StructField("blob_oid", _S), T.StructField("lang", _S), T.StructField("imports", T.ArrayType(IMPORT)),
+        T.StructField("calls", T.ArrayType(_S)), T.StructField("type_refs", T.ArrayType(_S)),
     T.StructField("defs", T.ArrayType(DEF)), T.StructField("doc_links", T.ArrayType(_S)), T.StructField("doc_tokens", T.ArrayType(_S)),
 ])
 
@@ -93,7 +94,10 @@ def _script(f: Found, text: str, typed: bool) -> None:
     for m in re.finditer(r"\brequire\(\s*(['\"][^'\"\n]+['\"])\s*\)", said):
         f.spec(m[1])
     code = _blank(text, _C_COMMENT, _C_STRING)
-    for kind, pattern in (("fn", r"\bfunction\s*\*?\s*((?!\d)[\w$]+)"), ("class", r"\bclass\s+((?!\d)[\w$]+)"), ("interface", r"\binterface\s+((?!\d)[\w$]+)"), ("type", r"\btype\s+((?!\d)[\w$]+)\s*(?:<[^=]*>)?\s*="), ("enum", r"\benum\s+((?!\d)[\w$]+)"), ("const", r"^(?:export\s+)?(?:const|let|var)\s+((?!\d)[\w$]+)"), ("method", r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*((?!\d)[\w$]+)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{")):
+    for kind, pattern in (("fn", r"\bfunction\s*\*?\s*((?!\d)[\w$]+)"), ("class", r"\bclass\s+((?!\d)[\w$]+)"),
+        ("interface", r"\binterface\s+((?!\d)[\w$]+)"), ("type", r"\btype\s+((?!\d)[\w$]+)\s*(?:<[^=]*>)?\s*="),
+            ("enum", r"\benum\s+((?!\d)[\w$]+)"), ("const", r"^(?:export\s+)?(?:const|let|var)\s+((?!\d)[\w$]+)"),
+                ("method", r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*((?!\d)[\w$]+)\s*\([^)\n]*\)\s*(?::[^{\n]+)?\{")):
         if typed or kind not in ("interface", "type", "enum"):
             for n in re.findall(pattern, code, re.M):
                 if n not in _KEYWORDS:
@@ -160,7 +164,8 @@ def _rust(f: Found, text: str) -> None:
             f.spec(path, public)
     for n in re.findall(r"\bmod\s+(\w+)\s*;", code):
         f.spec(n, prefix="mod:")
-    for kind, word in (("fn", "fn"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("type", "type"), ("static", r"static(?:\s+mut)?"), ("const", "const")):
+    for kind, word in (("fn", "fn"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("type", "type"),
+        ("static", r"static(?:\s+mut)?"), ("const", "const")):
         for n in re.findall(rf"\b{word}\s+(\w+)", code):
             if n != "fn":
                 f.define(n, kind)
@@ -176,7 +181,8 @@ def _go(f: Found, text: str) -> None:
         for s in re.findall(r"\"[^\"\n]+\"|`[^`\n]+`", block) or [one]:
             f.spec(s)
     code = _blank(text, _C_COMMENT, _C_STRING)
-    for kind, pattern in (("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("fn", r"^func\s+(\w+)"), ("type", r"^type\s+(\w+)"), ("const", r"^const\s+(\w+)"), ("var", r"^var\s+(\w+)")):
+    for kind, pattern in (("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("fn", r"^func\s+(\w+)"), ("type", r"^type\s+(\w+)"),
+        ("const", r"^const\s+(\w+)"), ("var", r"^var\s+(\w+)")):
         for n in re.findall(pattern, code, re.M):
             f.define(n, kind)
     for kind, block in re.findall(r"^(const|var|type)\s*\(([^)]*)\)", code, re.M):
@@ -190,7 +196,8 @@ def _ruby(f: Found, text: str) -> None:
     for rel, s in re.findall(r"^\s*require(_relative)?[\s(]+(['\"][^'\"\n]+['\"])", text, re.M):
         f.spec(s, prefix="rel:" if rel else "")
     code = _blank(text, r"(?<![\w\"'])#[^\n{]*", r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'')
-    for kind, pattern in (("class", r"^\s*class\s+([A-Z]\w*)"), ("module", r"^\s*module\s+([A-Z]\w*)"), ("fn", r"^\s*def\s+(?:self\.)?(\w+)"), ("const", r"^\s*([A-Z]\w*)\s*=(?!=)")):
+    for kind, pattern in (("class", r"^\s*class\s+([A-Z]\w*)"), ("module", r"^\s*module\s+([A-Z]\w*)"),
+        ("fn", r"^\s*def\s+(?:self\.)?(\w+)"), ("const", r"^\s*([A-Z]\w*)\s*=(?!=)")):
         for n in re.findall(pattern, code, re.M):
             f.define(n, kind)
     f.add(f.calls, (n for n in re.findall(r"(?:\.|\b)([a-z_]\w*)\s*\(", code) + re.findall(r"\.([a-z_]\w*)", code) if n not in _KEYWORDS))

@@ -29,14 +29,16 @@ def ghosts(commits: DataFrame, touches: DataFrame, files: DataFrame, lives: Data
     touched = counted(commits, touches, p)
     # What a source changed after each cut: one window a source, with a marker row at every cut.
     cuts = candidates.select("src", F.col("last_died").alias("commit_id")).distinct()
-    marked = touched.select(F.col("file_id").alias("src"), "commit_id", "decayed").withColumn("cut", F.lit(False)).unionByName(cuts.withColumns({"decayed": F.lit(0.0), "cut": F.lit(True)}))
+    marked = touched.select(F.col("file_id").alias("src"), "commit_id", "decayed").withColumn("cut",
+        F.lit(False)).unionByName(cuts.withColumns({"decayed": F.lit(0.0), "cut": F.lit(True)}))
     after = Window.partitionBy("src").orderBy(F.desc("commit_id")).rangeBetween(Window.unboundedPreceding, -1)
     later = marked.withColumn("w_src", F.sum("decayed").over(after)).where("cut").select("src", F.col("commit_id").alias("last_died"), "w_src")
     # Shared commits come from the pairs of each commit, which are few, not from all later touches.
     shared = pairs(touched).select("a", "b", "commit_id", "decayed")
     keyed = candidates.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
     both = keyed.join(shared, ["a", "b"]).where(F.col("commit_id") > F.col("last_died"))
-    sums = both.groupBy("src", "dst", "kind", "last_died", "cut_time", "lifetime_days").agg(F.sum("decayed").alias("w_both"), F.count("*").alias("cochanges_since")).join(later, ["src", "last_died"])
+    sums = both.groupBy("src", "dst", "kind", "last_died", "cut_time", "lifetime_days").agg(F.sum("decayed").alias("w_both"),
+        F.count("*").alias("cochanges_since")).join(later, ["src", "last_died"])
     now = commits.agg(F.max("author_time").alias("now"))
     conf = F.coalesce(F.least(F.col("w_both") / F.col("w_src"), F.lit(1.0)), F.lit(0.0))
     out = sums.join(F.broadcast(now)).withColumn("conf_since", conf)

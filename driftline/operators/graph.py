@@ -30,7 +30,8 @@ def bfs(edges: DataFrame, start: int, depth: int, both: DataFrame | None = None)
     seen = spark.createDataFrame([(start, 0, [])], "node long, dist int, via array<long>")
     for d in range(1, depth + 1):
         step = seen.where(F.col("dist") == d - 1).join(both, F.col("node") == F.col("at")).select(
-            F.col("to").alias("node"), F.col("node").alias("parent"), F.when(F.col("dist") > 0, F.concat("via", F.array("node"))).otherwise(F.col("via")).alias("via")
+            F.col("to").alias("node"), F.col("node").alias("parent"),
+                F.when(F.col("dist") > 0, F.concat("via", F.array("node"))).otherwise(F.col("via")).alias("via")
         )
         best = step.groupBy("node").agg(F.min_by("via", "parent").alias("via"))
         frontier = best.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("dist"), "via")

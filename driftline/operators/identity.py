@@ -18,8 +18,10 @@ RETURN_DAYS = 90
 _PHASE = {"D": 0, "R": 1, "M": 2, "A": 3}
 
 EVENTS = T.StructType([
-    T.StructField("history", T.StringType()), T.StructField("table", T.StringType()), T.StructField("file_id", T.LongType()), T.StructField("commit_id", T.LongType()),
-    T.StructField("path", T.StringType()), T.StructField("to_commit", T.LongType()), T.StructField("change", T.StringType()), T.StructField("confidence", T.DoubleType()),
+    T.StructField("history", T.StringType()), T.StructField("table", T.StringType()), T.StructField("file_id", T.LongType()),
+        T.StructField("commit_id", T.LongType()),
+    T.StructField("path", T.StringType()), T.StructField("to_commit", T.LongType()), T.StructField("change", T.StringType()),
+        T.StructField("confidence", T.DoubleType()),
     T.StructField("blob_oid", T.StringType()), T.StructField("lines_added", T.LongType()), T.StructField("lines_removed", T.LongType()),
 ])
 

@@ -32,12 +32,14 @@ def life_spans(births: DataFrame, deaths: DataFrame) -> DataFrame:
     Both sides have (file_id, commit_id, path); births are first appearances and
     returns. A file that dies and returns in one commit dies first.
     """
-    events = births.select("file_id", "commit_id", F.lit(1).alias("enters"), "path").unionByName(deaths.select("file_id", "commit_id", F.lit(0).alias("enters"), "path"))
+    events = births.select("file_id", "commit_id", F.lit(1).alias("enters"),
+        "path").unionByName(deaths.select("file_id", "commit_id", F.lit(0).alias("enters"), "path"))
     order = Window.partitionBy("file_id").orderBy("commit_id", "enters")
     after = F.lead(F.struct("enters", "commit_id", "path")).over(order)
     spans = events.withColumn("after", after).where("enters = 1").select(
         "file_id", F.col("commit_id").alias("enter"), F.col("path").alias("enter_path"),
-        F.when(F.col("after.enters") == 0, F.col("after.commit_id")).alias("death"), F.when(F.col("after.enters") == 0, F.col("after.path")).alias("death_path"),
+        F.when(F.col("after.enters") == 0, F.col("after.commit_id")).alias("death"),
+            F.when(F.col("after.enters") == 0, F.col("after.path")).alias("death_path"),
     )
     return spans.withColumn("span", F.row_number().over(Window.partitionBy("file_id").orderBy("enter")))
 
@@ -65,7 +67,8 @@ def intervals_with_deaths(snapshots: DataFrame, targets: DataFrame, spans: DataF
     timeline = seen.unionByName(gone).withColumn("seq", F.row_number().over(by_src)).withColumn("next", F.lead(F.struct("commit_id", "gone")).over(by_src))
     lives = spans.select(F.col("file_id").alias("dst"), "span", "enter", "enter_path", "death", "death_path")
     inside = (F.col("enter") <= F.col("commit_id")) & (F.col("death").isNull() | (F.col("death") > F.col("commit_id")))
-    said = targets.select("src", "dst", "kind", "commit_id").distinct().join(timeline.where("gone IS NULL"), ["src", "commit_id"]).join(lives, "dst").where(inside)
+    said = targets.select("src", "dst", "kind", "commit_id").distinct().join(timeline.where("gone IS NULL"),
+        ["src", "commit_id"]).join(lives, "dst").where(inside)
     link = ["src", "dst", "kind"]
     island = F.col("seq") - F.row_number().over(Window.partitionBy(*link, "span").orderBy("commit_id"))
     islands = said.withColumn("island", island).groupBy(*link, "span", "island").agg(
@@ -84,7 +87,8 @@ def intervals_with_deaths(snapshots: DataFrame, targets: DataFrame, spans: DataF
     goes_on = F.lag("carried").over(order) & (F.lag("died").over(order) == F.col("born"))
     grouped = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("part", F.sum("new").over(order))
     # Null (still open) wins over every end.
-    return grouped.groupBy(*link, "span", "part").agg(F.min("born").alias("born"), F.when(F.bool_or(F.col("died").isNull()), None).otherwise(F.max("died")).alias("died")).select(*link, "born", "died")
+    return grouped.groupBy(*link, "span", "part").agg(F.min("born").alias("born"),
+        F.when(F.bool_or(F.col("died").isNull()), None).otherwise(F.max("died")).alias("died")).select(*link, "born", "died")
 
 
 def _carried(armed: DataFrame, lives: DataFrame, timeline: DataFrame, spans: DataFrame) -> DataFrame:
@@ -102,17 +106,23 @@ def _carried(armed: DataFrame, lives: DataFrame, timeline: DataFrame, spans: Dat
     events = events.unionByName(asked.select("src", "at", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("gone")))
     place = F.when(F.col("mark") == 2, 0).when(F.col("mark") == 0, 1).otherwise(2)
     ahead = Window.partitionBy("src").orderBy("at", place).rowsBetween(1, Window.unboundedFollowing)
-    following = events.withColumn("f", F.first(F.when(F.col("mark") > 0, F.struct("at", "gone")), ignorenulls=True).over(ahead)).where("mark = 0").select("src", F.col("at").alias("enter"), "f")
-    alive = spans.select(F.col("file_id").alias("src"), F.col("enter").alias("src_enter"), F.col("enter_path").alias("src_path"), F.col("death").alias("src_death"))
+    following = events.withColumn("f",
+        F.first(F.when(F.col("mark") > 0, F.struct("at", "gone")), ignorenulls=True).over(ahead)).where("mark = 0").select("src",
+            F.col("at").alias("enter"), "f")
+    alive = spans.select(F.col("file_id").alias("src"), F.col("enter").alias("src_enter"), F.col("enter_path").alias("src_path"),
+        F.col("death").alias("src_death"))
     came = (F.col("src_enter") < F.col("enter")) | ((F.col("src_enter") == F.col("enter")) & (F.col("src_path") < F.col("enter_path")))
-    there = later.join(alive, "src").groupBy(*link, "since", "span", "enter", "death", "death_path").agg(F.bool_or(came & (F.col("src_death").isNull() | (F.col("src_death") > F.col("enter")))).alias("there"))
+    there = later.join(alive, "src").groupBy(*link, "since", "span", "enter", "death",
+        "death_path").agg(F.bool_or(came & (F.col("src_death").isNull() | (F.col("src_death") > F.col("enter")))).alias("there"))
     steps = there.join(following, ["src", "enter"])
-    denied = F.col("death").isNull() | (F.col("f.at") < F.col("death")) | ((F.col("f.at") == F.col("death")) & F.coalesce(F.col("f.gone") < F.col("death_path"), F.lit(False)))
+    denied = F.col("death").isNull() | (F.col("f.at") < F.col("death")) | ((F.col("f.at") == F.col("death"))
+        & F.coalesce(F.col("f.gone") < F.col("death_path"), F.lit(False)))
     steps = steps.withColumn("ends", F.coalesce(F.col("f").isNotNull() & denied, F.lit(False)))
     before = Window.partitionBy(*link, "since").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     # Up to here every return found the source alive, and no snapshot came while the target lived.
     kept = steps.withColumn("ok", F.col("there") & F.coalesce(F.bool_and(F.col("there") & ~F.col("ends")).over(before), F.lit(True))).where("ok")
-    return kept.select(*link, "span", F.col("enter").alias("born"), F.when(F.col("ends"), F.col("f.at")).otherwise(F.col("death")).alias("died"), (F.col("ends") & F.col("f.gone").isNull()).alias("carried"))
+    return kept.select(*link, "span", F.col("enter").alias("born"),
+        F.when(F.col("ends"), F.col("f.at")).otherwise(F.col("death")).alias("died"), (F.col("ends") & F.col("f.gone").isNull()).alias("carried"))
 
 
 def edges_of(intervals: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
@@ -133,11 +143,13 @@ def lifetimes(intervals: DataFrame, commits: DataFrame) -> DataFrame:
     timed = (
         intervals.join(times.toDF("born", "born_time"), "born", "left").join(times.toDF("died", "died_time"), "died", "left").join(F.broadcast(span))
     )
-    days = whole_days(F.when(F.col("died").isNull(), F.col("now")).otherwise(F.coalesce("died_time", "now")), F.coalesce("born_time", F.when(F.col("born") == 0, F.col("first")).otherwise(F.col("now"))))
+    days = whole_days(F.when(F.col("died").isNull(), F.col("now")).otherwise(F.coalesce("died_time", "now")),
+        F.coalesce("born_time", F.when(F.col("born") == 0, F.col("first")).otherwise(F.col("now"))))
     last = F.max_by(F.struct("born", "died", days.alias("days")), "born")
     return timed.groupBy("src", "dst", "kind").agg(
         F.bool_or(F.col("died").isNull()).alias("alive"), F.count("*").alias("n_intervals"), last.alias("last"), F.sum(days).alias("lifetime_days")
-    ).select("src", "dst", "kind", "alive", "n_intervals", F.col("last.born").alias("last_born"), F.col("last.died").alias("last_died"), F.col("last.days").alias("last_days"), "lifetime_days")
+    ).select("src", "dst", "kind", "alive", "n_intervals", F.col("last.born").alias("last_born"), F.col("last.died").alias("last_died"),
+        F.col("last.days").alias("last_days"), "lifetime_days")
 
 
 def alive_at(intervals: DataFrame, commit: Column | int) -> DataFrame:

@@ -26,8 +26,10 @@ _SCRIPT_INDEX = tuple(f"index.{e}" for e in "ts tsx js jsx coffee".split())
 _EMITTED = tuple(tuple(f".{e}" for e in pair.split("<")) for pair in "js<ts jsx<tsx mjs<mts cjs<cts js<coffee".split())
 
 _CANDIDATES = T.StructType([
-    T.StructField("src", T.LongType()), T.StructField("commit_id", T.LongType()), T.StructField("ref", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("internal", T.BooleanType()), T.StructField("last", T.StringType()),
-    T.StructField("ordinal", T.IntegerType()), T.StructField("candidate", T.StringType()), T.StructField("resolution", T.IntegerType()), T.StructField("package", T.StringType()),
+    T.StructField("src", T.LongType()), T.StructField("commit_id", T.LongType()), T.StructField("ref", T.LongType()),
+        T.StructField("kind", T.IntegerType()), T.StructField("internal", T.BooleanType()), T.StructField("last", T.StringType()),
+    T.StructField("ordinal", T.IntegerType()), T.StructField("candidate", T.StringType()), T.StructField("resolution", T.IntegerType()),
+        T.StructField("package", T.StringType()),
 ])
 
 
@@ -176,14 +178,18 @@ def roots(sources: DataFrame, live: DataFrame) -> DataFrame:
     """(src, commit_id, path, lang, package_root, crate_root) from what lay in the folders above each source."""
     key = ["src", "commit_id", "path", "lang"]
     up = sources.select(*key, F.posexplode(_ancestors(F.col("path"))).alias("n", "dir"))
-    at = live.select("from_commit", "to_commit", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), F.substring_index("path", "/", -1).alias("name")).where(F.col("name").isin("__init__.py", "lib.rs", "main.rs"))
-    marks = up.join(at, "dir").where(_holds()).groupBy(*key, "n").agg(F.bool_or(F.col("name") == "__init__.py").alias("py"), F.bool_or(F.col("name") != "__init__.py").alias("rs"))
+    at = live.select("from_commit", "to_commit", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
+        F.substring_index("path", "/", -1).alias("name")).where(F.col("name").isin("__init__.py", "lib.rs", "main.rs"))
+    marks = up.join(at, "dir").where(_holds()).groupBy(*key, "n").agg(F.bool_or(F.col("name") == "__init__.py").alias("py"),
+        F.bool_or(F.col("name") != "__init__.py").alias("rs"))
     seen = up.join(marks, [*key, "n"], "left").groupBy(*key).agg(
-        F.min(F.when(F.coalesce(~F.col("py"), F.lit(True)) | (F.col("dir") == ""), F.col("n"))).alias("first_out"), F.min(F.when(F.col("rs"), F.col("n"))).alias("crate_at")
+        F.min(F.when(F.coalesce(~F.col("py"), F.lit(True)) | (F.col("dir") == ""), F.col("n"))).alias("first_out"),
+            F.min(F.when(F.col("rs"), F.col("n"))).alias("crate_at")
     )
     folders = _ancestors(F.col("path"))
     return seen.select(
-        *key, F.when(F.col("first_out") > 0, F.element_at(folders, F.col("first_out") + 1)).alias("package_root"), F.when(F.col("crate_at").isNotNull(), F.element_at(folders, F.col("crate_at") + 1)).alias("crate_root")
+        *key, F.when(F.col("first_out") > 0, F.element_at(folders, F.col("first_out") + 1)).alias("package_root"),
+            F.when(F.col("crate_at").isNotNull(), F.element_at(folders, F.col("crate_at") + 1)).alias("crate_root")
     )
 
 
@@ -202,7 +208,8 @@ def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for src, commit, path, lang, package, crate, imports, links in zip(*(b[c] for c in ("src", "commit_id", "path", "lang", "package_root", "crate_root", "imports", "doc_links")), strict=True):
+            for src, commit, path, lang, package, crate, imports, links in zip(*(b[c]
+                for c in ("src", "commit_id", "path", "lang", "package_root", "crate_root", "imports", "doc_links")), strict=True):
                 package, crate = (x if isinstance(x, str) else None for x in (package, crate))
                 module, crates = manifests.as_of(commit)
                 n = 0
@@ -212,7 +219,8 @@ def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataF
                         continue
                     n += 1
                     own, where = internal(lang, spec, module, crates), None
-                    options = _script(path, spec) if lang in ("ts", "tsx", "js", "coffee") else _python(path, spec, package) if lang == "py" else _ruby(path, spec) if lang == "rb" else _rust(path, spec, crate, crates) if lang == "rust" else []
+                    options = _script(path, spec) if lang in ("ts", "tsx", "js", "coffee") else _python(path, spec,
+                        package) if lang == "py" else _ruby(path, spec) if lang == "rb" else _rust(path, spec, crate, crates) if lang == "rust" else []
                     last = spec.replace(".", ":").replace("/", ":").rsplit(":", 1)[-1]
                     if lang == "go":
                         where, last = _go_package(path, spec, module), ""
@@ -230,9 +238,12 @@ def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataF
     here = live.select(F.col("file_id").alias("dst"), F.col("path").alias("candidate"), "from_commit", "to_commit")
     per_ref = ["src", "commit_id", "ref", "kind", "internal", "last"]
     exists = F.coalesce(F.col("dst").isNotNull() & _holds(), F.lit(False))
-    by_path = listed.join(here, "candidate", "left").groupBy(*per_ref).agg(F.min(F.when(exists, F.struct("ordinal", "dst", "resolution"))).alias("hit"), F.max("package").alias("package"))
-    folder = live.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select(F.col("file_id").alias("dst"), "path", "from_commit", "to_commit", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("package"))
-    packed = by_path.where("package IS NOT NULL").select("src", "commit_id", "ref", "package").join(folder, "package").where(_holds()).groupBy("src", "commit_id", "ref").agg(
+    by_path = listed.join(here, "candidate",
+        "left").groupBy(*per_ref).agg(F.min(F.when(exists, F.struct("ordinal", "dst", "resolution"))).alias("hit"), F.max("package").alias("package"))
+    folder = live.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).select(F.col("file_id").alias("dst"), "path",
+        "from_commit", "to_commit", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("package"))
+    packed = by_path.where("package IS NOT NULL").select("src", "commit_id", "ref", "package").join(folder,
+        "package").where(_holds()).groupBy("src", "commit_id", "ref").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("path", "dst"))), 1, PACKAGE_FILES).alias("in_package")
     )
     found = by_path.join(packed, ["src", "commit_id", "ref"], "left")
@@ -248,7 +259,8 @@ def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataF
     fallback = unique(missed)
     name = F.element_at(F.split("name", r"\."), -1)
     said = told.where("lang <> 'md'")
-    named = said.select("src", "commit_id", F.explode("imports").alias("i")).select("src", "commit_id", F.explode("i.names").alias("name")).select("src", "commit_id", name.alias("name"), F.lit(IMPORT).alias("kind"), F.lit(SYMBOL).alias("resolution"))
+    named = said.select("src", "commit_id", F.explode("imports").alias("i")).select("src", "commit_id",
+        F.explode("i.names").alias("name")).select("src", "commit_id", name.alias("name"), F.lit(IMPORT).alias("kind"), F.lit(SYMBOL).alias("resolution"))
     uses = named.where(F.length("name") >= 3)
     for column, kind in (("calls", CALL), ("type_refs", TYPEREF)):
         uses = uses.union(said.select("src", "commit_id", F.explode(column).alias("name"), F.lit(kind), F.lit(SYMBOL)))
@@ -262,5 +274,6 @@ def resolve(files: DataFrame, parsed: DataFrame, symbols: DataFrame, live: DataF
     settled = found.join(fallback.select("src", "commit_id", "ref", F.lit(True).alias("by_name")), ["src", "commit_id", "ref"], "left")
     hit = F.col("hit").isNotNull() | F.col("in_package").isNotNull()
     counts = F.col("internal") | F.col("hit").isNotNull()
-    health = settled.groupBy("src", "commit_id").agg(F.count_if(counts).alias("imports_total"), F.count_if(hit & (counts | F.col("internal")) | (F.col("internal") & F.coalesce("by_name", F.lit(False)))).alias("imports_resolved"))
+    health = settled.groupBy("src", "commit_id").agg(F.count_if(counts).alias("imports_total"),
+        F.count_if(hit & (counts | F.col("internal")) | (F.col("internal") & F.coalesce("by_name", F.lit(False)))).alias("imports_resolved"))
     return edges, health

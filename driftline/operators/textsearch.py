@@ -77,7 +77,8 @@ def _scan(docs: DataFrame, id_col: str, fields: list[str], wanted: Callable[[Col
     found = docs.select(F.col(id_col).alias("id"), F.concat(*each).alias("all"))
     found = shared_table(found.select("id", F.size("all").cast("long").alias("len"), F.filter("all", lambda p: wanted(p["term"])).alias("some")))
     lengths = found.groupBy("id").agg(F.sum("len").alias("len")).where("len > 0")
-    return Index(found.select("id", F.explode("some").alias("p")).select(F.col("p.term").alias("term"), "id", F.col("p.field").alias("field"), F.col("p.pos").alias("pos")), lengths)
+    return Index(found.select("id", F.explode("some").alias("p")).select(F.col("p.term").alias("term"), "id",
+        F.col("p.field").alias("field"), F.col("p.pos").alias("pos")), lengths)
 
 
 def build(docs: DataFrame, id_col: str, fields: list[str]) -> Index:
@@ -224,7 +225,8 @@ def _occurrences(terms: DataFrame, p: Phrase) -> DataFrame:
 def _near(terms: DataFrame, e: Near) -> DataFrame:
     """(id) of documents where some field has all phrases close together."""
     size = len(e.phrases)
-    each = [_occurrences(terms, p).select("id", "field", F.struct(F.lit(k).alias("k"), F.col("pos").alias("a"), (F.col("pos") + len(p.terms) - 1).alias("b")).alias("o")) for k, p in enumerate(e.phrases)]
+    each = [_occurrences(terms, p).select("id", "field",
+        F.struct(F.lit(k).alias("k"), F.col("pos").alias("a"), (F.col("pos") + len(p.terms) - 1).alias("b")).alias("o")) for k, p in enumerate(e.phrases)]
     lists = reduce(lambda a, b: a.union(b), each).groupBy("id", "field").agg(F.collect_list("o").alias("places"))
 
     def follows(k: int, x: Column) -> Column:
@@ -259,7 +261,8 @@ def bm25(index: Index, query: str) -> DataFrame:
     met = [(_near(terms, x) if isinstance(x, Near) else _occurrences(terms, x).select("id")).select("id", F.lit(k).alias("k")) for x, k in seen.items()]
     hits = reduce(lambda a, b: a.union(b), met).groupBy("id").agg(F.collect_set("k").alias("met")).where(fits).select("id")
     keys = sorted({(t, p.prefix and i == len(p.terms) - 1) for p in _phrases(e, True) for i, t in enumerate(p.terms)})
-    which = F.filter(F.array(*[F.when(F.col("term").startswith(t) if prefix else F.col("term") == t, F.lit(k)) for k, (t, prefix) in enumerate(keys)]), lambda x: x.isNotNull())
+    which = F.filter(F.array(*[F.when(F.col("term").startswith(t) if prefix else F.col("term") == t, F.lit(k)) for k,
+        (t, prefix) in enumerate(keys)]), lambda x: x.isNotNull())
     freq = terms.select("id", F.explode(which).alias("key")).groupBy("id", "key").agg(F.count("*").alias("tf"))
     df = freq.groupBy("key").agg(F.count("*").alias("df"))
     corpus = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))

@@ -27,7 +27,8 @@ def to_json(states: DataFrame, names: DataFrame, cochange: DataFrame) -> dict[st
     pairs = cochange.join(names.toDF("a", "path_a"), "a").join(names.toDF("b", "path_b"), "b")
     return {
         "files": names.select(F.to_json(F.struct("id", "path")).alias("value")), "edges": edges,
-        "cochange": pairs.select(F.to_json(F.struct(F.col("path_a").alias("a"), F.col("path_b").alias("b"), "n", round_to(F.col("lift"), 2).alias("lift"))).alias("value")),
+        "cochange": pairs.select(F.to_json(F.struct(F.col("path_a").alias("a"), F.col("path_b").alias("b"), "n",
+            round_to(F.col("lift"), 2).alias("lift"))).alias("value")),
     }
 
 
@@ -36,7 +37,8 @@ def to_dot(states: DataFrame, names: DataFrame, alive: DataFrame) -> DataFrame:
     quoted = F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('\\"')), F.lit('"'))
     nodes = names.join(alive, "id", "left_semi").select(F.lit(1).alias("part"), F.concat(F.lit("  "), quoted, F.lit(";")).alias("value"))
     style = F.when(F.col("state") == "ghost", F.lit(" [style=dashed]")).otherwise(F.lit(""))
-    edges = _named(states.where("state <> 'dead'"), names).select(F.lit(2).alias("part"), F.concat(F.format_string('  "%s" -> "%s"', "from", "to"), style, F.lit(";")).alias("value"))
+    edges = _named(states.where("state <> 'dead'"), names).select(F.lit(2).alias("part"),
+        F.concat(F.format_string('  "%s" -> "%s"', "from", "to"), style, F.lit(";")).alias("value"))
     ends = states.sparkSession.createDataFrame([(0, "digraph history {"), (3, "}")], "part int, value string")
     return ends.union(nodes).union(edges).orderBy("part", "value")
 
@@ -71,8 +73,10 @@ def web_payload(lives: DataFrame, cochange: DataFrame, files: DataFrame, meta: d
 
     live = both_live(lives.where("alive").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     co = both_live(cochange.where(F.col("lift") >= CO_LIFT))
-    hidden = co.where((F.col("lift") >= HIDDEN_LIFT) & (F.col("n") >= HIDDEN_N)).join(live, ["a", "b"], "left_anti").orderBy(F.desc("w_decayed"), "a", "b").limit(HIDDEN_MOST)
-    ends = live.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("d"), F.lit(0.0).alias("w")).union(co.select(F.explode(F.array("a", "b")), F.lit(0), "w_decayed"))
+    hidden = co.where((F.col("lift") >= HIDDEN_LIFT) & (F.col("n") >= HIDDEN_N)).join(live, ["a", "b"],
+        "left_anti").orderBy(F.desc("w_decayed"), "a", "b").limit(HIDDEN_MOST)
+    ends = live.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("d"),
+        F.lit(0.0).alias("w")).union(co.select(F.explode(F.array("a", "b")), F.lit(0), "w_decayed"))
     sums = ends.groupBy("id").agg(F.sum("d").alias("degree"), round_to(F.sum("w"), 2).alias("coupling")).join(living, "id")
     nodes = list(sums.select("id", "path", group_label(F.col("path")).alias("g"), "degree", "coupling").orderBy("id").toLocalIterator())
     sizes = Counter(n["g"] for n in nodes)

@@ -135,7 +135,8 @@ def index(o: dict) -> Iterator[str]:
     yield f"{o['commits_indexed']} commits indexed"
 
 
-_FORMS: dict[str, Callable[[dict], Iterator[str]]] = {f.__name__: f for f in (blast, ghosts, cochange, path, why, timeline, drift, hotspots, search, stats, index)}
+_FORMS: dict[str, Callable[[dict], Iterator[str]]] = {f.__name__: f
+    for f in (blast, ghosts, cochange, path, why, timeline, drift, hotspots, search, stats, index)}
 
 
 def render(command: str, answer: dict) -> list[str]:

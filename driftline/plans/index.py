@@ -58,12 +58,14 @@ def manifests(changed: DataFrame, repo: str) -> Manifests:
 def symbol_intervals(events: DataFrame, parsed: DataFrame, deaths: DataFrame) -> DataFrame:
     """(name, file_id, kind, first_commit, last_commit) by the same island rule as links."""
     done = events.select(F.col("file_id").alias("src"), "commit_id")
-    defs = events.join(parsed.select("blob_oid", F.explode("defs").alias("d")), "blob_oid").select(F.col("file_id").alias("src"), F.col("d.name").alias("name"), F.col("d.kind").alias("kind"), "commit_id")
+    defs = events.join(parsed.select("blob_oid", F.explode("defs").alias("d")), "blob_oid").select(F.col("file_id").alias("src"),
+        F.col("d.name").alias("name"), F.col("d.kind").alias("kind"), "commit_id")
     spans = intervals.build_intervals(done.union(deaths.select(F.col("file_id").alias("src"), "commit_id")), defs, ("name", "kind"))
     return spans.select("name", F.col("src").alias("file_id"), "kind", F.col("born").alias("first_commit"), F.col("died").alias("last_commit"))
 
 
-def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_parent: bool = True, since: str | None = None, incremental: bool = False) -> tuple[Store, dict]:
+def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_parent: bool = True, since: str | None = None,
+    incremental: bool = False) -> tuple[Store, dict]:
     """Index a repository into `out`; returns the store and a report."""
     repo = git.open_repo(repo)
     head = git.head(repo)
@@ -104,16 +106,19 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     lang = P.lang_of(F.col("path"))
     lines = changes.select("commit_id", "path", classify.import_only(lang, F.col("changed_lines"), p).alias("import_only"))
     touches = folded.where("table = 'touches'").join(lines.dropDuplicates(["commit_id", "path"]), ["commit_id", "path"], "left")
-    touches = touches.select("commit_id", "file_id", "path", "change", "blob_oid", "lines_added", "lines_removed", F.coalesce("import_only", F.lit(False)).alias("import_only"))
+    touches = touches.select("commit_id", "file_id", "path", "change", "blob_oid", "lines_added", "lines_removed",
+        F.coalesce("import_only", F.lit(False)).alias("import_only"))
     # Of several touches of a file in a commit the last one counts, in the order in which the fold went.
     place = F.struct(F.array_position(F.array(*map(F.lit, "DRMA")), F.col("change")), "path")
     touches = shared_table(upsert(touches.limit(0), touches.withColumn("seq", place), ["commit_id", "file_id"]).select(touches.columns))
     classified = shared_table(classify.classify(commits, touches, p))
     seeded = folded.where("table = 'files' AND commit_id = 0").select("commit_id", "file_id", "path", "blob_oid")
-    events = touches.where("change <> 'D'").select("commit_id", "file_id", "path", "blob_oid").union(seeded).withColumn("lang", lang).where("lang IS NOT NULL AND blob_oid IS NOT NULL")
+    events = touches.where("change <> 'D'").select("commit_id", "file_id", "path", "blob_oid").union(seeded).withColumn("lang",
+        lang).where("lang IS NOT NULL AND blob_oid IS NOT NULL")
     have = old.table("parsed") if old else None
     wanted = events.select("blob_oid", "lang")
-    todo = missing_blobs(wanted, have, PARSER_VERSION) if have is not None else missing_blobs(wanted, wanted.limit(0).withColumn("parser_version", F.lit(0)), PARSER_VERSION)
+    todo = missing_blobs(wanted, have, PARSER_VERSION) if have is not None else missing_blobs(wanted,
+        wanted.limit(0).withColumn("parser_version", F.lit(0)), PARSER_VERSION)
     blobs = git.scan_blobs(todo, repo).join(todo, "blob_oid")
     parsed = extract_blobs(blobs).withColumn("parser_version", F.lit(PARSER_VERSION))
     parsed = shared_table(parsed.unionByName(have) if have is not None else parsed)
@@ -131,20 +136,24 @@ def build(spark: SparkSession, repo: str, out: str, p: Params = Params(), first_
     born = folded.where("table = 'files'").select(F.col("file_id").alias("id"), F.col("path").alias("first_path"), F.col("commit_id").alias("born_commit"))
     died = deaths.groupBy(F.col("file_id").alias("id")).agg(F.max("commit_id").alias("died_commit"))
     files = born.join(now, "id", "left").join(died, "id", "left").withColumn("_p", F.coalesce("current_path", "first_path"))
-    files = shared_table(files.select("id", "current_path", P.lang_of(F.col("_p")).alias("lang"), "born_commit", F.when(F.col("current_path").isNull(), F.col("died_commit")).alias("died_commit"), P.is_doc(F.col("_p")).alias("is_doc")))
+    files = shared_table(files.select("id", "current_path", P.lang_of(F.col("_p")).alias("lang"), "born_commit",
+        F.when(F.col("current_path").isNull(), F.col("died_commit")).alias("died_commit"), P.is_doc(F.col("_p")).alias("is_doc")))
     pairs = shared_table(cochange(classified, touches, p))
     ghost_rows = ghosts(classified, touches, files, intervals.lifetimes(all_intervals, classified), p)
     total, resolved = health.agg(F.coalesce(F.sum("imports_total"), F.lit(0)), F.coalesce(F.sum("imports_resolved"), F.lit(0))).first()
     words = textsearch.build(classified, "id", ["subject", "body"])
     tables = {
         "postings": words.terms, "text_lengths": words.lengths, "resolved": edges, "import_health": health,
-        "commits": classified, "raw_commits": commits, "changes": changes, "files": files, "file_paths": spans, "touches": touches, "symbols": symbols, "parsed": parsed,
-        "edges": edges.groupBy("src", "dst", "kind").agg(F.min("resolution").alias("resolution")), "edge_intervals": all_intervals, "cochange": pairs, "ghosts": ghost_rows,
+        "commits": classified, "raw_commits": commits, "changes": changes, "files": files, "file_paths": spans, "touches": touches,
+            "symbols": symbols, "parsed": parsed,
+        "edges": edges.groupBy("src", "dst", "kind").agg(F.min("resolution").alias("resolution")), "edge_intervals": all_intervals,
+            "cochange": pairs, "ghosts": ghost_rows,
     }
     if seeds is not None:
         tables["seeds"] = seeds
     meta = {
-        "repo_path": repo, "head_oid": head, "first_parent": str(first_parent), "max_commit_files": str(p.max_commit_files), "half_life_days": str(p.half_life_days),
+        "repo_path": repo, "head_oid": head, "first_parent": str(first_parent), "max_commit_files": str(p.max_commit_files),
+            "half_life_days": str(p.half_life_days),
         "imports_total": str(total), "imports_resolved": str(resolved), "indexed_at": datetime.now(UTC).isoformat(timespec="seconds"),
     }
     store = Store.write(spark, out, tables, meta)

@@ -102,18 +102,22 @@ def oracle() -> dict[str, str]:
     log = (_COMMITS, _LOG)
     q: dict[str, str] = {}
     q["change_log"] = _with(*log) + "SELECT commit_id, author_time, file_id, change, path, old_path, new_blob, lines_added, lines_removed FROM log"
-    q["identity_files"] = _with(*log, _IDENTITY) + """SELECT new_id AS file_id, max(path) FILTER (WHERE begins) AS first_path, max(commit_id) FILTER (WHERE begins) AS born_commit,
+    q["identity_files"] = _with(*log,
+        _IDENTITY) + """SELECT new_id AS file_id, max(path) FILTER (WHERE begins) AS first_path, max(commit_id) FILTER (WHERE begins) AS born_commit,
       count(*) FILTER (WHERE change IN ('A', 'R')) AS n_file_paths, count(*) AS n_touches, count(*) FILTER (WHERE change = 'D') AS n_deaths, count(*) FILTER (WHERE change = 'A' AND NOT begins) AS n_returns FROM known GROUP BY new_id"""
-    q["identity_spans"] = _with(*log, _IDENTITY) + """SELECT file_id, path, from_commit, to_commit, confidence FROM (SELECT new_id AS file_id, path, commit_id AS from_commit, change, lead(commit_id) OVER (PARTITION BY new_id ORDER BY commit_id) AS to_commit,
+    q["identity_spans"] = _with(*log,
+        _IDENTITY) + """SELECT file_id, path, from_commit, to_commit, confidence FROM (SELECT new_id AS file_id, path, commit_id AS from_commit, change, lead(commit_id) OVER (PARTITION BY new_id ORDER BY commit_id) AS to_commit,
       CASE WHEN change = 'R' AND new_blob <> last_blob THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM known WHERE change IN ('A', 'R', 'D')) WHERE change <> 'D'"""
-    q["edge_intervals_with_deaths"] = _with(*log, _LINKS, _STATES) + "SELECT src, dst, 0 AS kind, commit_id AS born, upto AS died FROM changed WHERE is_open = 1"
+    q["edge_intervals_with_deaths"] = _with(*log, _LINKS,
+        _STATES) + "SELECT src, dst, 0 AS kind, commit_id AS born, upto AS died FROM changed WHERE is_open = 1"
     q["symbol_spans"] = _with(*log, """
       snaps AS (SELECT file_id, commit_id, change, lines_added, row_number() OVER w AS seq, lead(commit_id) OVER w AS nxt
           FROM log WINDOW w AS (PARTITION BY file_id ORDER BY commit_id)),
       defs AS (SELECT file_id, commit_id, seq, nxt, unnest(['s' || file_id, 'q' || (lines_added % 7)]) AS name FROM snaps
           WHERE change <> 'D'),
       isl AS (SELECT *, seq - row_number() OVER (PARTITION BY file_id, name ORDER BY commit_id) AS g FROM defs)""") + "SELECT name, file_id, 'fn' AS kind, min(commit_id) AS first_commit, arg_max_null(nxt, seq) AS last_commit FROM isl GROUP BY file_id, name, g"
-    q["import_links"] = _with(*log, _LINKS, _PATHS, _REFS) + "SELECT src, commit_id, dst, kind, min(resolution) AS resolution FROM linked WHERE src <> dst GROUP BY ALL"
+    q["import_links"] = _with(*log, _LINKS, _PATHS,
+        _REFS) + "SELECT src, commit_id, dst, kind, min(resolution) AS resolution FROM linked WHERE src <> dst GROUP BY ALL"
     q["import_health"] = _with(*log, _LINKS, _PATHS, _REFS) + """SELECT n.src, n.commit_id, count(*) AS imports_total,
       count(*) FILTER (WHERE n.dst IS NOT NULL OR by_name IS NOT NULL OR p.src IS NOT NULL) AS imports_resolved FROM named n LEFT JOIN (SELECT DISTINCT src, commit_id, aim FROM packages) p ON p.src = n.src AND p.commit_id = n.commit_id AND p.aim = n.aim AND n.lang = 'go' GROUP BY 1, 2"""
     q["source_extract"] = f"""SELECT CAST(s_suppkey AS VARCHAR) AS blob_oid, lang, CASE lang WHEN 'ts' THEN './s' || n WHEN 'js' THEN './s' || n WHEN 'coffee' THEN './s' || n WHEN 'py' THEN '.s' || n WHEN 'rb' THEN 'rel:s' || n WHEN 'rust' THEN 'crate::s' || n || '::a' || n WHEN 'go' THEN 'm/s' || n ELSE '' END AS specs,

@@ -62,7 +62,8 @@ def commit_classified(spark, sf_dir):
 
 def touches_dedup(spark, sf_dir):
     h = star.history(spark, sf_dir)
-    return h["touches"].join(included(h["commits"], P_).select("commit_id"), "commit_id", "left_semi").select("commit_id", "file_id", "change", "lines_added", "lines_removed", "import_only")
+    return h["touches"].join(included(h["commits"], P_).select("commit_id"), "commit_id", "left_semi").select("commit_id", "file_id",
+        "change", "lines_added", "lines_removed", "import_only")
 
 
 def decay_weights(spark, sf_dir):
@@ -70,24 +71,30 @@ def decay_weights(spark, sf_dir):
 
 
 def cochange_pairs(spark, sf_dir):
-    return _pairs(star.history(spark, sf_dir)).select("a", "b", "n", *map(six, ("w_support", "w_decayed", "conf_ab", "conf_ba", "lift")), "first_commit", "last_commit")
+    return _pairs(star.history(spark, sf_dir)).select("a", "b", "n", *map(six, ("w_support", "w_decayed", "conf_ab", "conf_ba", "lift")),
+        "first_commit", "last_commit")
 
 
 def cochange_for_file(spark, sf_dir):
     h = _h(spark, sf_dir)
     rows = C.strong(C.both_ways(_pairs(h)).where(F.col("file_id") == FILE), P_)
     alive = h["files"].where("current_path IS NOT NULL").select(F.col("id").alias("other"), F.col("current_path").alias("path"))
-    edges = h["intervals"].where((F.col("src") == FILE) | (F.col("dst") == FILE)).select(F.when(F.col("src") == FILE, F.col("dst")).otherwise(F.col("src")).alias("other"), F.lit(True).alias("linked")).distinct()
+    edges = h["intervals"].where((F.col("src") == FILE)
+        | (F.col("dst") == FILE)).select(F.when(F.col("src") == FILE, F.col("dst")).otherwise(F.col("src")).alias("other"),
+            F.lit(True).alias("linked")).distinct()
     dates = h["commits"].select(F.col("id"), S.date_str(F.col("author_time")).alias("date"))
-    out = rows.join(alive, "other").join(edges, "other", "left").join(dates.toDF("first_commit", "first"), "first_commit").join(dates.toDF("last_commit", "last"), "last_commit")
+    out = rows.join(alive, "other").join(edges, "other", "left").join(dates.toDF("first_commit", "first"),
+        "first_commit").join(dates.toDF("last_commit", "last"), "last_commit")
     return out.orderBy(F.desc(S.round_to(F.col("w_decayed"), 6)), "other").limit(20).select(
-        "path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last", F.coalesce("linked", F.lit(False)).alias("structural_edge")
+        "path", "n", S.round_to(F.col("conf"), 2).alias("confidence"), S.round_to(F.col("lift"), 1).alias("lift"), "first", "last",
+            F.coalesce("linked", F.lit(False)).alias("structural_edge")
     )
 
 
 def _hot(h, scores: DataFrame, words: str):
     alive = h["files"].where("current_path IS NOT NULL").select(F.col("id").alias("file_id"), F.col("current_path").alias("path"))
-    out = scores.join(alive, "file_id").select("path", S.round_to(S.round_to(F.col("score"), 6), 2).alias("score"), F.format_string(f"%d {words}", "n").alias("detail"))
+    out = scores.join(alive, "file_id").select("path", S.round_to(S.round_to(F.col("score"), 6), 2).alias("score"),
+        F.format_string(f"%d {words}", "n").alias("detail"))
     return out.orderBy(F.desc("score"), "path").limit(20)
 
 
@@ -123,10 +130,12 @@ def ghosts(spark, sf_dir):
 def ghosts_top(spark, sf_dir):
     h = _h(spark, sf_dir)
     names = h["files"].select("id", "last_path")
-    cut = h["commits"].select(F.col("id").alias("severed_commit"), S.short_oid(F.col("oid")).alias("oid"), S.date_str(F.col("author_time")).alias("date"), "subject")
+    cut = h["commits"].select(F.col("id").alias("severed_commit"), S.short_oid(F.col("oid")).alias("oid"),
+        S.date_str(F.col("author_time")).alias("date"), "subject")
     top = _ghosts(h).withColumn("_s", S.round_to(F.col("score"), 6)).orderBy(F.desc("_s"), "src", "dst", "kind").limit(20)
     named = top.join(names.toDF("src", "from"), "src").join(names.toDF("dst", "to"), "dst").join(cut, "severed_commit")
-    return named.select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), "oid", "date", "subject", "lifetime_days", "cochanges_since", S.round_to(S.round_to(F.col("conf_since"), 6), 2).alias("confidence_since"), S.round_to(F.col("_s"), 2).alias("score"))
+    return named.select("from", "to", S.edge_kind_name(F.col("kind")).alias("kind"), "oid", "date", "subject", "lifetime_days",
+        "cochanges_since", S.round_to(S.round_to(F.col("conf_since"), 6), 2).alias("confidence_since"), S.round_to(F.col("_s"), 2).alias("score"))
 
 
 def as_of_live_edges(spark, sf_dir):
@@ -144,7 +153,8 @@ def drift_top(spark, sf_dir):
     pairs, own = star.doc_links(spark, sf_dir, h["commits"])
     date = h["commits"].select("id", S.date_str(F.col("author_time")).alias("date"))
     top = E.drift_pairs(pairs, own, h["touches"], h["commits"]).orderBy(F.desc("commits_behind"), "doc", "code").limit(20)
-    return top.join(date.toDF("doc_last", "doc_last_touched"), "doc_last").join(date.toDF("code_last", "code_last_touched"), "code_last").select("doc", "code", "commits_behind", "doc_last_touched", "code_last_touched")
+    return top.join(date.toDF("doc_last", "doc_last_touched"), "doc_last").join(date.toDF("code_last", "code_last_touched"),
+        "code_last").select("doc", "code", "commits_behind", "doc_last_touched", "code_last_touched")
 
 
 def blast(spark, sf_dir):
@@ -152,12 +162,14 @@ def blast(spark, sf_dir):
     lives, cut, pairs = shared_table(_lives(h)), shared_table(_ghosts(h)), shared_table(_pairs(h))
     ranked = E.blast(FILE, lives, I.edges_of(h["intervals"]), cut, pairs, h["files"], h["commits"], P_, min_confidence=0.1)
     named = ranked.join(h["files"].select(F.col("id").alias("file_id"), F.col("last_path").alias("path")), "file_id")
-    return named.select("path", "rank", F.size("evidence").cast("long").alias("n_evidence"), F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["type"]))), ",").alias("types"))
+    return named.select("path", "rank", F.size("evidence").cast("long").alias("n_evidence"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("evidence", lambda e: e["type"]))), ",").alias("types"))
 
 
 def transitive(spark, sf_dir):
     h = _h(spark, sf_dir)
-    return G.transitive(shared_table(_lives(h)), FILE, 2, P_).select("node", F.col("union_dist").cast("long"), F.col("head_dist").cast("long"), F.array_join(F.transform("via", lambda v: v.cast("string")), ",").alias("via"))
+    return G.transitive(shared_table(_lives(h)), FILE, 2, P_).select("node", F.col("union_dist").cast("long"),
+        F.col("head_dist").cast("long"), F.array_join(F.transform("via", lambda v: v.cast("string")), ",").alias("via"))
 
 
 def path_bfs(spark, sf_dir):
@@ -171,19 +183,22 @@ def path_hops(spark, sf_dir):
     found = G.way(lives, h["intervals"], FILE, OTHER, P_)
     for name, t in found.items():
         if t is not None:
-            return t.select(F.lit(name).alias("path"), F.col("step").cast("long"), "src", "dst", S.edge_kind_name(F.col("kind")).alias("kind"), "alive", "last_died")
+            return t.select(F.lit(name).alias("path"), F.col("step").cast("long"), "src", "dst",
+                S.edge_kind_name(F.col("kind")).alias("kind"), "alive", "last_died")
     return lives.limit(0).select(F.lit("none").alias("path"), F.lit(0).cast("long").alias("step"), "src", "dst", F.lit("").alias("kind"), "alive", "last_died")
 
 
 def timeline_churn(spark, sf_dir):
     h = star.history(spark, sf_dir)
     mine = h["touches"].where(F.col("file_id") == FILE).join(h["commits"].select(F.col("id").alias("commit_id"), "author_time"), "commit_id")
-    return mine.groupBy(S.quarter_str(F.col("author_time")).alias("period")).agg(F.count("*").alias("touches"), F.sum(S.line_total(F.col("lines_added"), F.col("lines_removed"))).alias("lines"))
+    return mine.groupBy(S.quarter_str(F.col("author_time")).alias("period")).agg(F.count("*").alias("touches"),
+        F.sum(S.line_total(F.col("lines_added"), F.col("lines_removed"))).alias("lines"))
 
 
 def timeline_events(spark, sf_dir):
     iv = _h(spark, sf_dir)["intervals"].where((F.col("src") == FILE) | (F.col("dst") == FILE))
-    side = [F.when(F.col("src") == FILE, F.col("dst")).otherwise(F.col("src")).alias("other"), F.when(F.col("src") == FILE, "out").otherwise("in").alias("direction")]
+    side = [F.when(F.col("src") == FILE, F.col("dst")).otherwise(F.col("src")).alias("other"),
+        F.when(F.col("src") == FILE, "out").otherwise("in").alias("direction")]
     opened = iv.select(F.col("born").alias("commit"), F.lit("opened").alias("event"), *side)
     closed = iv.where("died IS NOT NULL").select(F.col("died").alias("commit"), F.lit("closed").alias("event"), *side)
     return opened.union(closed).orderBy("commit", "event", "other", "direction").limit(200)
@@ -194,18 +209,21 @@ def why_pair(spark, sf_dir):
     on = ((F.col("src") == FILE) & (F.col("dst") == OTHER)) | ((F.col("src") == OTHER) & (F.col("dst") == FILE))
     lives = _lives(h).where(on)
     return lives.join(_ghosts(h), ["src", "dst", "kind"], "left").select(
-        "src", "dst", S.edge_kind_name(F.col("kind")).alias("kind"), "alive", "n_intervals", lives["lifetime_days"].alias("lifetime_days"), "severed_commit", "cochanges_since", six("conf_since")
+        "src", "dst", S.edge_kind_name(F.col("kind")).alias("kind"), "alive", "n_intervals", lives["lifetime_days"].alias("lifetime_days"),
+            "severed_commit", "cochanges_since", six("conf_since")
     )
 
 
 def stats(spark, sf_dir):
     h = _h(spark, sf_dir)
     c = h["commits"].agg(
-        F.count("*").alias("commits"), F.count_if(S.has_flag(F.col("excluded"), TOO_LARGE)).alias("too_large"), F.count_if(S.has_flag(F.col("excluded"), MECHANICAL)).alias("mechanical"),
+        F.count("*").alias("commits"), F.count_if(S.has_flag(F.col("excluded"), TOO_LARGE)).alias("too_large"),
+            F.count_if(S.has_flag(F.col("excluded"), MECHANICAL)).alias("mechanical"),
         F.count_if("is_merge").alias("merges"), (F.round(F.count_if(F.col("weight") <= 0) / F.count("*") * 1000.0) / 10.0).alias("excluded_pct"),
     )
     f = h["files"].agg(F.count("*").alias("files"), F.count("current_path").alias("alive_files"))
-    e = h["intervals"].agg(F.count_distinct("src", "dst", "kind").alias("edges"), F.count_distinct(F.when(F.col("died").isNull(), F.struct("src", "dst", "kind"))).alias("live_edges"))
+    e = h["intervals"].agg(F.count_distinct("src", "dst", "kind").alias("edges"),
+        F.count_distinct(F.when(F.col("died").isNull(), F.struct("src", "dst", "kind"))).alias("live_edges"))
     g = _ghosts(h).agg(F.count("*").alias("ghosts"))
     p = _pairs(h).agg(F.count("*").alias("cochange_pairs"))
     return reduce(lambda a, b: a.crossJoin(b), (c, f, e, g, p))  # one row each
@@ -228,9 +246,11 @@ def _viz(h):
 def viz_nodes(spark, sf_dir):
     h = _h(spark, sf_dir)
     live, co = _viz(h)
-    ends = live.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("deg"), F.lit(0.0).alias("w")).union(co.select(F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("deg"), F.col("w_decayed").alias("w")))
+    ends = live.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("deg"),
+        F.lit(0.0).alias("w")).union(co.select(F.explode(F.array("a", "b")).alias("id"), F.lit(0).alias("deg"), F.col("w_decayed").alias("w")))
     sums = ends.groupBy("id").agg(F.sum("deg").cast("long").alias("degree"), F.sum("w").alias("w"))
-    return sums.join(h["files"].select("id", F.col("current_path").alias("path")), "id").select("path", P.group_label(F.col("path")).alias("grp"), "degree", S.round_to(S.round_to(F.col("w"), 6), 2).alias("coupling"))
+    return sums.join(h["files"].select("id", F.col("current_path").alias("path")), "id").select("path",
+        P.group_label(F.col("path")).alias("grp"), "degree", S.round_to(S.round_to(F.col("w"), 6), 2).alias("coupling"))
 
 
 def viz_hidden(spark, sf_dir):
@@ -242,15 +262,18 @@ def viz_hidden(spark, sf_dir):
 def path_scalars(spark, sf_dir):
     p = F.col("url")
     return star.read(spark, sf_dir, "pages").select(
-        "page_id", P.base_name(p).alias("base"), P.dir_of(p).alias("dir"), P.file_stem(p).alias("stem"), P.normalize_path(F.concat(p, F.lit("/./a//../b.min.js"))).alias("normal"),
+        "page_id", P.base_name(p).alias("base"), P.dir_of(p).alias("dir"), P.file_stem(p).alias("stem"),
+            P.normalize_path(F.concat(p, F.lit("/./a//../b.min.js"))).alias("normal"),
         P.is_excluded_path(F.concat(p, F.lit("/dist/x.py"))).alias("excluded"), P.lang_of(F.concat(p, F.lit(".PY"))).alias("lang"),
     )
 
 
 def link_extract(spark, sf_dir):
-    pages = star.read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    pages = star.read(spark, sf_dir, "pages").select("page_id",
+        F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
     bare = F.substring_index("href", "#", 1)
-    return pages.where(~F.col("href").rlike("^(https?:|mailto:)")).select("page_id", F.col("pos").cast("long").alias("pos"), "href", P.normalize_path(bare).alias("target"))
+    return pages.where(~F.col("href").rlike("^(https?:|mailto:)")).select("page_id", F.col("pos").cast("long").alias("pos"), "href",
+        P.normalize_path(bare).alias("target"))
 
 
 def export_edges(spark, sf_dir):
@@ -271,8 +294,10 @@ def touch_windows(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        commit_classified, touches_dedup, decay_weights, cochange_pairs, cochange_for_file, hotspots_churn, hotspots_coupling, hotspots_ghosts, edge_intervals, edge_lifetimes,
-        ghosts, ghosts_top, as_of_live_edges, drift, drift_top, blast, transitive, path_bfs, path_hops, timeline_churn, timeline_events, why_pair, stats, search_bm25,
+        commit_classified, touches_dedup, decay_weights, cochange_pairs, cochange_for_file, hotspots_churn, hotspots_coupling,
+            hotspots_ghosts, edge_intervals, edge_lifetimes,
+        ghosts, ghosts_top, as_of_live_edges, drift, drift_top, blast, transitive, path_bfs, path_hops, timeline_churn, timeline_events,
+            why_pair, stats, search_bm25,
         viz_nodes, viz_hidden, path_scalars, link_extract, export_edges, touch_windows,
     )
 }

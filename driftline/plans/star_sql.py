@@ -135,7 +135,8 @@ def oracle() -> dict[str, str]:
     q["commit_classified"] = _with(_COMMITS) + f"SELECT id, oid, author_time, {_DATE.format('author_time')} AS date, subject, n_files, excluded, {_six('weight')} AS weight, excluded & 1 <> 0 AS too_large, excluded & 2 <> 0 AS mechanical, excluded & 8 <> 0 AS \"merge\" FROM commits"
     q["touches_dedup"] = _with(_COMMITS) + "SELECT commit_id, file_id, change, lines_added, lines_removed, import_only FROM touches WHERE commit_id IN (SELECT commit_id FROM inc)"
     q["decay_weights"] = _with(_COMMITS) + f"SELECT commit_id, {_six('weight')} AS weight, {_six('decayed')} AS decayed FROM inc"
-    q["cochange_pairs"] = _with(*_CO) + "SELECT a, b, n, " + ", ".join(f"{_six(c)} AS {c}" for c in ("w_support", "w_decayed", "conf_ab", "conf_ba", "lift")) + ", first_commit, last_commit FROM pairs"
+    q["cochange_pairs"] = _with(*_CO) + "SELECT a, b, n, " + ", ".join(f"{_six(c)} AS {c}"
+        for c in ("w_support", "w_decayed", "conf_ab", "conf_ba", "lift")) + ", first_commit, last_commit FROM pairs"
     q["cochange_for_file"] = _with(*_CO, _INTERVALS) + f"""SELECT path, n, confidence, lift, "first", "last", structural_edge FROM (
       SELECT current_path AS path, n, {_at('conf', 2)} AS confidence, {_at('lift', 1)} AS lift, {_DATE.format('c1.author_time')} AS "first", {_DATE.format('c2.author_time')} AS "last", {_six('w_decayed')} AS w, other,
         EXISTS (SELECT 1 FROM intervals i WHERE (i.src = {FILE} AND i.dst = other) OR (i.dst = {FILE}
@@ -153,7 +154,8 @@ def oracle() -> dict[str, str]:
       FROM (SELECT *, {_six('score')} AS s FROM ghosts ORDER BY s DESC, src, dst, kind LIMIT 20) JOIN files x ON x.id = src JOIN files y ON y.id = dst JOIN commits c ON c.id = severed_commit"""
     q["as_of_live_edges"] = _with(*_IV) + f"SELECT DISTINCT src, dst, kind FROM intervals WHERE born <= {AS_OF} AND (died IS NULL OR died > {AS_OF})"
     q["drift"] = _with(*_TOUCH, _DRIFT) + "SELECT doc, code, commits_behind, doc_last, code_last FROM drift"
-    q["drift_top"] = _with(*_TOUCH, _DRIFT) + f"""SELECT doc, code, commits_behind, {_DATE.format('a.author_time')} AS doc_last_touched, {_DATE.format('b.author_time')} AS code_last_touched
+    q["drift_top"] = _with(*_TOUCH,
+        _DRIFT) + f"""SELECT doc, code, commits_behind, {_DATE.format('a.author_time')} AS doc_last_touched, {_DATE.format('b.author_time')} AS code_last_touched
       FROM (SELECT * FROM drift ORDER BY commits_behind DESC, doc, code LIMIT 20) JOIN commits a ON a.id = doc_last JOIN commits b ON b.id = code_last"""
     q["blast"] = _with(*_ALL, _TRANSITIVE, f"""
       direct AS (SELECT CASE WHEN src = {FILE} THEN dst ELSE src END AS other, 'structural' AS type, 0.55::DOUBLE AS s FROM lives
@@ -172,7 +174,8 @@ def oracle() -> dict[str, str]:
     q["path_bfs"] = _with(*_IV, f"then_e AS (SELECT DISTINCT src, dst FROM intervals WHERE born <= {AS_OF} AND (died IS NULL OR died > {AS_OF}))", _reach("r", "then_e", 6)) + "SELECT node, dist FROM r_6"
     wide = f"widee AS (SELECT * FROM lives WHERE alive OR lifetime_days >= {P.ghost_min_lifetime_days}), livee AS (SELECT * FROM lives WHERE alive)"
     hop = "SELECT '{0}' AS path, step, src, dst, 'import' AS kind, alive, last_died FROM {1}_hop WHERE nth = 1"
-    q["path_hops"] = _with(*_LV, wide, _ways("a", "livee"), _ways("b", "widee"), recursive=True) + f"{hop.format('live_path', 'a')} UNION ALL {hop.format('union_path', 'b')} AND NOT EXISTS (SELECT 1 FROM a_6 WHERE node = {OTHER})"
+    q["path_hops"] = _with(*_LV, wide, _ways("a", "livee"), _ways("b", "widee"),
+        recursive=True) + f"{hop.format('live_path', 'a')} UNION ALL {hop.format('union_path', 'b')} AND NOT EXISTS (SELECT 1 FROM a_6 WHERE node = {OTHER})"
     q["timeline_churn"] = _with(_COMMITS) + f"SELECT strftime(to_timestamp(author_time) AT TIME ZONE 'UTC', '%Y') || '-Q' || quarter(to_timestamp(author_time) AT TIME ZONE 'UTC') AS period, count(*) AS touches, CAST(sum(lines_added + lines_removed) AS BIGINT) AS lines FROM touches JOIN commits ON id = commit_id WHERE file_id = {FILE} GROUP BY 1"
     side = f"CASE WHEN src = {FILE} THEN dst ELSE src END AS other, CASE WHEN src = {FILE} THEN 'out' ELSE 'in' END AS direction FROM intervals WHERE (src = {FILE} OR dst = {FILE})"
     q["timeline_events"] = _with(*_IV) + f"SELECT * FROM (SELECT born AS \"commit\", 'opened' AS event, {side} UNION ALL SELECT died, 'closed', {side} AND died IS NOT NULL) ORDER BY \"commit\", event, other, direction LIMIT 200"
@@ -190,8 +193,10 @@ def oracle() -> dict[str, str]:
       SELECT doc_id, """ + _six("sum(ln(1.0::DOUBLE + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))))") + """ AS score
       FROM tf JOIN df USING (term) JOIN lens USING (doc_id), corpus WHERE doc_id IN (SELECT doc_id FROM hits) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
     ends = "SELECT unnest([a, b]) AS id, 1 AS d, 0.0::DOUBLE AS w FROM live UNION ALL SELECT unnest([a, b]), 0, w_decayed FROM co"
-    q["viz_nodes"] = _with(*_CO, _INTERVALS, _LIVES, _VIZ) + f"SELECT current_path AS path, CASE WHEN contains(current_path, '/') THEN split_part(current_path, '/', 1) ELSE '(root)' END AS grp, CAST(sum(d) AS BIGINT) AS degree, {_at(_six('sum(w)'), 2)} AS coupling FROM ({ends}) e JOIN files ON files.id = e.id GROUP BY current_path"
-    q["viz_hidden"] = _with(*_CO, _INTERVALS, _LIVES, _VIZ) + f"SELECT a, b, n, {_six('w_decayed')} AS w, {_six('lift')} AS lift FROM co WHERE lift >= 1.4 AND n >= 3 AND NOT EXISTS (SELECT 1 FROM live WHERE live.a = co.a AND live.b = co.b) ORDER BY w DESC, a, b LIMIT 40"
+    q["viz_nodes"] = _with(*_CO, _INTERVALS, _LIVES,
+        _VIZ) + f"SELECT current_path AS path, CASE WHEN contains(current_path, '/') THEN split_part(current_path, '/', 1) ELSE '(root)' END AS grp, CAST(sum(d) AS BIGINT) AS degree, {_at(_six('sum(w)'), 2)} AS coupling FROM ({ends}) e JOIN files ON files.id = e.id GROUP BY current_path"
+    q["viz_hidden"] = _with(*_CO, _INTERVALS, _LIVES,
+        _VIZ) + f"SELECT a, b, n, {_six('w_decayed')} AS w, {_six('lift')} AS lift FROM co WHERE lift >= 1.4 AND n >= 3 AND NOT EXISTS (SELECT 1 FROM live WHERE live.a = co.a AND live.b = co.b) ORDER BY w DESC, a, b LIMIT 40"
     # Test urls have no empty, `.` or `..` parts of their own, so the normal form of what is appended is known.
     q["path_scalars"] = r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, split_part(regexp_extract(url, '([^/]*)$', 1), '.', 1) AS stem,
       array_to_string(list_filter(string_split(url, '/'), lambda x: x <> '' AND x <> '.'), '/') || '/b.min.js' AS normal, true AS excluded, 'py' AS lang FROM pages"""

@@ -31,14 +31,17 @@ def changes(h: dict[str, DataFrame]) -> DataFrame:
     gone_before = F.coalesce(F.lag(F.col("cut") & (F.col("nth") % 2 == 1)).over(order), F.lit(False))
     kind = F.when((F.col("n") == 1) | gone_before, "A").when(F.col("cut"), "D").when(F.col("lines_added").between(1, MOVE_LINES), "R").otherwise("M")
     t = t.withColumn("change", kind).withColumn("moves", F.sum((F.col("change") == "R").cast("int")).over(order))
-    base = F.concat(F.lit("d"), (F.col("file_id") % DIRS).cast("string"), F.lit("/s"), F.col("file_id").cast("string"), F.lit("."), _pick(F.col("file_id"), EXTENSIONS))
+    base = F.concat(F.lit("d"), (F.col("file_id") % DIRS).cast("string"), F.lit("/s"), F.col("file_id").cast("string"), F.lit("."),
+        _pick(F.col("file_id"), EXTENSIONS))
 
     def at(moves: Column) -> Column:
         return F.when(moves % 2 == 1, F.concat(F.lit("m/"), base)).otherwise(base)
 
     return t.select(
-        F.lit("h").alias("history"), "commit_id", (F.col("commit_id") * COMMIT_DAYS * 86400).alias("author_time"), "file_id", F.col("change"), at(F.col("moves")).alias("path"),
-        F.when(F.col("change") == "R", at(F.col("moves") - 1)).alias("old_path"), F.when(F.col("change") != "D", F.concat(F.lit("b"), (F.col("commit_id") % 5).cast("string"))).alias("new_blob"),
+        F.lit("h").alias("history"), "commit_id", (F.col("commit_id") * COMMIT_DAYS * 86400).alias("author_time"), "file_id",
+            F.col("change"), at(F.col("moves")).alias("path"),
+        F.when(F.col("change") == "R", at(F.col("moves") - 1)).alias("old_path"),
+            F.when(F.col("change") != "D", F.concat(F.lit("b"), (F.col("commit_id") % 5).cast("string"))).alias("new_blob"),
         "lines_added", "lines_removed", "open_line",
     )
 
@@ -60,17 +63,22 @@ def links(log: DataFrame) -> DataFrame:
 def parses(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what to resolve, its parses): each link as an import that the source's language would have."""
     lang = _pick(F.col("file_id"), LANGUAGES)
-    asked = log.where("open_line AND change <> 'D'").select(F.col("file_id").alias("src"), "commit_id", "path", lang.alias("lang"), F.concat_ws("-", "file_id", "commit_id").alias("blob_oid"))
+    asked = log.where("open_line AND change <> 'D'").select(F.col("file_id").alias("src"), "commit_id", "path", lang.alias("lang"),
+        F.concat_ws("-", "file_id", "commit_id").alias("blob_oid"))
     name = F.concat(F.lit("s"), F.col("dst").cast("string"))
     spec = (
-        F.when(F.col("lang").isin("ts", "js", "coffee"), F.concat(F.lit("./"), name)).when(F.col("lang") == "py", F.concat(F.lit("."), name)).when(F.col("lang") == "rb", F.concat(F.lit("rel:"), name))
-        .when(F.col("lang") == "rust", F.concat(F.lit("mod:"), name)).when(F.col("lang") == "go", F.concat(F.lit("./../d"), (F.col("dst") % DIRS).cast("string"))).otherwise(F.concat(name, F.lit(".ts")))
+        F.when(F.col("lang").isin("ts", "js", "coffee"), F.concat(F.lit("./"), name)).when(F.col("lang") == "py",
+            F.concat(F.lit("."), name)).when(F.col("lang") == "rb", F.concat(F.lit("rel:"), name))
+        .when(F.col("lang") == "rust", F.concat(F.lit("mod:"), name)).when(F.col("lang") == "go",
+            F.concat(F.lit("./../d"), (F.col("dst") % DIRS).cast("string"))).otherwise(F.concat(name, F.lit(".ts")))
     )
     said = links(log).join(asked, ["src", "commit_id"]).groupBy("blob_oid", "lang").agg(F.array_sort(F.collect_set(spec)).alias("specs"))
     none = F.array().cast("array<string>")
-    imports = F.transform(F.when(F.col("lang") != "md", F.col("specs")).otherwise(none), lambda s: F.struct(s.alias("spec"), F.lit(False).alias("reexport"), none.alias("names")))
+    imports = F.transform(F.when(F.col("lang") != "md", F.col("specs")).otherwise(none),
+        lambda s: F.struct(s.alias("spec"), F.lit(False).alias("reexport"), none.alias("names")))
     links_ = F.when(F.col("lang") == "md", F.col("specs")).otherwise(none)
-    return asked, said.select("blob_oid", "lang", imports.alias("imports"), none.alias("calls"), none.alias("type_refs"), links_.alias("doc_links"), none.alias("doc_tokens"))
+    return asked, said.select("blob_oid", "lang", imports.alias("imports"), none.alias("calls"), none.alias("type_refs"),
+        links_.alias("doc_links"), none.alias("doc_tokens"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +86,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, lang = F.col("s_suppkey").cast("string"), _pick(F.col("s_suppkey"), LANGUAGES)
     texts = {
         "ts": "import { a# } from './s#';\nexport function f#(x) { return g#(x); }\n", "js": "const a# = require('./s#');\nfunction f#(x) { return g#(x); }\n",
-        "py": "from .s# import a#\ndef f#(x):\n    return g#(x)\n", "rb": "require_relative 's#'\ndef f#\n  g#(1)\nend\n", "rust": "use crate::s#::a#;\nfn f#() { g#() }\n",
-        "go": "package p\nimport \"m/s#\"\nfunc f#() { g#() }\n", "md": "[see](s#.md#top) and `f#_x()`\n", "coffee": "{a#} = require './s#'\nf# = (x) -> g#(x)\n",
+        "py": "from .s# import a#\ndef f#(x):\n    return g#(x)\n", "rb": "require_relative 's#'\ndef f#\n  g#(1)\nend\n",
+            "rust": "use crate::s#::a#;\nfn f#() { g#() }\n",
+        "go": "package p\nimport \"m/s#\"\nfunc f#() { g#() }\n", "md": "[see](s#.md#top) and `f#_x()`\n",
+            "coffee": "{a#} = require './s#'\nf# = (x) -> g#(x)\n",
     }
     text = F.lit(None).cast("string")
     for k, t in texts.items():

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 COMMITS = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("oid", T.StringType()), T.StructField("parent_oid", T.StringType()), T.StructField("author_time", T.LongType()), T.StructField("author", T.StringType()),
+    T.StructField("id", T.LongType()), T.StructField("oid", T.StringType()), T.StructField("parent_oid", T.StringType()),
+        T.StructField("author_time", T.LongType()), T.StructField("author", T.StringType()),
     T.StructField("subject", T.StringType()), T.StructField("body", T.StringType()), T.StructField("is_merge", T.BooleanType()),
 ])
 CHANGES = T.StructType([
-    T.StructField("commit_id", T.LongType()), T.StructField("author_time", T.LongType()), T.StructField("change", T.StringType()), T.StructField("path", T.StringType()), T.StructField("old_path", T.StringType()),
-    T.StructField("old_blob", T.StringType()), T.StructField("new_blob", T.StringType()), T.StructField("lines_added", T.LongType()), T.StructField("lines_removed", T.LongType()), T.StructField("changed_lines", T.ArrayType(T.StringType())),
+    T.StructField("commit_id", T.LongType()), T.StructField("author_time", T.LongType()), T.StructField("change", T.StringType()),
+        T.StructField("path", T.StringType()), T.StructField("old_path", T.StringType()),
+    T.StructField("old_blob", T.StringType()), T.StructField("new_blob", T.StringType()), T.StructField("lines_added", T.LongType()),
+        T.StructField("lines_removed", T.LongType()), T.StructField("changed_lines", T.ArrayType(T.StringType())),
 ])
 BLOBS = T.StructType([T.StructField("blob_oid", T.StringType()), T.StructField("content", T.BinaryType())])
 #: Changed lines are kept only for files with at most so many.
@@ -41,7 +44,8 @@ def open_repo(path: str) -> str:
 
 def list_commits(repo: str, rev: str = "HEAD", first_parent: bool = True, hide: str | None = None, since: int | None = None) -> list[tuple]:
     """Oldest first, topological: (oid, parent, time, author, subject, body, is_merge)."""
-    args = ["log", "-z", "--reverse", "--topo-order", "--format=%H%x1f%P%x1f%at%x1f%an%x1f%s%x1f%b", *(["--first-parent"] if first_parent else []), rev, *([f"^{hide}"] if hide else [])]
+    args = ["log", "-z", "--reverse", "--topo-order", "--format=%H%x1f%P%x1f%at%x1f%an%x1f%s%x1f%b",
+        *(["--first-parent"] if first_parent else []), rev, *([f"^{hide}"] if hide else [])]
     out = []
     for entry in git(repo, *args).decode("utf-8", "replace").split("\0"):
         if entry.strip():
@@ -72,7 +76,8 @@ def diff(repo: str, oid: str, parent: str | None, rename: float = 0.5) -> list[d
         i += 3 if pair else 2
         if "160000" in (old_mode, new_mode) or kind not in "AMDR":
             continue
-        out[path] = {"change": kind, "path": path, "old_path": old, "old_blob": old_blob, "new_blob": None if kind == "D" else new_blob, "lines_added": 0, "lines_removed": 0, "changed_lines": []}
+        out[path] = {"change": kind, "path": path, "old_path": old, "old_blob": old_blob, "new_blob": None if kind == "D" else new_blob,
+            "lines_added": 0, "lines_removed": 0, "changed_lines": []}
     path, lines = None, []
     for raw in git(repo, *base, "-p", "-U0", "--no-color", "--src-prefix=a/", "--dst-prefix=b/").decode("utf-8", "replace").split("\n"):
         if raw.startswith("diff --git "):
@@ -99,7 +104,8 @@ def scan_diffs(commits: DataFrame, repo: str, rename: float = 0.5) -> DataFrame:
     """Changes of every commit; commits are spread over the tasks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"commit_id": i, "author_time": t, **c} for i, o, p, t in zip(b["id"], b["oid"], b["parent_oid"], b["author_time"], strict=True) for c in diff(repo, o, p if isinstance(p, str) else None, rename)]
+            rows = [{"commit_id": i, "author_time": t, **c} for i, o, p,
+                t in zip(b["id"], b["oid"], b["parent_oid"], b["author_time"], strict=True) for c in diff(repo, o, p if isinstance(p, str) else None, rename)]
             yield pd.DataFrame(rows, columns=CHANGES.names)
 
     return commits.select("id", "oid", "parent_oid", "author_time").repartition("id").mapInPandas(run, CHANGES)

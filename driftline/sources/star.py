@@ -75,7 +75,8 @@ def history(spark: SparkSession, sf_dir: str, p: Params = TESTDATA) -> dict[str,
     ).join(born, F.col("id") == F.col("file_id"), "left").drop("file_id")
     # An order has few lines, so its open suppliers fit in an array: one shuffle, no self-join.
     declares = touches.where("open_line").groupBy("commit_id").agg(F.collect_set("file_id").alias("files"))
-    targets = declares.select("commit_id", "files", F.explode("files").alias("src")).select("commit_id", "src", F.explode("files").alias("dst")).where("src <> dst")
+    targets = declares.select("commit_id", "files", F.explode("files").alias("src")).select("commit_id", "src",
+        F.explode("files").alias("dst")).where("src <> dst")
     return {
         "commits": commits, "touches": touches, "files": files,
         "processed": touches.select(F.col("file_id").alias("src"), "commit_id"),
@@ -86,6 +87,7 @@ def history(spark: SparkSession, sf_dir: str, p: Params = TESTDATA) -> dict[str,
 def doc_links(spark: SparkSession, sf_dir: str, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, code) pairs and the documents' own touches (doc, commit_id)."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doc"))
-    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("code")).join(orders, "o_orderkey").select("doc", "code").distinct()
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("code")).join(orders,
+        "o_orderkey").select("doc", "code").distinct()
     own = commits.select(F.col("id").alias("commit_id"), "o_orderkey").join(orders, "o_orderkey").select("doc", "commit_id")
     return pairs, own

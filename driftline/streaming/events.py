@@ -14,7 +14,8 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         rows = rows.withWatermark("ts", late)
-    return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+    return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"),
+        F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
 def extend(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
