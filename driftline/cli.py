@@ -258,7 +258,10 @@ def answer(spark: SparkSession, o: argparse.Namespace) -> dict | list[str]:
     if o.command == "serve":
         with serve.server(ask.web, o.port) as http:
             print(f"http://{serve.HOST}:{http.server_port}/ (interrupt to stop)", file=sys.stderr)
-            http.serve_forever()
+            try:
+                http.serve_forever()
+            except KeyboardInterrupt:
+                return []
     calls = {
         "blast": lambda: ask.blast(o.file, o.depth, o.limit, o.min_confidence, o.kinds),
             "cochange": lambda: ask.cochange(o.file, o.limit, o.include_structural), "ghosts": lambda: ask.ghosts(o.file, o.limit),
