@@ -90,10 +90,11 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MAX_DISTANCE
 
     def meet(side: DataFrame, keys: list[str]) -> DataFrame:
+        # Never by broadcast: Spark's estimate leaves out what an explode adds, so it would send 64 rows a fingerprint through the driver.
         on = F.col("a.fp") < F.col("b.fp")
         for k in keys:
             on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
-        return side.alias("a").join(side.alias("b"), on & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        return side.alias("a").hint("merge").join(side.alias("b").hint("merge"), on & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
     return meet(few, ["variant", "rest"]).union(meet(split, ["variant", "rest", "part", "same"])).distinct()
 

@@ -10,7 +10,7 @@ import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from driftline.llm import langid, pii, queries  # noqa: E402
+from driftline.llm import langid, pii, queries, simhash  # noqa: E402
 from driftline.llm.common import materialise, small_batches  # noqa: E402
 
 from .test_operators import DOCS, OWN, WORDS, brute_components, brute_print, brute_spans, by_id, make_docs, reference, water_fill, words_of  # noqa: E402, F401
@@ -127,6 +127,15 @@ def test_stages(spark, rows, reference):  # noqa: F811
     assert re.search("crawl", queries.DOMAIN_SQL) and public_tokenizers.PATTERN
 
 
+def test_near_duplicates_sends_no_signatures_through_the_driver(spark, rows, monkeypatch):
+    tables = []
+    monkeypatch.setattr(simhash, "materialise", lambda df: tables.append(df) or materialise(df))
+    corpus_pipeline.near_duplicates(spark, make_docs(spark, rows), "").count()
+    (pairs,) = (df for df in tables if df.columns == ["a", "b"])
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_empty(spark):
     docs = make_docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
