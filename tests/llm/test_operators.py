@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.llm import bpe, embed, fingerprint, langid, mixing, pii, sharding, simhash, substring, toxicity
-from driftline.llm.common import small_batches
+from driftline.llm.common import materialise, small_batches
 from driftline.llm.components import connected_components
 
 DOCS = T.StructType([
@@ -417,6 +417,20 @@ def test_simhash_finds_every_pair_at_distance_two(spark, monkeypatch, crowd):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [1024, 1])
+def test_simhash_broadcasts_no_variants(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    r = random.Random(16)
+    seeds = [r.getrandbits(63) for _ in range(300)]
+    prints = sorted({s ^ (1 << b) for s in seeds for b in r.sample(range(63), 2)} | set(seeds))
+    # Read from a file, whose size Spark knows and takes for that of the variants.
+    pairs = simhash.linked_pairs(materialise(spark.createDataFrame([(p,) for p in prints], "fp long")))
+    want = {(a, b) for i, b in enumerate(prints) for a in prints[:i] if (a ^ b).bit_count() <= 2}
+    assert {tuple(x) for x in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(50), 100 + r.randrange(50)) for _ in range(30)] + [(7, 7), (5, 4)]
