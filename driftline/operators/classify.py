@@ -46,7 +46,11 @@ def import_only(lang: Column, lines: Column, p: Params) -> Column:
 def classify(commits: DataFrame, touches: DataFrame, p: Params) -> DataFrame:
     """Adds n_files, excluded (flags) and weight to every commit."""
     sizes = touches.groupBy(F.col("commit_id").alias("id")).agg(F.count("*").alias("n_files"), F.count_if("import_only").alias("n_import"))
-    out = commits.join(sizes, "id", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    return flagged(commits.join(sizes, "id", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0))), p)
+
+
+def flagged(out: DataFrame, p: Params) -> DataFrame:
+    """Adds excluded and weight to commits with n_files and n_import."""
     n = F.col("n_files")
     large = n > p.max_commit_files
     mechanical = (n > 5) & (mechanical_subject(F.col("subject")) | (F.coalesce(F.col("n_import"), F.lit(0)) / n > 0.9))
@@ -59,13 +63,13 @@ def classify(commits: DataFrame, touches: DataFrame, p: Params) -> DataFrame:
     return out.withColumn("weight", commit_weight(n, large | mechanical | merged_out)).drop("n_import")
 
 
-def included(commits: DataFrame, p: Params) -> DataFrame:
-    """(commit_id, weight, decayed) of the commits that count; time is relative to the latest commit of all."""
-    now = commits.agg(F.max("author_time").alias("now"))
+def included(commits: DataFrame, p: Params, among: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(commit_id, author_time, weight, decayed, *also) of the commits that count; time is relative to the latest commit of all (of `among`, if given)."""
+    now = (commits if among is None else among).agg(F.max("author_time").alias("now"))
     aged = commits.where("weight > 0").join(F.broadcast(now))
     return aged.select(
         F.col("id").alias("commit_id"), "author_time", "weight",
-            (F.col("weight") * decay(days_between(F.col("now"), F.col("author_time")), p.half_life_days)).alias("decayed")
+            (F.col("weight") * decay(days_between(F.col("now"), F.col("author_time")), p.half_life_days)).alias("decayed"), *also
     )
 
 

@@ -73,10 +73,10 @@ def hops(lives: DataFrame, kept: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.groupBy("step").agg(first).select("step", "h.src", "h.dst", "h.kind", "h.alive", "h.last_died")
 
 
-def way(lives: DataFrame, intervals: DataFrame, a: int, b: int, p: Params, as_of: int | None = None) -> dict[str, DataFrame | None]:
+def way(lives: DataFrame, intervals: DataFrame | None, a: int, b: int, p: Params, as_of: int | None = None) -> dict[str, DataFrame | None]:
     """The live path from a to b (now or as of a commit) and, without one, the path over the union graph.
 
-    Values are hop tables; an empty live table is the path from a file to itself.
+    Values are hop tables; an empty live table is the path from a file to itself. Intervals are read for `as_of` only.
     """
     live = lives.where("alive") if as_of is None else alive_at(intervals, as_of)
 

@@ -8,22 +8,36 @@ from pyspark.sql import functions as F
 from driftline.functions.scalars import whole_days
 
 
-def build_intervals(processed: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("dst", "kind")) -> DataFrame:
+def build_intervals(processed: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("dst", "kind"), n: int | None = None) -> DataFrame:
     """(src, *keys, born, died) from what each source declared each time it was processed.
 
     `processed`: every (src, commit_id); `targets`: (src, *keys, commit_id). A
     target opens at the first snapshot that has it and closes at the source's
-    next snapshot that lacks it; died is null while it is open. Consecutive
-    snapshots are islands of (snapshot number - row number).
+    next snapshot that lacks it; died is null while it is open. Both meet in one
+    shuffle by source, into `n` tasks if given.
+    """
+    none = F.lit(None).cast(targets.select(F.struct(*keys).alias("k")).schema["k"].dataType)
+    rows = processed.select("src", "commit_id", F.lit(True).alias("done"), none.alias("k")).union(
+        targets.select("src", "commit_id", F.lit(False), F.struct(*keys)))
+    rows = rows.repartition(n, "src") if n else rows.repartition("src")
+    said = rows.groupBy("src", "commit_id").agg(F.bool_or("done").alias("done"), F.collect_set("k").alias("said")).where("done")
+    return said_intervals(said, keys)
+
+
+def said_intervals(snapshots: DataFrame, keys: tuple[str, ...] = ("dst", "kind"), also: tuple[str, ...] = ()) -> DataFrame:
+    """`build_intervals` from (src, commit_id, said): an array of the keys that each source declared at each commit, partitioned by src.
+
+    Consecutive snapshots are islands of (snapshot number - row number). Of each
+    column of `also`, what it is at born and at died comes as born_* and died_*.
     """
     by_src = Window.partitionBy("src").orderBy("commit_id")
-    snaps = processed.distinct().select("src", "commit_id", F.row_number().over(by_src).alias("seq"), F.lead("commit_id").over(by_src).alias("next"))
-    seen = targets.distinct().join(snaps, ["src", "commit_id"])
-    island = F.col("seq") - F.row_number().over(Window.partitionBy("src", *keys).orderBy("commit_id"))
-    return (
-        seen.withColumn("island", island).groupBy("src", *keys, "island")
-        .agg(F.min("commit_id").alias("born"), F.max_by("next", "seq").alias("died")).drop("island")
-    )
+    here = F.struct("commit_id", *also)
+    snaps = snapshots.select("src", here.alias("here"), "said", F.row_number().over(by_src).alias("seq"), F.lead(here).over(by_src).alias("next"))
+    seen = snaps.select("src", "here", "seq", "next", F.explode("said").alias("k")).select("src", "k.*", "here", "seq", "next")
+    island = F.col("seq") - F.row_number().over(Window.partitionBy("src", *keys).orderBy("seq"))
+    found = seen.withColumn("island", island).groupBy("src", *keys, "island").agg(F.min("here").alias("born"), F.max_by("next", "seq").alias("died"))
+    ends = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("born", "died") for c in also]
+    return found.select("src", *keys, F.col("born.commit_id").alias("born"), F.col("died.commit_id").alias("died"), *ends)
 
 
 def life_spans(births: DataFrame, deaths: DataFrame) -> DataFrame:
@@ -136,20 +150,24 @@ def lifetimes(intervals: DataFrame, commits: DataFrame) -> DataFrame:
     """(src, dst, kind, alive, n_intervals, last_born, last_died, lifetime_days).
 
     The lifetime sums each interval's whole days; an open one runs to the latest
-    commit. Commit 0 has the earliest commit's time.
+    commit. Commit 0 has the earliest commit's time. Intervals with the times (and
+    exclusions) of their ends need no join to the commits; what severed the last one comes as cut_time and cut_excluded then.
     """
     span = commits.agg(F.min("author_time").alias("first"), F.max("author_time").alias("now"))
-    times = commits.select("id", "author_time")
-    timed = (
-        intervals.join(times.toDF("born", "born_time"), "born", "left").join(times.toDF("died", "died_time"), "died", "left").join(F.broadcast(span))
-    )
-    days = whole_days(F.when(F.col("died").isNull(), F.col("now")).otherwise(F.coalesce("died_time", "now")),
-        F.coalesce("born_time", F.when(F.col("born") == 0, F.col("first")).otherwise(F.col("now"))))
-    last = F.max_by(F.struct("born", "died", days.alias("days")), "born")
+    told = "born_author_time" in intervals.columns
+    timed, born_time, died_time = intervals, *map(F.col, ("born_author_time", "died_author_time") if told else ("born_time", "died_time"))
+    if not told:
+        times = commits.select("id", "author_time")
+        timed = intervals.join(times.toDF("born", "born_time"), "born", "left").join(times.toDF("died", "died_time"), "died", "left")
+    timed = timed.join(F.broadcast(span))
+    days = whole_days(F.when(F.col("died").isNull(), F.col("now")).otherwise(F.coalesce(died_time, "now")),
+        F.coalesce(born_time, F.when(F.col("born") == 0, F.col("first")).otherwise(F.col("now"))))
+    cut = [died_time.alias("cut_time"), F.col("died_excluded").alias("cut_excluded")] if told else []
+    last = F.max_by(F.struct("born", "died", days.alias("days"), *cut), "born")
     return timed.groupBy("src", "dst", "kind").agg(
         F.bool_or(F.col("died").isNull()).alias("alive"), F.count("*").alias("n_intervals"), last.alias("last"), F.sum(days).alias("lifetime_days")
     ).select("src", "dst", "kind", "alive", "n_intervals", F.col("last.born").alias("last_born"), F.col("last.died").alias("last_died"),
-        F.col("last.days").alias("last_days"), "lifetime_days")
+        F.col("last.days").alias("last_days"), "lifetime_days", *(["last.cut_time", "last.cut_excluded"] if told else []))
 
 
 def alive_at(intervals: DataFrame, commit: Column | int) -> DataFrame:

@@ -29,7 +29,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_log(spark, sf_dir):
-    return _log(spark, sf_dir).drop("history", "open_line")
+    return changelog.changes(star.history(spark, sf_dir)).drop("history", "open_line")
 
 
 def identity_files(spark, sf_dir):
@@ -122,9 +122,10 @@ def as_of_commit(spark, sf_dir):
 def blast_docs(spark, sf_dir):
     """Documents that refer to the file, with how far they are behind."""
     h = star.history(spark, sf_dir)
-    pairs, own = star.doc_links(spark, sf_dir, h["commits"])
-    pairs, own = (x.withColumn("doc", F.col("doc") + DOC) for x in (pairs, own))
-    behind = shared_table(E.drift_pairs(pairs, own, h["touches"], h["commits"]))
+    # Only documents that refer to the file are evidence.
+    pairs = shared_table(star.doc_links(h["sets"], h["tasks"]).where(F.col("code") == FILE).withColumn("doc", F.col("doc") + DOC))
+    touched = h["sets"].where(F.array_contains("files", FILE)).select(F.lit(FILE).cast("long").alias("code"), "commit_id", (F.col("weight") > 0).alias("counts"))
+    behind = shared_table(E.drift_behind(pairs, touched))
     lives = shared_table(pairs.where(F.col("code") == FILE).select(
         F.col("doc").alias("src"), F.col("code").alias("dst"), F.lit(3).alias("kind"), F.lit(True).alias("alive"),
             F.lit(1).cast("long").alias("n_intervals"), F.lit(0).cast("long").alias("lifetime_days")

@@ -14,6 +14,8 @@ from driftline.model import TABLES
 
 VERSION = 2
 _META = "_meta.json"
+#: Rows of a shuffle that a task gets at most on average; rows of a table that goes to every task at most.
+ROWS, FEW = 400_000, 1_000_000
 
 
 class IndexMissing(FileNotFoundError):
@@ -41,6 +43,17 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Over how many tasks to spread so many rows: what one holds doesn't grow with the table."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // ROWS), min(usual, -(-rows // (ROWS // 20))))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, sent to every task if it has few rows; it should be cheap to count."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 class _Folder:
     """A folder on whatever file system Spark reads it from."""
 
