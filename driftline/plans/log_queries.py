@@ -41,7 +41,7 @@ def identity_files(spark, sf_dir):
 
 
 def identity_spans(spark, sf_dir):
-    return identity.fold(_log(spark, sf_dir)).where("table = 'file_paths'").select("file_id", "path",
+    return identity.fold(_log(spark, sf_dir), wanted=frozenset(("file_paths",))).select("file_id", "path",
         F.col("commit_id").alias("from_commit"), "to_commit", "confidence")
 
 

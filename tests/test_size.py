@@ -48,3 +48,44 @@ def test_small_tables_only_are_broadcast(spark, monkeypatch):
     assert store.small(few) is few
     monkeypatch.setattr(store, "FEW", 5)
     assert store.small(few) is not few
+
+
+def test_identity_is_folded_by_groups_of_paths(spark, monkeypatch):
+    """Random histories against one fold over each, and no task that takes a whole history."""
+    import random
+
+    from driftline.operators import identity
+
+    monkeypatch.setattr(store, "ROWS", 100)
+    monkeypatch.setattr(identity, "_BATCH", 7)
+    rows, trees, want = [], [], []
+    for history in ("g", "h"):
+        r, state, live, dead = random.Random(history), identity.Identity(), set(), set()
+        for path in ("s0", "s1", "p3"):
+            trees.append((history, path, "b"))
+            live.add(path)
+        for path in sorted(live):
+            state.seed(path, "b")
+        for commit in range(1, 260):
+            changes, used = [], set()
+            for _ in range(r.randrange(1, 5)):
+                path, old, kind, blob = f"p{r.randrange(40)}", None, "A", f"b{r.randrange(3)}"
+                if live and r.random() < 0.7:
+                    path, kind = r.choice(sorted(live)), r.choice("MMDR")
+                if kind == "R":
+                    old, path = path, f"p{r.randrange(40)}" if r.random() < 0.1 else path.partition("-")[0] + f"-{r.randrange(3)}"
+                if {path, old} & used or (kind in "AR" and path in live):
+                    continue
+                used |= {path, old}
+                changes.append({"change": kind, "path": path, "old_path": old, "new_blob": None if kind == "D" else blob, "lines_added": 1, "lines_removed": None})
+                live -= {old} | ({path} if kind == "D" else set())
+                live |= {path} if kind != "D" else set()
+            state.commit(commit, commit * 86400 * 5, changes)
+            rows += [(history, commit, commit * 86400 * 5, c["change"], c["path"], c["old_path"], c["new_blob"], 1, None) for c in changes]
+        state.finish()
+        want += [(history, *(x if i != 4 or row[0] != "files" else None for i, x in enumerate(row))) for row in state.rows]
+    shape = "history string, commit_id long, author_time long, change string, path string, old_path string, new_blob string, lines_added long, lines_removed long"
+    got = identity.fold(spark.createDataFrame(rows, shape), spark.createDataFrame(trees, "history string, path string, blob string"))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert {r[1] for r in want} == {"files", "file_paths", "touches", "deaths", "returns"}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
