@@ -98,6 +98,11 @@ linked AS (SELECT src, commit_id, dst, CASE WHEN lang = 'md' THEN 3 ELSE 0 END A
   UNION ALL SELECT src, commit_id, dst, 0, 2 FROM packages WHERE nth <= 20)"""
 
 
+# Every file of a package, however many it has.
+_WHOLE = _REFS.replace(""", row_number() OVER (PARTITION BY r.src, r.commit_id, r.aim
+    ORDER BY p.path, p.file_id) AS nth""", "").replace(" WHERE nth <= 20", "")
+
+
 def oracle() -> dict[str, str]:
     log = (_COMMITS, _LOG)
     q: dict[str, str] = {}
@@ -117,7 +122,7 @@ def oracle() -> dict[str, str]:
           WHERE change <> 'D'),
       isl AS (SELECT *, seq - row_number() OVER (PARTITION BY file_id, name ORDER BY commit_id) AS g FROM defs)""") + "SELECT name, file_id, 'fn' AS kind, min(commit_id) AS first_commit, arg_max_null(nxt, seq) AS last_commit FROM isl GROUP BY file_id, name, g"
     q["import_links"] = _with(*log, _LINKS, _PATHS,
-        _REFS) + "SELECT src, commit_id, dst, kind, min(resolution) AS resolution FROM linked WHERE src <> dst GROUP BY ALL"
+        _WHOLE) + "SELECT src, commit_id, dst, kind, min(resolution) AS resolution FROM linked WHERE src <> dst GROUP BY ALL"
     q["import_health"] = _with(*log, _LINKS, _PATHS, _REFS) + """SELECT n.src, n.commit_id, count(*) AS imports_total,
       count(*) FILTER (WHERE n.dst IS NOT NULL OR by_name IS NOT NULL OR p.src IS NOT NULL) AS imports_resolved FROM named n LEFT JOIN (SELECT DISTINCT src, commit_id, aim FROM packages) p ON p.src = n.src AND p.commit_id = n.commit_id AND p.aim = n.aim AND n.lang = 'go' GROUP BY 1, 2"""
     q["source_extract"] = f"""SELECT CAST(s_suppkey AS VARCHAR) AS blob_oid, lang, CASE lang WHEN 'ts' THEN './s' || n WHEN 'js' THEN './s' || n WHEN 'coffee' THEN './s' || n WHEN 'py' THEN '.s' || n WHEN 'rb' THEN 'rel:s' || n WHEN 'rust' THEN 'crate::s' || n || '::a' || n WHEN 'go' THEN 'm/s' || n ELSE '' END AS specs,

@@ -89,3 +89,24 @@ def test_identity_is_folded_by_groups_of_paths(spark, monkeypatch):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     assert {r[1] for r in want} == {"files", "file_paths", "touches", "deaths", "returns"}
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_package_import_links_to_every_file_of_it(spark):
+    from driftline.operators.extract import PARSED
+    from driftline.operators.resolve import Manifests, resolve
+
+    tree = [(i, f"pkg/f{i}.go", i, None) for i in range(1, 31)] + [(31, "cmd/run.go", 1, None), (32, "pkg/gone.go", 1, 5), (33, "pkg/x_test.go", 1, None)]
+    live = spark.createDataFrame(tree, "file_id long, path string, from_commit long, to_commit long")
+    asked = [(31, 40, "cmd/run.go", "go", "a"), (31, 27, "cmd/run.go", "go", "a"), (30, 40, "pkg/f30.go", "go", "a"), (31, 3, "cmd/run.go", "go", "b")]
+    files = spark.createDataFrame(asked, "src long, commit_id long, path string, lang string, blob_oid string")
+    told = [("a", "go", [{"spec": s, "reexport": False, "names": ["named"] * (s == "m/pkg")} for s in ("m/pkg", "m/pkg", "m/none", "fmt")], [], [], [], [], []),
+            ("b", "go", [{"spec": "m/pkg", "reexport": False, "names": []}], [], [], [], [], [])]
+    symbols = spark.createDataFrame([("named", 7, 1, None)], "name string, file_id long, first_commit long, last_commit long")
+    edges, health = resolve(files, spark.createDataFrame(told, PARSED), symbols, live, Manifests([(1, "m", None, None)]))
+    want = {(31, 40, i) for i in range(1, 31)} | {(31, 27, i) for i in range(1, 28)} | {(30, 40, i) for i in range(1, 30)} | {(31, 3, i) for i in (1, 2, 3, 32)}
+    rows = edges.collect()
+    assert len(rows) == len(want) and {(r["src"], r["commit_id"], r["dst"]) for r in rows} == want
+    # The named symbol is the exacter link to file 7.
+    assert all(r["resolution"] == (1 if r["dst"] == 7 else 2) and r["kind"] == 0 for r in rows)
+    assert {tuple(r) for r in health.collect()} == {(31, 40, 3, 2), (31, 27, 3, 2), (30, 40, 3, 2), (31, 3, 1, 1)}
+    assert "collect_list" not in health._jdf.queryExecution().toString()
