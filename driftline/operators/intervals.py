@@ -119,15 +119,19 @@ def _carried(armed: DataFrame, lives: DataFrame, timeline: DataFrame, spans: Dat
     # A death at the commit of the return is over by then; a snapshot there comes after it.
     events = events.unionByName(asked.select("src", "at", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("gone")))
     place = F.when(F.col("mark") == 2, 0).when(F.col("mark") == 0, 1).otherwise(2)
-    ahead = Window.partitionBy("src").orderBy("at", place).rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, as a frame that only grows takes one pass.
+    ahead = Window.partitionBy("src").orderBy(F.desc("at"), F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
     following = events.withColumn("f",
-        F.first(F.when(F.col("mark") > 0, F.struct("at", "gone")), ignorenulls=True).over(ahead)).where("mark = 0").select("src",
+        F.last(F.when(F.col("mark") > 0, F.struct("at", "gone")), ignorenulls=True).over(ahead)).where("mark = 0").select("src",
             F.col("at").alias("enter"), "f")
-    alive = spans.select(F.col("file_id").alias("src"), F.col("enter").alias("src_enter"), F.col("enter_path").alias("src_path"),
-        F.col("death").alias("src_death"))
-    came = (F.col("src_enter") < F.col("enter")) | ((F.col("src_enter") == F.col("enter")) & (F.col("src_path") < F.col("enter_path")))
-    there = later.join(alive, "src").groupBy(*link, "since", "span", "enter", "death",
-        "death_path").agg(F.bool_or(came & (F.col("src_death").isNull() | (F.col("src_death") > F.col("enter")))).alias("there"))
+    # Whether the source lived then: the latest end of its lives that began before, from another window with marker rows.
+    ever = F.lit(2**63 - 1)
+    births = spans.select(F.col("file_id").alias("src"), F.col("enter").alias("at"), F.col("enter_path").alias("path"), F.coalesce("death", ever).alias("until"))
+    asks = later.select("src", F.col("enter").alias("at"), F.col("enter_path").alias("path")).distinct().withColumn("until", F.lit(None).cast("long"))
+    came = Window.partitionBy("src").orderBy("at", "path", F.col("until").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lived = births.unionByName(asks).withColumn("last", F.max("until").over(came)).where("until IS NULL").select("src", F.col("at").alias("enter"),
+        F.col("path").alias("enter_path"), (F.coalesce("last", F.lit(0)) > F.col("at")).alias("there"))
+    there = later.join(lived, ["src", "enter", "enter_path"]).drop("enter_path")
     steps = there.join(following, ["src", "enter"])
     denied = F.col("death").isNull() | (F.col("f.at") < F.col("death")) | ((F.col("f.at") == F.col("death"))
         & F.coalesce(F.col("f.gone") < F.col("death_path"), F.lit(False)))
